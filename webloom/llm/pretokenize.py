@@ -4,8 +4,8 @@ The splitting rule is the public one for this vocabulary family:
 
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
-It is run as a finite automaton (the regex module only fills the table of
-character classes) over an array of code points. Each character,
+It is run as a finite automaton (the table of character classes is
+read once from the library whose results must be met) over an array of code points. Each character,
 with at most two characters of look-ahead folded into its symbol, is a
 transition function on eight states. Functions compose associatively, so the
 state before every character comes from a prefix scan over small integers that
@@ -17,7 +17,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import regex
+import tiktoken
 
 #: Stands between documents; a lone surrogate never occurs in valid UTF-8.
 SEPARATOR = "\ud800"
@@ -79,8 +79,12 @@ def class_table() -> np.ndarray:
     """Class of every code point; spaces are LAST_SPACE here, U+0020 is JOINING_SPACE."""
     table = np.full(0x110000, OTHER, np.uint8)
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    for kind, name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):  # the newer Unicode tables are in this module
-        table[np.frombuffer("".join(regex.findall(name, every)).encode("utf-32-le"), np.uint32)] = kind
+    single_bytes = {bytes([b]): b for b in range(256)}
+    for kind, name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+        # The library keeps what matches, so this asks for its own Unicode version.
+        members = tiktoken.Encoding("classes", pat_str=name, mergeable_ranks=single_bytes, special_tokens={})
+        found = bytes(members.encode_ordinary(every)).decode()
+        table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     table[WHITE_SPACE] = LAST_SPACE
     table[0x20] = JOINING_SPACE
     table[_SEPARATOR_CP] = BREAK
