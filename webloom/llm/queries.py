@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import bpe, decontaminate, token_counts, token_store
+from webloom.llm import bpe, decontaminate, near_dup, token_counts, token_store
 from webloom.llm.common import table
 
 
@@ -26,8 +26,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op4_token_store, op5_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op4_token_store, op5_decontamination, op6_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
