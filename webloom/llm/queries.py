@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import bpe, decontaminate, near_dup, token_counts, token_store
+from webloom.llm import bpe, decontaminate, near_dup, secret_scan, sharding, token_counts, token_store
 from webloom.llm.common import table
 
 
@@ -30,8 +30,16 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.plan(table(spark, sf_dir, "documents"), shards=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op4_token_store, op5_decontamination, op6_near_duplicates)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op4_token_store, op5_decontamination, op6_near_duplicates, op8_secret_scan, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
