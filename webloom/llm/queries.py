@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import bpe, decontaminate, near_dup, secret_scan, sharding, token_counts, token_store
+from webloom.llm import (
+    bpe,
+    decontaminate,
+    language_id,
+    near_dup,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    sharding,
+    token_counts,
+    token_store,
+)
 from webloom.llm.common import table
 
 
@@ -18,6 +29,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.write_and_read(table(spark, sf_dir, "documents"))
 
@@ -30,17 +45,38 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.plan(table(spark, sf_dir, "documents"), shards=16)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op4_token_store, op5_decontamination, op6_near_duplicates, op8_secret_scan, op10_sharding)}
+    every = (
+        op1_bpe_round_trip,
+        op2_token_counts,
+        op3_language_id,
+        op4_token_store,
+        op5_decontamination,
+        op6_near_duplicates,
+        op7_quality_rules,
+        op8_secret_scan,
+        op9_quality_model,
+        op10_sharding,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None yet: what these queries return depends on models, hashes of tokens or random trees."""
     return {}
