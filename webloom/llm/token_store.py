@@ -30,6 +30,9 @@ from webloom.llm.bpe import _arrow_type
 #: Ids in a block, unless one document alone has more; texts given to the library at a time, in characters.
 BLOCK_IDS, CALL_CHARS = 1 << 18, 300_000
 
+#: Pieces whose ids a worker keeps, in each of two halves by age.
+CACHE_PIECES = 400_000
+
 
 @functools.cache
 def tokenizer(path: str):
@@ -39,14 +42,51 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class PieceCache(dict):
+    """A space and the characters up to the next -> their packed ids.
+
+    No token crosses from a character to a following space, and where no two
+    spaces meet, what stands between two spaces is split by itself as it is in
+    the whole text. So each distinct piece needs the library only once.
+    """
+
+    def __init__(self, path: str, width: str):
+        super().__init__()
+        self.model, self.width = tokenizer(path), width
+        self.older: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        alone = ["  " in t for t in texts]
+        pieces = [[""] if a else t.split(" ") for t, a in zip(texts, alone)]
+        first = self._library([t if a else p[0] for t, a, p in zip(texts, alone, pieces)])
+        new = set().union(*pieces).difference(self)
+        if len(self) + len(new) > CACHE_PIECES:  # pieces that are still in use come back from the older half
+            self.older = dict(self)
+            self.clear()
+            new = set().union(*pieces)
+        known = new.intersection(self.older)
+        self.update((p, self.older[p]) for p in known)
+        if new := sorted(new - known):
+            self.update(zip(new, self._library([f" {p}" for p in new])))
+        look_up = self.__getitem__
+        return [f if a else f + b"".join(map(look_up, p[1:])) for f, a, p in zip(first, alone, pieces)]
+
+
+@functools.cache
+def pieces_of(path: str, width: str) -> PieceCache:
+    return PieceCache(path, width)
+
+
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids): each whole text's ids and the end id, as little-endian integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
+        model, end = pieces_of(path, width), np.array([end_id], width).tobytes()
         for ids, texts in common.chunks(batches, CALL_CHARS):
-            encoded = model.encode_batch_fast(texts, add_special_tokens=False)
-            packed = [np.array([*e.ids, end_id], "<u4").astype(width).tobytes() for e in encoded]
+            packed = [p + end for p in model.encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
 
     texts = common.doc_texts(docs)
