@@ -19,7 +19,7 @@ class Range:
             raise ValueError("range start must be below range end")
         if parts < 1:
             raise ValueError("at least one part is needed")
-        size = (high - low) // parts + (1 if low == FULL_START and high == FULL_END and parts > 1 else 0)
+        size = (high - low + 1) // parts
         self.start = str(uuid.UUID(int=low))
         self.splits = [str(uuid.UUID(int=low + size * (i + 1))) for i in range(parts - 1)] + [str(uuid.UUID(int=high))]
 
