@@ -272,7 +272,8 @@ def confirm(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     texts = common.doc_texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    full = texts.join(wanted, "doc_id").mapInArrow(sets, "rid long, root long, n long, hashes binary")
+    # A merge join at every size: candidates grow with the corpus, so they are no table to broadcast.
+    full = texts.join(wanted.hint("merge"), "doc_id").mapInArrow(sets, "rid long, root long, n long, hashes binary")
     blocks = _grid(full, "root", "n", SET_BLOCK, "pair").select("pair", "rid", "hashes")
     return blocks.repartition("pair").sortWithinPartitions("pair").mapInArrow(links, "a long, b long")
 
