@@ -149,4 +149,7 @@ def keep(docs: DataFrame, model: Ensemble) -> DataFrame:
     """The rows of `docs` that the model does not reject, with their own columns."""
     own = docs.select(F.struct(*docs.columns).alias("__row"), "text")
     stats = text_stats.with_features(own, "__row")
-    return stats.where(model.column() >= 0.5).select("__row.*")
+    # The row number, always >= 0, keeps the filter above the statistics; the optimiser
+    # would otherwise write each of them out again wherever a rule names it.
+    kept = (model.column() >= 0.5) & (F.monotonically_increasing_id() >= 0)
+    return stats.select("__row", kept.alias("__kept")).where("__kept").select("__row.*")
