@@ -47,11 +47,14 @@ def is_nofollow(tag: Column) -> Column:
     return tag.rlike(_DIALECT + _NOFOLLOW)
 
 
-def base_url(html: Column, url: Column) -> Column:
-    """The page's <base> with a trailing slash, resolved; the page's own URL without one."""
-    href = F.regexp_extract(html, _DIALECT + _BASE, 1)
-    slashed = F.when(href.endswith("/"), href).otherwise(F.concat(href, F.lit("/")))
-    return F.when(href == "", url).otherwise(urls.resolve(slashed, url))
+def base_href(html: Column) -> Column:
+    """The address in the page's <base>, as written; empty without one."""
+    return F.regexp_extract(html, _DIALECT + _BASE, 1)
+
+
+def base_url(href: Column, url: Column) -> Column:
+    """What `base_href` found, with a trailing slash and resolved; the page's own URL if it is empty."""
+    return F.when(href == "", url).otherwise(urls.resolve(F.concat(F.regexp_replace(href, "/$", ""), F.lit("/")), url))
 
 
 def unescape(text: Column) -> Column:

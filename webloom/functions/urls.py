@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from urllib.parse import urldefrag, urljoin
-
 import ipaddress
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +26,11 @@ PRIVATE_NETWORKS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def excluded(url: Column) -> Column:
     return url.rlike(EXCLUDED)
 
@@ -50,35 +53,44 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, r"(?s)#.*", "")
 
 
-def resolve_rooted(target: Column, base: Column) -> Column:
-    """`target` against `base` where it is absolute, names a host, or starts at the root; else null."""
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    return (
-        F.when(target == "", F.lit(None))
-        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), target))
-        .when(target.startswith("/") & ~target.contains("/."), F.concat(origin, target))
-        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") & ~target.contains("/."), target)
-    )
+def _without_dots(path: Column) -> Column:
+    """`path` with its . and .. segments worked out."""
+    return let(path, lambda p: F.when(p.contains("/.") | p.startswith("."), _dots_worked_out(p)).otherwise(p))
 
 
-@F.pandas_udf("string")
-def _resolve_any(target: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([urljoin(b, t) if t and b else None for t, b in zip(target, base)], dtype=object)
+def _dots_worked_out(path: Column) -> Column:
+    segments = F.split(path, "/")
+    keep = F.filter(segments, lambda x, i: (x != ".") | (i == F.size(segments) - 1))
+    start = F.array().cast("array<string>")
 
+    def step(done: Column, x: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))  # never above the root
+        return F.when(x == "..", up).otherwise(F.concat(done, F.array(x)))
 
-def resolve(target: Column, base: Column) -> Column:
-    """`target` against `base` by RFC 3986; null for an empty target.
+    walked = F.aggregate(keep, start, step)
+    def close(done: Column) -> Column:
+        bare = F.array_join(F.filter(done, lambda x, i: (x != ".") | (i < F.size(done) - 1)), "/")
+        open_end = path.rlike(r"(?:^|/)\.\.?$")
+        return let(bare, lambda x: F.when(open_end & ~x.endswith("/"), F.concat(x, F.lit("/"))).otherwise(x))
 
-    The frequent forms are plain expressions. Only rows of other forms carry
-    text into the Arrow function for the full rule.
-    """
-    rooted = resolve_rooted(target, base)
-    relative = F.when(rooted.isNull() & (target != ""), target)
-    return F.coalesce(rooted, _resolve_any(relative, F.when(relative.isNotNull(), base)))
+    return let(walked, close)
 
 
-def resolve_one(target: str, base: str) -> str | None:
-    return urldefrag(urljoin(base, target)).url if target else None
+def resolve(target: Column, base: Column) -> Column:
+    """`target` against `base` by RFC 3986; null for an empty target."""
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), "[^/]*$", "")
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(target == "", F.lit(None))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), target))
+        .when(target.startswith("/"), F.concat(origin, _without_dots(own), rest))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .when(target.startswith("#"), F.concat(F.regexp_replace(base, "(?s)#.*", ""), target))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, own)), rest))
+    )
 
 
 def _ipv4_value(ip: Column) -> Column:
@@ -89,28 +101,33 @@ def _ipv4_value(ip: Column) -> Column:
     return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), value)
 
 
+def _in_any(value: Column, networks: list, bound) -> Column:
+    """Whether the value, worked out once, is between the bounds of a network."""
+    found = lambda v: reduce(lambda a, n: a | v.between(bound(n.network_address), bound(n.broadcast_address)), networks, F.lit(False))
+    return F.coalesce(F.exists(F.array(value), found), F.lit(False))
+
+
+def _networks(networks: tuple[str, ...], version: int) -> list:
+    return [n for n in (ipaddress.ip_network(x, strict=False) for x in networks) if n.version == version]
+
+
 def private_ipv4(ip: Column, networks: tuple[str, ...] = PRIVATE_NETWORKS) -> Column:
     """Whether a dotted quad is in one of the networks; false for anything else."""
-    value, found = _ipv4_value(ip), F.lit(False)
-    for network in (ipaddress.ip_network(n, strict=False) for n in networks if ":" not in n):
-        first, last = int(network.network_address), int(network.broadcast_address)
-        found = found | value.between(first, last)
-    return F.coalesce(found, F.lit(False))
+    return _in_any(_ipv4_value(ip), _networks(networks, 4), int)
 
 
-def private_ip(ip: Column, networks: tuple[str, ...] = PRIVATE_NETWORKS) -> Column:
-    """The same for both address families; IPv6 literals need a Python step."""
-    blocks = [ipaddress.ip_network(n, strict=False) for n in networks]
+def _ipv6_digits(ip: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 literal; null for anything else."""
+    sides = F.split(F.lower(ip), "::", 2)
+    groups = lambda k: F.filter(F.split(F.coalesce(F.get(sides, F.lit(k)), F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(0), groups(1)
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    digits = F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(ip.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), let(digits, lambda d: F.when(F.length(d) == 32, d)))
 
-    @F.pandas_udf("boolean")
-    def inside(values: pd.Series) -> pd.Series:
-        def one(value) -> bool:
-            try:
-                return value is not None and any(ipaddress.ip_address(value) in b for b in blocks)
-            except ValueError:
-                return False
 
-        return values.map(one).astype(bool)
-
-    six = F.when(ip.contains(":"), ip)
-    return private_ipv4(ip, networks) | F.when(six.isNotNull(), inside(six)).otherwise(F.lit(False))
+def private_ip(ip: Column, networks: tuple[str, ...] = PRIVATE_NETWORKS) -> Column:
+    """Whether an address of either family is in one of the networks; false for anything else."""
+    six = lambda x: x.contains(":") & _in_any(_ipv6_digits(x), _networks(networks, 6), lambda a: f"{int(a):032x}")
+    return F.coalesce(let(ip, lambda x: private_ipv4(x, networks) | six(x)), F.lit(False))

@@ -38,10 +38,14 @@ def extract_links(pages: DataFrame, private: DataFrame | None = None) -> DataFra
     host that is not private. A host that is given with a port of another site
     cannot be resolved and is dropped.
     """
-    base = pages.select("url", html.base_url(F.col("html"), F.col("url")).alias("base"), html.link_tags(F.col("html")).alias("tags"))
-    tags = base.select("url", "base", F.posexplode("tags").alias("place", "t"))
-    target = urls.without_fragment(urls.resolve(F.col("t")["href"], F.col("base")))
-    found = tags.select("url", "base", "place", target.alias("link"), html.is_nofollow(F.col("t")["tag"]).alias("nofollow"))
+    read = pages.select("url", html.base_href(F.col("html")).alias("href"), html.link_tags(F.col("html")).alias("tags"))
+    base = read.select("url", html.base_url(F.col("href"), F.col("url")).alias("base"), "tags")
+    resolved = F.transform(
+        "tags",
+        lambda t: F.struct(urls.without_fragment(urls.resolve(t["href"], F.col("base"))).alias("link"), html.is_nofollow(t["tag"]).alias("nofollow")),
+    )
+    # Resolved before they are laid out, so that no filter works a link out again.
+    found = base.select("url", "base", F.posexplode(resolved).alias("place", "t")).select("url", "base", "place", F.col("t.link").alias("link"), F.col("t.nofollow").alias("nofollow"))
     found = found.where(F.col("link").isNotNull() & urls.scheme(F.col("link")).isin("http", "https") & ~urls.excluded(F.col("link")))
     own = urls.host(F.col("link")) == urls.host(F.col("base"))
     other_port = F.col("link").rlike(r"^[A-Za-z]+://[^/?#]*:\d+(?:[/?#]|$)")

@@ -150,12 +150,12 @@ def remove_stale_edges(spark, sf_dir):
     return edges.where(~((F.col("src") == one) & (F.col("updated_at") < _at(_EDGES_BEFORE)))).select("id", "src", "dst", _seconds("updated_at"))
 
 
-@register(f"""WITH {INDEXED_SQL}, some AS (SELECT * FROM indexed WHERE indexed_at % 2 = 0), fresh AS (
+@register(f"""WITH {INDEXED_SQL}, part_of AS (SELECT * FROM indexed WHERE indexed_at % 2 = 0), fresh AS (
     SELECT link_id, url, 'again' AS title, content, indexed_at + 5 AS indexed_at, 0.5::DOUBLE AS pagerank FROM indexed WHERE indexed_at % 3 = 0)
   SELECT coalesce(f.link_id, o.link_id) AS link_id, CASE WHEN f.link_id IS NOT NULL THEN f.title ELSE o.title END AS title,
     CASE WHEN f.link_id IS NOT NULL THEN f.indexed_at ELSE o.indexed_at END AS indexed_at,
     round(CASE WHEN o.link_id IS NOT NULL THEN o.pagerank ELSE f.pagerank END, 6) AS pagerank
-  FROM some o FULL JOIN fresh f ON o.link_id = f.link_id""")
+  FROM part_of o FULL JOIN fresh f ON o.link_id = f.link_id""")
 def index_upsert(spark, sf_dir):
     docs = indexed(spark, sf_dir)
     seconds = F.unix_timestamp("indexed_at")
@@ -313,9 +313,9 @@ def crawl_documents(spark, sf_dir):
 # Search
 
 _TERMS = ("worthless", "clown")
-_TOKENS_SQL = "list_filter(regexp_split_to_array(lower({}), '[^\\pL\\pN]+'), t -> t <> '')"
+_TOKENS_SQL = "list_filter(regexp_split_to_array(lower({}), '[^\\pL\\pN]+'), lambda t: t <> '')"
 _HITS_SQL = f"""{INDEXED_SQL}, tokens AS (SELECT *, {_TOKENS_SQL.format('title')} AS tt, {_TOKENS_SQL.format('content')} AS tc FROM indexed),
-  hits AS (SELECT *, (len(list_filter(tt, t -> t IN {_TERMS})) + len(list_filter(tc, t -> t IN {_TERMS}))) / greatest(len(tt) + len(tc), 1)::DOUBLE AS score
+  hits AS (SELECT *, (len(list_filter(tt, lambda t: t IN {_TERMS})) + len(list_filter(tc, lambda t: t IN {_TERMS}))) / greatest(len(tt) + len(tc), 1)::DOUBLE AS score
     FROM tokens WHERE list_has_any(tt, {list(_TERMS)}) OR list_has_any(tc, {list(_TERMS)}))"""
 
 
@@ -370,10 +370,10 @@ def pagination(spark, sf_dir):
     return counted.select(F.lit(11).alias("from"), (F.lit(10) + F.col("n")).alias("to"), "total", F.lit(0).alias("prev"), F.when(10 + F.col("n") < F.col("total"), 10 + F.col("n")).alias("next"))
 
 
-_WORDS_SQL = "list_filter(regexp_split_to_array({}, '[\\t\\n\\x0B\\f\\r \\x{{85}}\\x{{A0}}]+'), w -> w <> '')"
+_WORDS_SQL = "list_filter(regexp_split_to_array({}, '[\\t\\n\\x0B\\f\\r \\x{{85}}\\x{{A0}}]+'), lambda w: w <> '')"
 
 
-@register(f"""SELECT doc_id, round(len(list_filter(w, x -> lower(x) IN ('the', 'of', 'les'))) / greatest(len(w), 1)::DOUBLE, 9) AS ratio FROM (SELECT doc_id, {_WORDS_SQL.format('text')} AS w FROM documents)""")
+@register(f"""SELECT doc_id, round(len(list_filter(w, lambda x: lower(x) IN ('the', 'of', 'les'))) / greatest(len(w), 1)::DOUBLE, 9) AS ratio FROM (SELECT doc_id, {_WORDS_SQL.format('text')} AS w FROM documents)""")
 def match_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(text.match_ratio(F.col("text"), ["The", "of", "les"]), 9).alias("ratio"))
 
@@ -417,7 +417,7 @@ def out_degree(spark, sf_dir):
     return bsp.out_degree(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
 
 
-@register("SELECT vec_id, round(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE)), 4) AS squares FROM embeddings")
+@register("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS squares FROM embeddings")
 def sum_of_squares(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scalars.sum_of_squares(F.col("embedding")), 4).alias("squares"))
 
