@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from webloom.llm import common, pretokenize
 
 #: Entries of a worker's piece cache, and the longest piece that it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -102,9 +102,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, offsets: bool = False, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers; with
-    `offsets` also token_offsets, the byte at which each token starts and the length."""
+    `offsets` also token_offsets, the byte at which each token starts and the length;
+    with `decoded` also the bytes that the ids decode to, in the same pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
@@ -113,13 +114,15 @@ def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
             columns = [pa.array(ids, id_type), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
             if offsets:
                 columns.append(pa.array([model.offsets(p).tolist() for p in packed], pa.list_(pa.int64())))
+            if decoded:
+                columns.append(pa.array(map(model.decode, packed), pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     texts = common.doc_texts(docs)
     kind = texts.schema["doc_id"].dataType.simpleString()
     id_type = _arrow_type(kind)
-    names = ["doc_id", "n_tokens", "ids"] + ["token_offsets"] * offsets
-    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", token_offsets array<long>" * offsets)
+    names = ["doc_id", "n_tokens", "ids"] + ["token_offsets"] * offsets + ["decoded"] * decoded
+    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", token_offsets array<long>" * offsets + ", decoded binary" * decoded)
 
 
 def _arrow_type(kind: str) -> pa.DataType:
@@ -144,7 +147,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: n_tokens and SHA-256 of its packed ids and of the bytes they decode to."""
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return decode(encode(docs, path), path).select(
+    return encode(docs, path, decoded=True).select(
         "doc_id",
         "n_tokens",
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),

@@ -79,15 +79,15 @@ def _tree(slots: np.ndarray, cuts: list[np.ndarray], gradient: np.ndarray, weigh
     return paths, step
 
 
-def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, start: tuple[float, np.ndarray], rounds: int = 300) -> tuple[float, np.ndarray]:
-    """Logistic regression with an L1 penalty, by accelerated proximal steps."""
+def _lasso(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, start: tuple[float, np.ndarray], rounds: int = 300) -> tuple[float, np.ndarray]:
+    """Logistic regression with an L1 penalty on weighted rows, by accelerated proximal steps; y: share of label 1."""
     b, w = start
-    rate = 4.0 / (np.linalg.norm(z, 2) ** 2 / len(y) + 1)
+    rate = 4.0 / (np.linalg.norm(z * np.sqrt(weight)[:, None], 2) ** 2 + 1)
     vb, vw, t = b, w.copy(), 1.0
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-(vb + z @ vw))) - y
-        nb = vb - rate * error.mean()
-        nw = vw - rate * (z.T @ error) / len(y)
+        error = weight * (1 / (1 + np.exp(-(vb + z @ vw))) - y)
+        nb = vb - rate * error.sum()
+        nw = vw - rate * (z.T @ error)
         nw = np.sign(nw) * np.maximum(np.abs(nw) - rate * penalty, 0)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vb, vw = nb + (t - 1) / nt * (nb - b), nw + (t - 1) / nt * (nw - w)
@@ -118,9 +118,12 @@ def learn(x: np.ndarray, labels: np.ndarray) -> Ensemble:
     z = (z[:, keep] - mean) / scale
     fitted = float(np.log(labels.mean() / (1 - labels.mean()))), np.zeros(z.shape[1])
     penalty = float(np.abs(z.T @ (labels - labels.mean())).max()) / n
+    # Documents that the same rules cover are one weighted row.
+    z, inverse, rows = np.unique(z, axis=0, return_inverse=True, return_counts=True)
+    share, weight = np.bincount(inverse.ravel(), labels) / rows, rows / n
     while penalty > 1e-4:
         penalty *= 0.7
-        following = _lasso(z, labels, penalty, fitted)
+        following = _lasso(z, share, weight, penalty, fitted)
         if (np.abs(following[1]) > 1e-6).sum() > MAX_RULES:
             break
         fitted = following

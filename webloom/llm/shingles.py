@@ -8,25 +8,12 @@ import hashlib
 import numpy as np
 import xxhash
 
-#: Minwise values in a sketch; entries of a worker's word cache.
-COORDINATES, CACHE_ENTRIES = 64, 400_000
+#: Minwise values in a sketch.
+COORDINATES = 64
 
 _TILE = 4096
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_hashes = _WordHashes()
-
-
 @functools.cache
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20_240_229))
@@ -50,7 +37,7 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     the whole sequence is one shingle; without words the set is empty.
     """
     words = text.encode().lower().split()
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if not len(h):
         return h
     width = min(width, len(h))
