@@ -1,6 +1,7 @@
 """Operators on one document at a time, against the libraries or brute force."""
 
 import collections
+import functools
 import hashlib
 import re
 import zlib
@@ -48,6 +49,10 @@ def texts(docs):
     return {r["doc_id"]: r["text"] for r in docs.collect()}
 
 
+library_at = functools.cache(Tokenizer.from_file)
+
+
+@functools.cache
 def reference_bpe():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.encoder(MULTI).ranks, special_tokens={})
 
@@ -87,12 +92,12 @@ def test_bpe_query(spark, odd, nothing, docs, texts):
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_token_counts_as_the_library(text):
-    library = Tokenizer.from_file(WORDS)
+    library = library_at(WORDS)
     assert sum(token_counts.counter(WORDS).unit_counts(text)) == len(library.encode(text, add_special_tokens=False).ids)
 
 
 def test_prefix_counts():
-    model, library = token_counts.counter(WORDS), Tokenizer.from_file(WORDS)
+    model, library = token_counts.counter(WORDS), library_at(WORDS)
     for word in ("internationalisation", "thehaingtionst", "aaaaaaaaaaaa"):
         assert model.prefix_counts(word)[1:] == [len(library.encode(word[:k], add_special_tokens=False).ids) for k in range(1, len(word) + 1)]
     assert model.unit_counts("a<|endoftext|>b") == [1, 1, 1]
@@ -101,7 +106,7 @@ def test_prefix_counts():
 
 
 def test_token_counts_query(odd, nothing, docs, texts):
-    library = Tokenizer.from_file(WORDS)
+    library = library_at(WORDS)
     for r in token_counts.count_tokens(docs, limit=300).collect():
         n = len(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(texts[r["doc_id"]].encode()), n > 300)
@@ -112,7 +117,7 @@ def test_token_counts_query(odd, nothing, docs, texts):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(TEXTS, min_size=1, max_size=4))
 def test_piece_cache_as_the_library(many):
-    library = Tokenizer.from_file(BYTES)
+    library = library_at(BYTES)
     got = token_store.pieces_of(BYTES, "<u2").encode(many)
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e.ids for e in library.encode_batch(many, add_special_tokens=False)]
 
@@ -124,7 +129,7 @@ def test_variable_length_integers(values):
 
 
 def test_token_store_query(spark, odd, nothing, docs, texts):
-    library, at = Tokenizer.from_file(BYTES), 0
+    library, at = library_at(BYTES), 0
     for r in token_store.write_and_read(docs).orderBy("doc_id").collect():
         ids = [*library.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))

@@ -263,7 +263,7 @@ def confirm(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> Dat
         for group in _groups(batches, "pair"):
             keys = group.column("pair").to_numpy()
             starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist()
-            ids, hashes = group.column("rid").to_numpy(), group.column("hashes").combine_chunks()
+            ids, hashes = group.column("rid").to_numpy(), group.column("hashes")  # its chunks are not copied together
             edges: list[tuple[int, int]] = []
             for s, e in zip(starts, [*starts[1:], len(keys)]):
                 edges += _linked(ids[s:e], [np.frombuffer(hashes[i].as_py(), np.uint64) for i in range(s, e)], percent)
