@@ -116,9 +116,11 @@ def test_token_counts_query(odd, nothing, docs, texts):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(TEXTS, min_size=1, max_size=4))
-def test_piece_cache_as_the_library(many):
+def test_stored_ids_as_the_library(many):
     library = library_at(BYTES)
-    got = token_store.pieces_of(BYTES, "<u2").encode(many)
+    many = [*many, "a<|endoftext|>b", "x  y"]
+    assert token_store.encoder(BYTES, "<u2").fast is not None and token_store.encoder(WORDS, "<u2").fast is None
+    got = token_store.encoder(BYTES, "<u2").encode(many)
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e.ids for e in library.encode_batch(many, add_special_tokens=False)]
 
 

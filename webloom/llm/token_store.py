@@ -14,25 +14,25 @@ become their single id, as the library does by default.
 from __future__ import annotations
 
 import functools
+import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import common
 from webloom.llm.bpe import _arrow_type
+from webloom.llm.token_counts import byte_symbols
 
 #: Ids in a block, unless one document alone has more; texts given to the library at a time, in characters.
 BLOCK_IDS, CALL_CHARS = 1 << 18, 300_000
 
-#: Pieces whose ids a worker keeps, in each of two halves by age.
-CACHE_PIECES = 400_000
-
 
 @functools.cache
 def tokenizer(path: str):
@@ -42,49 +42,50 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class PieceCache(dict):
-    """A space and the characters up to the next -> their packed ids.
-
-    No token crosses from a character to a following space, and where no two
-    spaces meet, what stands between two spaces is split by itself as it is in
-    the whole text. So each distinct piece needs the library only once.
-    """
+class Encoder:
+    """The library's ids, packed. Where its file is a plain byte-level BPE whose ids follow
+    the order of its merges, the same merges run in a faster library; texts with a special
+    string, and files of other kinds, go to the tokenizers library itself."""
 
     def __init__(self, path: str, width: str):
-        super().__init__()
         self.model, self.width = tokenizer(path), width
-        self.older: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.fast = _by_ranks(spec)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        alone = ["  " in t for t in texts]
-        pieces = [[""] if a else t.split(" ") for t, a in zip(texts, alone)]
-        first = self._library([t if a else p[0] for t, a, p in zip(texts, alone, pieces)])
-        new = set().union(*pieces).difference(self)
-        if len(self) + len(new) > CACHE_PIECES:  # pieces that are still in use come back from the older half
-            self.older = dict(self)
-            self.clear()
-            new = set().union(*pieces)
-        known = new.intersection(self.older)
-        self.update((p, self.older[p]) for p in known)
-        if new := sorted(new - known):
-            self.update(zip(new, self._library([f" {p}" for p in new])))
-        look_up = self.__getitem__
-        return [f if a else f + b"".join(map(look_up, p[1:])) for f, a, p in zip(first, alone, pieces)]
+        slow = [i for i, t in enumerate(texts) if self.fast is None or any(s in t for s in self.special)]
+        slow = dict(zip(slow, self.model.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False)))
+        ids = (slow[i].ids if i in slow else self.fast.encode_to_numpy(t, disallowed_special=()) for i, t in enumerate(texts))
+        return [np.asarray(x, "<u4").astype(self.width).tobytes() for x in ids]
+
+
+def _by_ranks(spec: dict) -> tiktoken.Encoding | None:
+    """A rank encoder with the same results as a tokenizer file's, if the file is of that kind."""
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and spec["normalizer"] is None and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) != ("ByteLevel", False, True):
+        return None
+    special = {t["content"] for t in spec["added_tokens"]}
+    byte_of = {c: b for b, c in enumerate(byte_symbols())}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if made != sorted(set(made)) or len(made) + 256 != len(ranks) or any(len(t) > 1 and i < 256 for t, i in ranks.items()):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @functools.cache
-def pieces_of(path: str, width: str) -> PieceCache:
-    return PieceCache(path, width)
+def encoder(path: str, width: str) -> Encoder:
+    return Encoder(path, width)
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids): each whole text's ids and the end id, as little-endian integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = pieces_of(path, width), np.array([end_id], width).tobytes()
+        model, end = encoder(path, width), np.array([end_id], width).tobytes()
         for ids, texts in common.chunks(batches, CALL_CHARS):
             packed = [p + end for p in model.encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
