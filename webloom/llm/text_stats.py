@@ -69,7 +69,11 @@ def counts(docs: DataFrame, *keep: str) -> DataFrame:
         lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + F.least(F.lit(3), p + 3 - a["end"])).cast("long").alias("n")),
         lambda a: a["n"],
     )
-    return step.select(*others, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    step = step.select(*others, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    # A condition on a row number that always holds keeps filters above this point; the optimiser
+    # would otherwise write the statistics out again inside every filter on them.
+    whole = F.monotonically_increasing_id() >= 0
+    return step.select(*keep, *(F.when(whole, F.col(c)).alias(c) for c in step.columns if c not in keep))
 
 
 def features(counted: DataFrame) -> dict[str, Column]:
