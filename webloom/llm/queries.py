@@ -58,7 +58,7 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.plan(table(spark, sf_dir, "documents"), shards=16)
+    return sharding.write_and_read(table(spark, sf_dir, "documents"), shards=16)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,9 +4,10 @@ Rows are keyed by 40 bits of their text's hash over 24 bits of their doc_id's,
 so equal texts are neighbours and even a text that holds most rows can be cut.
 The bytes below candidate keys are counted exactly, by partial histograms in
 every task; each splitter's interval shrinks round the exact target until its
-error is within tolerance or no key is left to try. Then rows move once, to
-ranges of bounded size; each shard is a run of such ranges, so that the number
-of tasks follows the data and not the number of shards.
+error is within tolerance or no key is left to try. Then whole rows move once,
+to ranges of bounded size; each shard is a run of such ranges, so that the number
+of tasks follows the data and not the number of shards. `write` stores a folder
+of files per shard and range, and `read` takes the results from the stored texts.
 
 Null texts have no bytes (size 1). Rows of one key stay together, so identical
 rows cannot be cut apart. Columns of the input named like a result are replaced.
@@ -21,24 +22,30 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from webloom.llm import common
 
 #: Candidate keys per splitter and round; allowed error of a splitter in shares of a range; bytes in a range.
 PROBES, TOLERANCE, RANGE_BYTES = 16, 0.001, 256 << 20
 
-_KEY, _RANGE = "__shard_key", "__shard_range"
+_KEY, _RANGE, _BEFORE = "__shard_key", "__shard_range", "__rows_before"
+_STORED = ("shard", _RANGE, "slot")
+_RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """`docs` with size, text_crc32 and the sort key."""
+def with_sizes(docs: DataFrame) -> DataFrame:
+    """`docs` with size and text_crc32."""
     text = F.col("text").cast("string")
     body = F.coalesce(text, F.lit("")).cast("binary")
-    by_text = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 24), 24)
+    return docs.withColumns({"size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), "text_crc32": F.crc32(body)})
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """`docs` with size, text_crc32 and the sort key."""
+    by_text = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 24), 24)
     by_row = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(1)), 40)
-    return docs.withColumns(
-        {"size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), "text_crc32": F.crc32(body), _KEY: by_text.bitwiseOR(by_row)}
-    )
+    return with_sizes(docs).withColumn(_KEY, by_text.bitwiseOR(by_row))
 
 
 def _histogram(keys: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +100,8 @@ def splitters(keys: DataFrame, shards: int, per_shard: int) -> tuple[np.ndarray,
     return chosen, _histogram(keys, chosen)[1]
 
 
-def shard(docs: DataFrame, shards: int = 16, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """`docs` with size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
+def _placed(docs: DataFrame, shards: int, range_bytes: int) -> DataFrame:
+    """`docs` with size, text_crc32, shard, range and slot, by one exchange of its rows."""
     keyed = with_keys(docs)
     keys = common.stage(keyed.select(_KEY, "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
@@ -113,16 +120,41 @@ def shard(docs: DataFrame, shards: int = 16, range_bytes: int = RANGE_BYTES) ->
     def rows_before(number: pd.Series) -> pd.Series:
         return pd.Series(offsets.value[number.to_numpy()])
 
-    placed = keyed.drop("law", "shard", "slot", "grown_shard").withColumn(_RANGE, range_of(_KEY))
-    order = Window.partitionBy(_RANGE).orderBy(_KEY, "doc_id", "text_crc32", "size")
-    return placed.withColumn("slot", F.row_number().over(order)).withColumns(
-        {
-            "law": F.lit("bytes"),
-            "shard": F.floor(F.col(_RANGE) / per_shard).cast("int"),
-            "slot": F.col("slot") - 1 + rows_before(_RANGE),
-            "grown_shard": F.lit(None).cast("int"),
-        }
-    ).drop(_KEY, _RANGE)
+    # Both before the exchange: a Python function after it would lose the order in which files are written.
+    placed = keyed.drop(*_STORED).withColumn(_RANGE, range_of(_KEY)).withColumn(_BEFORE, rows_before(_RANGE))
+    placed = placed.withColumn("shard", F.floor(F.col(_RANGE) / per_shard).cast("int"))
+    order = Window.partitionBy("shard", _RANGE).orderBy(_KEY, "doc_id", "text_crc32", "size")
+    return placed.withColumn("slot", F.row_number().over(order) - 1 + F.col(_BEFORE)).drop(_KEY, _BEFORE)
+
+
+def _results(rows: DataFrame) -> DataFrame:
+    return rows.drop(_RANGE, "law", "grown_shard").withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def shard(docs: DataFrame, shards: int = 16, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """`docs` with size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
+    return _results(_placed(docs, shards, range_bytes))
+
+
+def write(docs: DataFrame, out: str, shards: int = 16, range_bytes: int = RANGE_BYTES) -> None:
+    """Store whole rows of `docs` with their slots below {out}, in a folder per shard and range in it."""
+    rows = _placed(docs.drop(*_RESULTS), shards, range_bytes).drop("size", "text_crc32")
+    rows.write.partitionBy("shard", _RANGE).option("compression", "zstd").parquet(out)
+
+
+def read(docs: DataFrame, out: str) -> DataFrame:
+    """The rows stored below {out}, with the columns of `docs` and results as `shard` gives them."""
+    schema = StructType([f for f in docs.drop(*_RESULTS).schema])
+    for name, kind in zip(_STORED, ("integer", "integer", "long")):
+        schema.add(name, kind)
+    return _results(with_sizes(docs.sparkSession.read.schema(schema).parquet(out)))
+
+
+def write_and_read(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row, from the written files."""
+    out = common.new_path(docs.sparkSession, "shards")
+    write(docs, out, shards)
+    return read(docs, out).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def plan(docs: DataFrame, shards: int = 16) -> DataFrame:
