@@ -12,7 +12,7 @@ Kinds, as listed in results:
   github   a prefixed token whose last six characters are its CRC-32 in base 62
   npm      likewise with npm's prefix
   jwt      a signed web token whose header decodes to JSON
-  pem      the first line of a private key block
+  pem      a private key block up to its END line; without one, to the end of its base64 lines
 Spans are whole matches in code points, end exclusive, leftmost and not
 overlapping within a kind. Null and empty texts have none. Other columns are
 ignored by `find`; `redact` keeps them.
@@ -72,6 +72,17 @@ def _is_token(m: re.Match) -> bool:
         return False
 
 
+_PEM_LABEL = rb"(?:[A-Z]{2,12} ){0,2}PRIVATE KEY(?: BLOCK)?-----"
+#: A body has no five dashes, so the next ones end it; no place is read for more than one header.
+_PEM_TO_END = rb"(?:[^-]++|-(?!----))*+-----END " + _PEM_LABEL
+#: Without an END line: header fields, then lines of base64, of which the last may be short.
+_PEM_BREAK = rb"(?:[\s\"'>,;]|\\+[nrt])"
+_PEM_RUN = (
+    rb"(?:" + _PEM_BREAK + rb"*+(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):[^\r\n\\]*+)*+"
+    rb"(?:(?:" + _PEM_BREAK + rb"*+[A-Za-z0-9+/]{16,}+={0,2})++"
+    rb"(?:" + _PEM_BREAK + rb"++(?:=?[A-Za-z0-9+/]{1,15}+={1,2}|=[A-Za-z0-9+/]{4}(?![A-Za-z0-9+/])|[A-Za-z0-9+/]{1,15}+(?=[\x20\t]*+(?:[\r\n\\]|\Z))))*+)?"
+)
+
 #: kind -> (keywords in lower case, pattern anchored at the keyword, further test of a match)
 _RULES = {
     "assign": (
@@ -83,7 +94,7 @@ _RULES = {
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), _checksum_holds),
     "npm": (("npm_",), re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), _checksum_holds),
     "jwt": (("eyj",), re.compile(rb"(eyJ[A-Za-z0-9_-]{8,})\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"), _is_token),
-    "pem": (("-----begin ",), re.compile(rb"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----"), lambda m: True),
+    "pem": (("-----begin ",), re.compile(rb"-----BEGIN " + _PEM_LABEL + rb"(?:" + _PEM_TO_END + rb"|" + _PEM_RUN + rb")"), lambda m: True),
 }
 
 
