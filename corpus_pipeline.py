@@ -3,7 +3,8 @@
 All stages but the last return the columns of `documents`. Every stage decides
 on its own input, whole: the classifier rejects documents, one document of each
 near-duplicate group stays, contaminated documents go, secrets are masked, and
-the remaining texts become token ids.
+the remaining texts become token ids. Each row is decided by itself, also where
+doc_ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from webloom.llm import bpe, common, decontaminate, near_dup, quality_model, secret_scan
 
+_ROW = "__row_number"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted on the labelled ones, does not reject."""
@@ -22,17 +25,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at five words and a similarity of 0.8."""
-    found = near_dup.near_duplicates(docs, width=5, percent=80)
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group linked at five words and a similarity of 0.8: that of the smallest doc_id, then row; null ids last."""
+    # Written with row numbers of their own, so that they stay: doc_ids may repeat or be null.
+    rows = common.stage(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    found = near_dup.near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"), width=5, percent=80)
+    groups = found.select(F.col("doc_id").alias(_ROW), "component_id").join(rows.select(_ROW, "doc_id"), _ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", _ROW))
+    kept = groups.groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{_ROW}").alias(_ROW))
+    return rows.join(kept, _ROW, "left_semi").select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark's items."""
-    found = decontaminate.report(docs, common.table(spark, sf_dir, "benchmark"), window=10)
-    dropped = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.keep(docs, common.table(spark, sf_dir, "benchmark"), window=10)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

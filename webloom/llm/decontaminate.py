@@ -116,19 +116,28 @@ def scan(docs: DataFrame, items: list[tuple], window: int, item_kind: str) -> Da
     return texts.mapInArrow(run, f"doc_id {kind}, n_words long, ranges array<array<long>>, spans array<array<long>>, items array<string>")
 
 
+def _items(benchmark: DataFrame, max_bytes: int) -> tuple[DataFrame, int]:
+    """(item_id, text) of the benchmark and the number of passes that it takes."""
+    texts = benchmark.select(F.col("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return texts, -(-size // max_bytes) or 1
+
+
+def _part(texts: DataFrame, passes: int, k: int) -> DataFrame:
+    return texts.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, ranges of hit words, spans of the original text, item ids as sorted strings."""
-    texts = benchmark.select(F.col("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts, passes = _items(benchmark, max_bytes)
     item_kind = texts.schema["item_id"].dataType.simpleString()
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = -(-size // max_bytes) or 1
     if passes == 1:
         return scan(docs, [tuple(r) for r in texts.collect()], window, item_kind)
     # Rows are told apart by a number of their own, as doc_ids may repeat or be null.
     numbered = common.stage(docs.select("doc_id", "text").withColumn("row_number", F.monotonically_increasing_id()), "numbered")
     hits = []
     for k in range(passes):
-        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).collect()
+        part = _part(texts, passes, k).collect()
         keyed = numbered.select(F.col("row_number").alias("doc_id"), "text")
         hits.append(common.stage(scan(keyed, [tuple(r) for r in part], window, item_kind), "hits"))
     every = functools.reduce(DataFrame.unionByName, hits)
@@ -163,5 +172,25 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
     )
 
 
+def keep(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows of `docs` without a hit, as they are; each is decided where it stands, so doc_ids do not matter."""
+    texts, passes = _items(benchmark, max_bytes)
+    for k in range(passes):
+        docs = _without_hits(docs, [tuple(r) for r in _part(texts, passes, k).collect()], window)
+    return docs
+
+
+def _without_hits(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
+    model = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(model.value, window)
+        for batch in batches:
+            clean = [not windows.scan(words(text.as_py() or ""))[0] for text in batch.column("text")]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
