@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by a rank file.
 
-Pieces come from `pretokenize` (no regex); each distinct piece is merged once
-and kept in a bounded cache. Work is map-only: no shuffle, and a lost task is
-simply run again.
+Pieces come from `pretokenize` (no regex); each kind of piece in a chunk of
+texts is looked up once in a bounded cache, or merged, and its ids are laid out
+over all pieces with array gathers. Work is map-only: no shuffle, and a lost
+task is simply run again.
 
 Null and empty texts give no ids and decode to no bytes. Other columns of the
 input are ignored. Repeated rows give repeated results, one per row.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import struct
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm import common, pretokenize
+from webloom.llm import common, pieces, pretokenize
 
 #: Entries of a worker's piece cache, and the longest piece that it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
@@ -65,41 +66,56 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Encoder(dict):
-    """piece -> its ids, packed as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """Ids of texts, and bytes of ids, as numpy arrays."""
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.ranks = read_ranks(path)
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+    def __init__(self, path: str, classes: bytes):
+        self.ranks, self.classes = read_ranks(path), classes
+        self.known: dict[str, list[int]] = {}
+        tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = merge(piece.encode(), self.ranks)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = packed
-        return packed
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        look_up = self.__getitem__
-        return [b"".join(map(look_up, pieces)) for pieces in pretokenize.split_documents(texts)]
-
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
-    def offsets(self, packed: bytes) -> np.ndarray:
-        """Byte offset in the text at which each token starts, and the text's length last."""
-        return np.concatenate([[0], np.cumsum(self.lengths[np.frombuffer(packed, "<u4")])])
-
-
-@functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+            tokens[rank] = token
+        self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.places = np.cumsum(self.lengths) - self.lengths
+
+    def _ids(self, piece: str) -> list[int]:
+        if (ids := self.known.get(piece)) is None:
+            ids = merge(piece.encode(), self.ranks)
+            if len(piece) <= CACHE_CHARS:
+                if len(self.known) >= CACHE_ENTRIES:
+                    self.known.clear()
+                self.known[piece] = ids
+        return ids
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids before each text and after the last)."""
+        found = pretokenize.split(texts, self.classes)
+        ids = list(map(self._ids, found.kinds))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        values, ends = found.lay_out(flat, sizes)
+        return values, np.concatenate([[0], ends])
+
+    def encode_long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one text, part by part."""
+        values = np.concatenate([self.encode([part])[0] for part in pieces.parts(text)])
+        return values, np.array([0, len(values)])
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, number of bytes before each id and after the last)."""
+        return pieces.ragged(self.bytes, self.places, self.lengths, ids)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, classes: bytes) -> Encoder:
+    return Encoder(path, classes)
+
+
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column whose rows are runs of an array; ends: values before each row and after the last."""
+    offsets = (ends * values.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)]).cast(pa.binary())
 
 
 def encode(docs: DataFrame, path: str, offsets: bool = False, decoded: bool = False) -> DataFrame:
@@ -108,36 +124,34 @@ def encode(docs: DataFrame, path: str, offsets: bool = False, decoded: bool = Fa
     with `decoded` also the bytes that the ids decode to, in the same pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(path)
-        for ids, texts in common.chunks(batches):
-            packed = model.encode(texts)
-            columns = [pa.array(ids, id_type), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+        model = encoder(path, classes)
+        for rows, texts in common.chunks(batches):
+            values, ends = model.encode_long(texts[0]) if len(texts) == 1 else model.encode(texts)
+            columns = [rows, pa.array(np.diff(ends)), binaries(values, ends)]
+            if offsets or decoded:
+                raw, before = model.decode(values)
             if offsets:
-                columns.append(pa.array([model.offsets(p).tolist() for p in packed], pa.list_(pa.int64())))
+                columns.append(pa.array([(before[a : b + 1] - before[a]).tolist() for a, b in itertools.pairwise(ends)], pa.list_(pa.int64())))
             if decoded:
-                columns.append(pa.array(map(model.decode, packed), pa.binary()))
+                columns.append(binaries(raw, before[ends]))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     texts = common.doc_texts(docs)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    id_type = _arrow_type(kind)
+    classes = pretokenize.classes("tiktoken")
     names = ["doc_id", "n_tokens", "ids"] + ["token_offsets"] * offsets + ["decoded"] * decoded
     return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", token_offsets array<long>" * offsets + ", decoded binary" * decoded)
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds `decoded`, the bytes that the ids of each row stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(path)
+        model = encoder(path, b"")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                decoded = pa.array([model.decode(x) for x in part.column("ids").to_pylist()], pa.binary())
+                decoded = pa.array([model.decode(np.frombuffer(x, "<u4"))[0].tobytes() for x in part.column("ids").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one vectorised pass handles at a time inside a task.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 
 #: Rows whose remainder is 1 are held out of every fit.
 HELD_OUT_REMAINDER = 1
@@ -32,12 +31,17 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which all machines must share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-webloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+    import tempfile
+
+    base = "file://" + tempfile.mkdtemp(prefix="spark-webloom-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -61,18 +65,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:
-    """(doc_ids, texts) lists of about `limit` characters; a longer text comes alone, whole."""
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(doc_ids, texts) of about `limit` characters; a longer text comes alone, whole. Ids stay as Arrow has them, of any type."""
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+        ids, texts = batch.column("doc_id"), batch.column("text")
         start, total = 0, 0
         taken: list[str] = []
         for i in range(len(ids)):
             text = texts[i].as_py() or ""
             if taken and total + len(text) > limit:
-                yield ids[start:i], taken
+                yield ids.slice(start, i - start), taken
                 start, total, taken = i, 0, []
             taken.append(text)
             total += len(text)
         if taken:
-            yield ids[start:], taken
+            yield ids.slice(start), taken

@@ -4,9 +4,9 @@ The splitting rule is the public one for this vocabulary family:
 
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
-It is run as a finite automaton (the table of character classes is
-read once from the library whose results must be met) over an array of code points. Each character,
-with at most two characters of look-ahead folded into its symbol, is a
+It is run as a finite automaton over an array of code points. The table of
+character classes is asked of the library whose results must be met, once on
+the driver, and sent along with the tasks. Each character, with at most two characters of look-ahead folded into its symbol, is a
 transition function on eight states. Functions compose associatively, so the
 state before every character comes from a prefix scan over small integers that
 name the functions: inside blocks first, then over block totals.
@@ -15,20 +15,15 @@ name the functions: inside blocks first, then over block totals.
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
-import tiktoken
 
-#: Stands between documents; a lone surrogate never occurs in valid UTF-8.
-SEPARATOR = "\ud800"
-_SEPARATOR_CP = 0xD800
+from webloom.llm import pieces
 
 LETTER, NUMBER, OTHER, JOINING_SPACE, LAST_SPACE, INNER_SPACE, CONTRACTION_2, CONTRACTION_3, BREAK = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, AFTER_SPACE, ONE_LEFT, TWO_LEFT = range(8)
 
-#: White_Space of the Unicode standard (fixed values).
-WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-
 _BLOCK = 128
 
 
@@ -74,25 +69,42 @@ def _machine() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.array([known[f] for f in of_symbol], np.uint16), compose.ravel(), functions.ravel(), starts.ravel()
 
 
+#: Planes that have characters (fixed values: 0 to 3 and 14); what the others may hold is no letter, number or space.
+_PLANES = (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000))
+
+
+def _members(library: str, pattern: str, characters: str) -> str:
+    """The characters that match, by the Unicode version of the library itself."""
+    if library == "tiktoken":
+        import tiktoken
+
+        keeps = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        return bytes(keeps.encode_ordinary(characters)).decode()
+    from tokenizers import Regex, pre_tokenizers
+
+    split = pre_tokenizers.Split(Regex(f"{pattern}+"), "removed", invert=True)
+    return "".join(piece for piece, _ in split.pre_tokenize_str(characters))
+
+
 @functools.cache
-def class_table() -> np.ndarray:
-    """Class of every code point; spaces are LAST_SPACE here, U+0020 is JOINING_SPACE."""
+def classes(library: str) -> bytes:
+    """Class of every code point as "tiktoken" or "tokenizers" has it, compressed: for closures of tasks."""
     table = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    single_bytes = {bytes([b]): b for b in range(256)}
-    for kind, name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
-        # The library keeps what matches, so this asks for its own Unicode version.
-        members = tiktoken.Encoding("classes", pat_str=name, mergeable_ranks=single_bytes, special_tokens={})
-        found = bytes(members.encode_ordinary(every)).decode()
-        table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
-    table[WHITE_SPACE] = LAST_SPACE
+    every = "".join(map(chr, _PLANES))
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (LAST_SPACE, r"\s")):
+        table[np.frombuffer(_members(library, pattern, every).encode("utf-32-le"), np.uint32)] = kind
     table[0x20] = JOINING_SPACE
-    table[_SEPARATOR_CP] = BREAK
-    return table
+    table[ord(pieces.SEPARATOR)] = BREAK
+    return zlib.compress(table.tobytes())
+
+
+@functools.lru_cache(maxsize=2)
+def table_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
 
 
-def _symbols(cps: np.ndarray) -> np.ndarray:
-    symbols = class_table()[cps]
+def _symbols(cps: np.ndarray, table: np.ndarray) -> np.ndarray:
+    symbols = table[cps]
     space = (symbols == LAST_SPACE) | (symbols == JOINING_SPACE)
     followed = np.ones(len(cps), bool)
     followed[:-1] = space[1:] | (symbols[1:] == BREAK)
@@ -134,23 +146,19 @@ def _states_before(symbols: np.ndarray) -> np.ndarray:
     return apply[before.astype(np.int64) * 8 + entry].T.ravel()[:n]
 
 
-def piece_starts(text: str) -> np.ndarray:
-    """Start offset, in code points, of every piece (and every separator) of `text`."""
-    if not text:
+def piece_starts(cps: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Place of the first character of every piece (and of every separator)."""
+    if not len(cps):
         return np.zeros(0, np.int64)
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = _symbols(cps)
+    symbols = _symbols(cps, table)
     states = _states_before(symbols)
     return np.flatnonzero(_machine()[3][states.astype(np.int64) * 9 + symbols])
 
 
-def split_documents(texts: list[str]) -> list[list[str]]:
-    """The pieces of each text, all found in one pass over the joined texts."""
-    joined = SEPARATOR.join(texts)
-    starts = piece_starts(joined)
-    ends = np.append(starts[1:], len(joined))
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    low, high = np.searchsorted(starts, first), np.searchsorted(starts, first + lengths)
-    starts, ends = starts.tolist(), ends.tolist()
-    return [[joined[a:b] for a, b in zip(starts[i:j], ends[i:j])] for i, j in zip(low.tolist(), high.tolist())]
+def split(texts: list[str], packed: bytes) -> pieces.Pieces:
+    """The pieces of all texts by kind, found in one pass; `packed` comes from `classes`."""
+    joined, cps, _, last = pieces.join(texts)
+    starts = piece_starts(cps, table_of(packed))
+    stops = np.append(starts[1:], len(cps))
+    own = cps[starts] != ord(pieces.SEPARATOR)
+    return pieces.distinct(joined, cps, starts[own], stops[own], last)
