@@ -3,9 +3,13 @@
 A word's encoding is found by dynamic programming over its prefixes: the
 encoding of a prefix is the encoding of a shorter prefix plus the one token
 that is compatible with its last token, so one pass stores the count of every
-prefix. Counts of whole words are summed over a text, again as a prefix table,
-which answers "how many tokens in the first k words" and "how many words fit a
-budget" without encoding again.
+prefix. Counts of whole words are summed over a text, again as a prefix table;
+`tokens_of` and `words_within` answer from that table, without encoding again,
+how many tokens the first words have and how many words fit a budget.
+
+Character classes and, where a text has characters that may combine or whose
+lower case is not plain, the whole normalisation are the tokenizers library's
+own. Each kind of word in a chunk of texts is counted once.
 
 Null and empty texts count 0 tokens. Special strings inside a text count as
 their single token, as the library does by default. Other columns are ignored;
@@ -16,23 +20,21 @@ from __future__ import annotations
 
 import functools
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm import common
-from webloom.llm.bpe import _arrow_type
+from webloom.llm import common, pieces, pretokenize
 
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
 
-#: Words as the vocabulary's tokenizer file splits them (a fixed value).
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters outside these ranges may combine with others or have an unusual lower case.
+_UNUSUAL = re.compile("[^\x00-\u02ff\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u3000-\u3029\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fff\uac00-\ud7a3]")
 
 
 def byte_symbols() -> list[str]:
@@ -45,8 +47,9 @@ def byte_symbols() -> list[str]:
 class WordCounter(dict):
     """word (normalised) -> its number of tokens, by prefix dynamic programming."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: bytes):
         super().__init__()
+        self.classes, self.normaliser = classes, tokenizer(path).normalizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -62,8 +65,7 @@ class WordCounter(dict):
             self.made[left + right] = rank
         self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.special_pattern = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.words = regex.compile(WORD_PATTERN).findall
+        self.special_pattern = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self._compatible: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
         self._prefixes: dict[str, tuple[int, str]] = {}
@@ -143,70 +145,122 @@ class WordCounter(dict):
             self[word] = count
         return count
 
-    def unit_counts(self, text: str) -> list[int]:
-        """Token count of every word and special string of `text`, in order."""
-        counts: list[int] = []
-        at, look_up = 0, self.__getitem__
-        if self.special_pattern is not None and "<|" in text:
-            for hit in self.special_pattern.finditer(text):
-                counts += map(look_up, self.words(normalise(text[at : hit.start()])))
-                counts.append(1)
-                at = hit.end()
-        counts += map(look_up, self.words(normalise(text[at:])))
-        return counts
-
-
-def normalise(text: str) -> str:
-    """NFC and lower case, character by character: no final-sigma rule, and two newer case pairs."""
-    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").replace("\ua7cb", "\u0264").replace("\ua7dc", "\u019b")
-    return text.lower()
-
-
-class PrefixTable:
-    """Token counts at every word end of one text."""
+    def normalise(self, text: str) -> str:
+        """The text as the library cuts it into words; white space may differ."""
+        return self.normaliser.normalize_str(text) if _UNUSUAL.search(text) else text.lower()
+
+    def _segments(self, text: str) -> list[str | None]:
+        """The text between special strings, each of which is a None."""
+        if self.special_pattern is None or "<|" not in text:
+            return pieces.parts(text)
+        found, at = [], 0
+        for hit in self.special_pattern.finditer(text):
+            found += [*pieces.parts(text[at : hit.start()]), None]
+            at = hit.end()
+        return [*found, *pieces.parts(text[at:])]
+
+    def ends(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens up to the end of every word of all texts, counted from its text's beginning; words before each text and after the last).
+
+        A special string is a word of one token."""
+        segments = [self._segments(t) for t in texts]
+        counts, sizes = [], []
+        for group in _groups([s for own in segments for s in own], pieces.PART_CHARS):
+            some, per = self._counts([self.normalise(s) if s is not None else None for s in group])
+            counts.append(some)
+            sizes.append(per)
+        counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        of_segments = np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else [])]).astype(np.int64)
+        before = of_segments[np.cumsum([0, *map(len, segments)])]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        return total[1:] - np.repeat(total[before[:-1]], np.diff(before)), before
+
+    def _counts(self, segments: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of every word, number of words of each segment)."""
+        joined, cps, _, last = pieces.join(["" if s is None else s for s in segments])
+        found = pieces.distinct(joined, cps, *word_bounds(cps, pretokenize.table_of(self.classes)), last)
+        per_kind = np.fromiter(map(self.__getitem__, found.kinds), np.int64, len(found.kinds))
+        special = np.fromiter((s is None for s in segments), bool, len(segments))
+        counts = np.insert(per_kind[found.number], found.ends[special], 1)
+        return counts, np.diff(np.concatenate([[0], found.ends])) + special
+
+
+def _groups(segments: list[str | None], limit: int) -> Iterator[list[str | None]]:
+    at, total = 0, 0
+    for i, s in enumerate(segments):
+        total += len(s or "")
+        if total >= limit or i + 1 == len(segments):
+            yield segments[at : i + 1]
+            at, total = i + 1, 0
+
+
+def word_bounds(cps: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, stops) of the words of normalised text by the tokenizer file's rule (a fixed value):
+
+    's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+
+    """
+    kind = table[cps]
+    inside, alone = kind <= pretokenize.OTHER, kind == pretokenize.NUMBER
+    change = np.ones(len(cps) + 1, bool)
+    change[1:-1] = kind[1:] != kind[:-1]
+    start, stop = inside & (change[:-1] | alone), inside & (change[1:] | alone)
+    # An apostrophe that is a run of its own takes one or two of the letters that follow.
+    marks = np.flatnonzero((cps == 0x27) & start & stop)
+    padded = np.append(cps, [0, 0]).astype(np.uint32)
+    one, two = padded[marks + 1], padded[np.minimum(marks + 2, len(cps))]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    for at, length in ((marks[short], 1), (marks[long], 2)):
+        start[at + 1] = stop[at] = False
+        stop[at + length] = True
+        following = at + length + 1
+        following = following[following < len(cps)]
+        start[following] = inside[following]
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def counter(path: str, classes: bytes) -> WordCounter:
+    return WordCounter(path, classes)
+
+
+def prefix_table(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_bytes, token_ends), one row per input row: the tokens up to the end of each of its words."""
+    path = path or public_tokenizers.path("word_bpe_49k.json")
 
-    def __init__(self, counts: list[int]):
-        self.ends = np.cumsum(counts, dtype=np.int64) if counts else np.zeros(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = counter(path, classes)
+        for rows, texts in common.chunks(batches):
+            ends, before = model.ends(texts)
+            table = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ends))
+            yield pa.RecordBatch.from_arrays([rows, pa.array([len(t.encode()) for t in texts]), table], names=["doc_id", "n_bytes", "token_ends"])
 
-    def total(self) -> int:
-        return int(self.ends[-1]) if len(self.ends) else 0
+    texts = common.doc_texts(docs)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    classes = pretokenize.classes("tokenizers")
+    return texts.mapInArrow(run, f"doc_id {kind}, n_bytes long, token_ends array<long>")
 
-    def tokens(self, words: int) -> int:
-        """Tokens of the first `words` words."""
-        return int(self.ends[min(words, len(self.ends)) - 1]) if words > 0 and len(self.ends) else 0
 
-    def fitting(self, budget: int) -> int:
-        """The most leading words whose tokens stay within `budget`."""
-        return int(np.searchsorted(self.ends, budget, side="right"))
+def tokens_of(words: Column | int, ends: Column) -> Column:
+    """Tokens of the first `words` words, by a column of `prefix_table`; of all where there are fewer."""
+    at = F.least(F.lit(words) if isinstance(words, int) else words, F.size(ends))
+    return F.when(at > 0, F.get(ends, at - 1)).otherwise(F.lit(0).cast("long"))
 
 
-@functools.cache
-def counter(path: str) -> WordCounter:
-    return WordCounter(path)
+def words_within(budget: Column | int, ends: Column) -> Column:
+    """The most leading words whose tokens stay within a budget."""
+    return F.size(F.filter(ends, lambda e: e <= budget)).cast("long")
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, n_words, fitting_words), one row per input row;
     fitting_words is the number of leading words within `limit` tokens."""
-    path = path or public_tokenizers.path("word_bpe_49k.json")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = counter(path)
-        for ids, texts in common.chunks(batches):
-            tables = [PrefixTable(model.unit_counts(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, id_type),
-                    pa.array([t.total() for t in tables], pa.int64()),
-                    pa.array([len(t.ends) for t in tables], pa.int64()),
-                    pa.array([t.fitting(limit) for t in tables], pa.int64()),
-                    pa.array([len(t.encode()) for t in texts], pa.int64()),
-                ],
-                names=["doc_id", "n_tokens", "n_words", "fitting_words", "n_bytes"],
-            )
-
-    texts = common.doc_texts(docs)
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    id_type = _arrow_type(kind)
-    counted = texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_words long, fitting_words long, n_bytes long")
+    ends = F.col("token_ends")
+    counted = prefix_table(docs, path).select("doc_id", "n_bytes", tokens_of(F.size(ends), ends).alias("n_tokens"), F.size(ends).cast("long").alias("n_words"), words_within(limit, ends).alias("fitting_words"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_words", "fitting_words")
