@@ -9,11 +9,16 @@ the rank table, bounded by the vocabulary, lies beside them.
 Null and empty texts hold the end id only. Null doc_ids come first. Rows with
 equal doc_id are ordered by a hash of their ids. Special strings in a text
 become their single id, as the library does by default.
+
+The tokenizers library encodes: each kind of piece once, after which its ids are
+laid out over all places of the piece; whole texts where they hold a special
+string or the file's splitting is not the plain byte-level one.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -21,17 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import common
-from webloom.llm.bpe import _arrow_type
-from webloom.llm.token_counts import byte_symbols
+from webloom.llm import common, pieces, pretokenize
+from webloom.llm.bpe import CACHE_CHARS, binaries
 
-#: Ids in a block, unless one document alone has more; texts given to the library at a time, in characters.
-BLOCK_IDS, CALL_CHARS = 1 << 18, 300_000
+#: Ids in a block, unless one document alone has more; entries of a worker's piece cache.
+BLOCK_IDS, CACHE_ENTRIES = 1 << 18, 200_000
 
 
 @functools.cache
@@ -43,57 +46,67 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """The library's ids, packed. Where its file is a plain byte-level BPE whose ids follow
-    the order of its merges, the same merges run in a faster library; texts with a special
-    string, and files of other kinds, go to the tokenizers library itself."""
+    """The library's ids of texts, as one array."""
 
-    def __init__(self, path: str, width: str):
-        self.model, self.width = tokenizer(path), width
+    def __init__(self, path: str, classes: bytes):
+        self.model, self.classes = tokenizer(path), classes
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.fast = _by_ranks(spec)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        slow = [i for i, t in enumerate(texts) if self.fast is None or any(s in t for s in self.special)]
-        slow = dict(zip(slow, self.model.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False)))
-        ids = (slow[i].ids if i in slow else self.fast.encode_to_numpy(t, disallowed_special=()) for i, t in enumerate(texts))
-        return [np.asarray(x, "<u4").astype(self.width).tobytes() for x in ids]
-
-
-def _by_ranks(spec: dict) -> tiktoken.Encoding | None:
-    """A rank encoder with the same results as a tokenizer file's, if the file is of that kind."""
-    model, split = spec["model"], spec["pre_tokenizer"] or {}
-    plain = model["type"] == "BPE" and spec["normalizer"] is None and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-    if not plain or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) != ("ByteLevel", False, True):
-        return None
-    special = {t["content"] for t in spec["added_tokens"]}
-    byte_of = {c: b for b, c in enumerate(byte_symbols())}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    if made != sorted(set(made)) or len(made) + 256 != len(ranks) or any(len(t) > 1 and i < 256 for t, i in ranks.items()):
-        return None
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-@functools.cache
-def encoder(path: str, width: str) -> Encoder:
-    return Encoder(path, width)
+        split = spec["pre_tokenizer"] or {}
+        #: Whether pieces are those of `pretokenize` and nothing changes them before.
+        self.by_piece = spec["normalizer"] is None and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
+        self.known: dict[str, list[int]] = {}
+
+    def _of_kinds(self, kinds: list[str]) -> list[list[int]]:
+        new = [k for k in kinds if k not in self.known]
+        if len(self.known) + len(new) > CACHE_ENTRIES:
+            self.known, new = {}, kinds
+        encoded = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
+        fresh = dict(zip(new, encoded))
+        self.known.update((k, ids) for k, ids in fresh.items() if len(k) <= CACHE_CHARS)
+        return [self.known[k] if k in self.known else fresh[k] for k in kinds]
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, ids)])
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(ends[-1])), ends
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids before each text and after the last)."""
+        if not self.by_piece or any(s in t for s in self.special for t in texts):
+            return self._whole(texts)
+        if len(texts) == 1 and len(texts[0]) > pieces.PART_CHARS:
+            values = np.concatenate([self._split([part])[0] for part in pieces.parts(texts[0])])
+            return values, np.array([0, len(values)])
+        return self._split(texts)
+
+    def _split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = pretokenize.split(texts, self.classes)
+        ids = self._of_kinds(found.kinds)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        values, ends = found.lay_out(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        return values, np.concatenate([[0], ends])
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, classes: bytes) -> Encoder:
+    return Encoder(path, classes)
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, ids): each whole text's ids and the end id, as little-endian integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = encoder(path, width), np.array([end_id], width).tobytes()
-        for ids, texts in common.chunks(batches, CALL_CHARS):
-            packed = [p + end for p in model.encode(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
+        model = encoder(path, classes)
+        for rows, texts in common.chunks(batches):
+            values, ends = model.encode(texts)
+            values = np.insert(values.astype(width), ends[1:], end_id)
+            yield pa.RecordBatch.from_arrays([rows, binaries(values, ends + np.arange(len(ends)))], names=["doc_id", "ids"])
 
     texts = common.doc_texts(docs)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    id_type = _arrow_type(kind)
-    width = _width(tokenizer(path).get_vocab_size())
+    width, classes = _width(tokenizer(path).get_vocab_size()), pretokenize.classes("tokenizers")
     return texts.mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
@@ -162,7 +175,6 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = 0) -
     encode(docs, path, end_id).write.option("compression", "zstd").parquet(staged)
     encoded = spark.read.parquet(staged)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = _arrow_type(kind)
 
     ranked = sorted(((r["n"], r["id"]) for r in id_counts(encoded, width).collect()), key=lambda x: (-x[0], x[1]))
     ranks = spark.createDataFrame([(int(i), k) for k, (_, i) in enumerate(ranked)], "id long, rank long")
@@ -173,24 +185,25 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = 0) -
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, start = TaskContext.get().partitionId(), 0, 0
-        ids: list = []
+        ids: list[pa.Array] = []
         parts: list[np.ndarray] = []
         held = 0
 
         def block() -> pa.RecordBatch:
             control, data = pack(to_rank.value[np.concatenate(parts)])
-            columns = [[shard], [number], [start], [ids], [[len(p) for p in parts]], [control], [data]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "block", "start", "doc_ids", "counts", "control", "data"])
+            names = pa.concat_arrays(ids)
+            columns = [pa.array([x], k) for x, k in ((shard, pa.int32()), (number, pa.int32()), (start, pa.int64()))]
+            columns += [pa.ListArray.from_arrays([0, len(names)], names), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())), pa.array([control]), pa.array([data])]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "start", "doc_ids", "counts", "control", "data"])
 
         for batch in batches:
-            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for i, packed in enumerate(batch.column("ids")):
                 part = np.frombuffer(packed.as_py(), width)
                 if parts and held + len(part) > BLOCK_IDS:
                     yield block()
                     number, start = number + 1, start + held
                     ids, parts, held = [], [], 0
-                ids.append(doc_id)
+                ids.append(batch.column("doc_id").slice(i, 1))
                 parts.append(part)
                 held += len(part)
         if parts:
@@ -207,7 +220,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ids are little-endian unsigned 32-bit integers with the end id."""
     stored = spark.read.parquet(f"{path}/blocks")
     kind = stored.schema["doc_ids"].dataType.elementType.simpleString()
-    id_type = _arrow_type(kind)
     by_rank = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()  # at most the vocabulary
     to_id = spark.sparkContext.broadcast(np.array([r["id"] for r in by_rank], "<u4"))
 
@@ -221,15 +233,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                counts = np.array(row["counts"], np.int64)
-                ids = to_id.value[unpack(row["control"], row["data"], int(counts.sum()))]
-                ends = np.cumsum(counts)
-                starts = ends - counts
-                packed = [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-                begin = starts + row["start"] + offsets.value[row["shard"]]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], id_type), pa.array(begin, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "start", "ids"])
+            doc_ids, counts = batch.column("doc_ids"), batch.column("counts")
+            for i, (shard, start, control, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "start", "control", "data")))):
+                n = counts[i].values.to_numpy()
+                ids = to_id.value[unpack(control, data, int(n.sum()))]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                begin = ends[:-1] + start + offsets.value[shard]
+                yield pa.RecordBatch.from_arrays([doc_ids[i].values, pa.array(begin), binaries(ids, ends)], names=["doc_id", "start", "ids"])
 
     return stored.mapInArrow(run, f"doc_id {kind}, start long, ids binary")
 
