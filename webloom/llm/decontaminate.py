@@ -6,16 +6,21 @@ benchmark words. A text is normalised once into the same alphabet, scanned
 once, and hits are mapped back to word positions and to offsets in the original
 text. All windows that end at a word are reported, so overlaps are complete.
 
-The automaton holds the benchmark, not the corpus. Its size is checked: items
-are split over as many passes as keep each below `max_bytes`, and the passes'
-hits are united. Null texts have no words. Repeated items and texts are kept.
+The automaton holds the benchmark, not the corpus. Its alphabet has room for the
+words of `max_bytes` of benchmark; larger benchmarks make several automata, and
+all of them read a text in the same scan, in which their hits are united. A
+worker builds them once. A benchmark of more than `pass_bytes`, too large for a
+worker's memory, is scanned for in several passes, and their hits are united.
+
+Null texts have no words, and neither have null items; items of null item_id
+make their texts hit but are not counted or named. Repeated items are one.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import ahocorasick
@@ -24,10 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import common
-from webloom.llm.bpe import _arrow_type
 
-#: Bytes of benchmark text in one automaton; so few bytes cannot hold more words than there are code points.
-MAX_BYTES = 2 << 20
+#: Bytes of benchmark text in one automaton, in which there are fewer words than code points, and in the automata of one pass.
+MAX_BYTES, PASS_BYTES = 2 << 20, 6 << 20
 
 #: ASCII digits, lower-case letters and all bytes of other characters stay; the rest separates words.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -91,56 +95,97 @@ def word_offsets(text: str) -> list[tuple[int, int]]:
     return [*spans, (begin, len(text))] if begin is not None else spans
 
 
-def scan(docs: DataFrame, items: list[tuple], window: int, item_kind: str) -> DataFrame:
-    """(doc_id, n_words, ranges, spans, items) per row, for one automaton."""
-    model = docs.sparkSession.sparkContext.broadcast(items)
+class Automata:
+    """The automata of one pass; items of (item_id as a string or None, text)."""
+
+    def __init__(self, items: list[tuple], window: int, max_bytes: int):
+        groups, size = [[]], 0
+        for item in items:
+            n = len(item[1].encode())
+            if size and size + n > max_bytes:
+                groups.append([])
+                size = 0
+            groups[-1].append(item)
+            size += n
+        self.each = [Windows(group, window) for group in groups]
+
+    def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        ranges, items = self.each[0].scan(found)
+        for more in self.each[1:]:
+            others, ids = more.scan(found)
+            ranges, items = merged([*ranges, *others]), items | ids
+        return ranges, items
+
+    def hits(self, found: list[bytes]) -> bool:
+        return any(a.scan(found)[0] for a in self.each)
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching ranges made one."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(ranges):
+        if out and begin <= out[-1][1]:
+            begin, end = out[-1][0], max(end, out.pop()[1])
+        out.append((begin, end))
+    return out
+
+
+#: A worker's automata, by what they are made of; only the latest.
+_BUILT: dict[str, Automata] = {}
+
+
+def _built(key: str, shared, window: int, max_bytes: int) -> Automata:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Automata(shared.value, window, max_bytes)
+    return _BUILT[key]
+
+
+def _passes(benchmark: DataFrame, window: int, max_bytes: int, pass_bytes: int) -> Iterator[Callable[[], Automata]]:
+    """For each pass a function that gives a worker its automata; one pass up to `pass_bytes`."""
+    texts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // pass_bytes) or 1
+    for k in range(n):
+        # The size of what comes to the driver has just been counted.
+        items = sorted((tuple(r) for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()), key=repr)
+        shared = benchmark.sparkSession.sparkContext.broadcast(items)
+        key = hashlib.sha256(repr((items, window, max_bytes)).encode()).hexdigest()
+        yield functools.partial(_built, key, shared, window, max_bytes)
+
+
+def scan(docs: DataFrame, automata: Callable[[], Automata]) -> DataFrame:
+    """(doc_id, n_words, ranges, spans, items) per row, for one pass."""
     texts = common.doc_texts(docs)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    id_type = _arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(model.value, window)
+        model = automata()
         pairs = pa.list_(pa.list_(pa.int64()))
         for ids, taken in common.chunks(batches):
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for text in taken:
                 found = words(text)
-                ranges, hit = windows.scan(found)
+                ranges, hit = model.scan(found)
                 where = word_offsets(text) if ranges else []
-                for column, value in zip(rows, (len(found), ranges, [(where[a][0], where[b - 1][1]) for a, b in ranges], sorted(map(str, hit)))):
+                for column, value in zip(rows, (len(found), ranges, [(where[a][0], where[b - 1][1]) for a, b in ranges], sorted(x for x in hit if x is not None))):
                     column.append(value)
             kinds = (pa.int64(), pairs, pairs, pa.list_(pa.string()))
-            columns = [pa.array(ids, id_type), *(pa.array(c, k) for c, k in zip(rows, kinds))]
+            columns = [ids, *(pa.array(c, k) for c, k in zip(rows, kinds))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "ranges", "spans", "items"])
 
     return texts.mapInArrow(run, f"doc_id {kind}, n_words long, ranges array<array<long>>, spans array<array<long>>, items array<string>")
 
 
-def _items(benchmark: DataFrame, max_bytes: int) -> tuple[DataFrame, int]:
-    """(item_id, text) of the benchmark and the number of passes that it takes."""
-    texts = benchmark.select(F.col("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return texts, -(-size // max_bytes) or 1
-
-
-def _part(texts: DataFrame, passes: int, k: int) -> DataFrame:
-    return texts.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
-
-
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = MAX_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, ranges of hit words, spans of the original text, item ids as sorted strings."""
-    texts, passes = _items(benchmark, max_bytes)
-    item_kind = texts.schema["item_id"].dataType.simpleString()
-    if passes == 1:
-        return scan(docs, [tuple(r) for r in texts.collect()], window, item_kind)
+    passes = list(_passes(benchmark, window, max_bytes, pass_bytes))
+    if len(passes) == 1:
+        return scan(docs, passes[0])
     # Rows are told apart by a number of their own, as doc_ids may repeat or be null.
     numbered = common.stage(docs.select("doc_id", "text").withColumn("row_number", F.monotonically_increasing_id()), "numbered")
-    hits = []
-    for k in range(passes):
-        part = _part(texts, passes, k).collect()
-        keyed = numbered.select(F.col("row_number").alias("doc_id"), "text")
-        hits.append(common.stage(scan(keyed, [tuple(r) for r in part], window, item_kind), "hits"))
-    every = functools.reduce(DataFrame.unionByName, hits)
+    keyed = numbered.select(F.col("row_number").alias("doc_id"), "text")
+    every = functools.reduce(DataFrame.unionByName, (common.stage(scan(keyed, automata), "hits") for automata in passes))
     united = every.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
         *(_merged(F.flatten(F.collect_list(c))).alias(c) for c in ("ranges", "spans")),
@@ -150,7 +195,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int
 
 
 def _merged(ranges):
-    """Overlapping or touching [begin, end) ranges made one."""
+    """`merged` as a column."""
     step = lambda a, x: F.when(
         (F.size(a) > 0) & (F.element_at(a, -1)[1] >= x[0]),
         F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.array(F.element_at(a, -1)[0], F.greatest(F.element_at(a, -1)[1], x[1])))),
@@ -172,21 +217,18 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
     )
 
 
-def keep(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
+def keep(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = MAX_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of `docs` without a hit, as they are; each is decided where it stands, so doc_ids do not matter."""
-    texts, passes = _items(benchmark, max_bytes)
-    for k in range(passes):
-        docs = _without_hits(docs, [tuple(r) for r in _part(texts, passes, k).collect()], window)
+    for automata in _passes(benchmark, window, max_bytes, pass_bytes):
+        docs = _without_hits(docs, automata)
     return docs
 
 
-def _without_hits(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
-    model = docs.sparkSession.sparkContext.broadcast(items)
-
+def _without_hits(docs: DataFrame, automata: Callable[[], Automata]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(model.value, window)
+        model = automata()
         for batch in batches:
-            clean = [not windows.scan(words(text.as_py() or ""))[0] for text in batch.column("text")]
+            clean = [not model.hits(words(text.as_py() or "")) for text in batch.column("text")]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
