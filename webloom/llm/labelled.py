@@ -15,7 +15,10 @@ _SPREAD = 1 << 20
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features by row, labels 0 or 1, whether a row is for pruning) of rows that are not held out."""
+    """(features by row, labels 0 or 1, whether a row is for pruning) of rows that are not held out.
+
+    A doc_id with several labels has the greatest; one with several documents counts once, with the least features.
+    """
     own = labels.where(F.col("quality").isNotNull() & ~common.held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(_SPREAD))
     n = own.count()
@@ -24,18 +27,25 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tupl
     # About max_rows rows of two numbers, so small enough to broadcast.
     some = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
     names = [f"f_{name}" for name in text_stats.FEATURES]
-    fields = text_stats.with_features(some, "doc_id", "quality").select(*names, (F.col("quality") > 0).cast("int").alias("label"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("prune"), "doc_id")
-    rows = sorted(map(tuple, fields.collect()), key=lambda r: (r[-1] is None, r[-1] or 0, r))
+    label, prune = (F.col("quality") > 0).cast("int").alias("label"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("prune")
+    fields = text_stats.with_features(some, "doc_id", "quality").select("doc_id", F.struct(*names, label, prune).alias("row"))
+    one = fields.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*", F.xxhash64("doc_id").alias("place"))
+    rows = sorted(map(tuple, one.collect()), key=lambda r: (r[-1], r))  # no more rows than were taken
     x = np.array([r[: len(names)] for r in rows], float).reshape(len(rows), len(names))
     return x, np.array([r[-3] for r in rows], int), np.array([r[-2] for r in rows], bool)
 
 
-def thresholds(x: np.ndarray, most: int = 32) -> list[np.ndarray]:
-    """Candidate thresholds of each feature: midpoints between quantiles."""
-    out = []
+def thresholds(x: np.ndarray, rare: np.ndarray, most: int = 32) -> list[np.ndarray]:
+    """Candidate thresholds of each feature: midpoints between quantiles of all rows, and round those of the rarer class."""
+    out, steps = [], np.linspace(0, 1, most + 1)
     for column in x.T:
-        values = np.unique(np.quantile(column, np.linspace(0, 1, most + 1)))
-        out.append((values[1:] + values[:-1]) / 2)
+        values = np.unique(column)
+        between = (values[1:] + values[:-1]) / 2
+        wanted = np.quantile(column, steps)
+        if rare.any():
+            wanted = np.concatenate([wanted, np.quantile(column[rare], steps)])
+        at = np.searchsorted(between, np.unique(wanted))
+        out.append(between[np.unique(np.concatenate([at - 1, at]).clip(0, max(0, len(between) - 1)))] if len(between) else between)
     return out
 
 

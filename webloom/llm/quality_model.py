@@ -100,7 +100,7 @@ def learn(x: np.ndarray, labels: np.ndarray) -> Ensemble:
     if not n or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (n + 1)
         return Ensemble(float(np.log(share / (1 - share))), [])
-    cuts = thresholds(x)
+    cuts = thresholds(x, labels == (labels.mean() < 0.5))
     slots = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)], 1)
     total = np.full(n, np.log(labels.mean() / (1 - labels.mean())))
     rules: dict[tuple[Literal, ...], None] = {}
@@ -150,6 +150,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, model: Ensemble) -> DataFrame:
     """The rows of `docs` that the model does not reject, with their own columns."""
-    own = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    names = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    own = docs.select(F.struct(*names).alias("__row"), "text")
     stats = text_stats.with_features(own, "__row")
     return stats.where(model.column() >= 0.5).select("__row.*")
