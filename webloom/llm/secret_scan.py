@@ -34,7 +34,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import common
-from webloom.llm.bpe import _arrow_type
 
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
 BASE_KINDS = KINDS[:3]
@@ -66,6 +65,8 @@ def _checksum_holds(m: re.Match) -> bool:
 
 def _is_token(m: re.Match) -> bool:
     head = m[1]
+    if len(head) > _MOST_HEADER:
+        return False
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4))), dict)
     except (ValueError, binascii.Error):
@@ -83,6 +84,11 @@ _PEM_RUN = (
     rb"(?:" + _PEM_BREAK + rb"++(?:=?[A-Za-z0-9+/]{1,15}+={1,2}|=[A-Za-z0-9+/]{4}(?![A-Za-z0-9+/])|[A-Za-z0-9+/]{1,15}+(?=[\x20\t]*+(?:[\r\n\\]|\Z))))*+)?"
 )
 
+#: A header names algorithms and keys; far longer runs are no headers.
+_MOST_HEADER = 16_384
+
+_RUN = re.compile(rb"[A-Za-z0-9_-]+")
+
 #: kind -> (keywords in lower case, pattern anchored at the keyword, further test of a match)
 _RULES = {
     "assign": (
@@ -119,10 +125,14 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         _, pattern, holds = _RULES[kind]
         after = 0
         for start in sorted(places):
-            if start >= after and (m := pattern.match(raw, start)):
+            if start < after:
+                continue
+            if m := pattern.match(raw, start):
                 after = m.end()
                 if holds(m):
                     found.append((start, after, kind))
+            elif kind == "jwt" and (run := _RUN.match(raw, start)):
+                after = run.end()  # what follows the run is the same for every place in it
     mask = raw.translate(_HEX_MASK)
     at = mask.find(_HEX_RUN)
     while at >= 0:
@@ -147,12 +157,11 @@ def find(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.chunks(batches):
             rows = [[dict(zip(("start", "end", "kind"), s)) for s in scan(t)] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(rows, pa.list_(span))], names=["doc_id", "secrets"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(span))], names=["doc_id", "secrets"])
 
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
     texts = common.doc_texts(docs)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    id_type = _arrow_type(kind)
     return texts.mapInArrow(run, f"doc_id {kind}, secrets array<struct<start: long, end: long, kind: string>>")
 
 
