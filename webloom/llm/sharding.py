@@ -4,7 +4,10 @@ Rows are keyed by 40 bits of their text's hash over 24 bits of their doc_id's,
 so equal texts are neighbours and even a text that holds most rows can be cut.
 The bytes below candidate keys are counted exactly, by partial histograms in
 every task; each splitter's interval shrinks round the exact target until its
-error is within tolerance or no key is left to try. Then whole rows move once,
+error is within tolerance or no key is left to try. Splitters of shards are held
+to a narrow tolerance; those of the ranges inside a shard, which only bound a
+task's work, to a wide one that the first probes mostly meet. All splitters are
+refined together, in array operations. Then whole rows move once,
 to ranges of bounded size; each shard is a run of such ranges, so that the number
 of tasks follows the data and not the number of shards. `write` stores a folder
 of files per shard and range, and `read` takes the results from the stored texts.
@@ -15,7 +18,7 @@ rows cannot be cut apart. Columns of the input named like a result are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,10 @@ from pyspark.sql.types import StructType
 
 from webloom.llm import common
 
-#: Candidate keys per splitter and round; allowed error of a splitter in shares of a range; bytes in a range.
-PROBES, TOLERANCE, RANGE_BYTES = 16, 0.001, 256 << 20
+#: Candidate keys per splitter and round, and its allowed error in shares of a range, for shards and for ranges in them; candidates of a round at least; bytes in a range.
+PROBES, RANGE_PROBES, TOLERANCE, RANGE_TOLERANCE, SCAN_PROBES, RANGE_BYTES = 16, 4, 0.001, 0.25, 4096, 256 << 20
+
+_SIGN = np.uint64(1 << 63)
 
 _KEY, _RANGE, _BEFORE = "__shard_key", "__shard_range", "__rows_before"
 _STORED = ("shard", _RANGE, "slot")
@@ -62,42 +67,59 @@ def _histogram(keys: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndar
         yield pa.RecordBatch.from_arrays(columns, names=["slot", "bytes", "rows"])
 
     partial = keys.select(_KEY, "size").mapInArrow(run, "slot int, bytes long, rows long")
-    total = partial.groupBy("slot").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()  # at most one row per probe
+    total = partial.groupBy("slot").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).toArrow()  # at most one row per probe
     out = np.zeros((2, len(probes) + 1), np.int64)
-    for r in total:
-        out[:, r["slot"]] = r["bytes"], r["rows"]
+    slots = total.column("slot").to_numpy()
+    out[0, slots], out[1, slots] = total.column("bytes").to_numpy(), total.column("rows").to_numpy()
     return tuple(np.cumsum(out, 1))
 
 
-def splitters(keys: DataFrame, shards: int, per_shard: int) -> tuple[np.ndarray, np.ndarray]:
-    """(splitters, rows below each splitter and of all): row counts are exact, bytes near equal."""
+def _number(keys: np.ndarray) -> np.ndarray:
+    """Signed keys as unsigned numbers in the same order, or back."""
+    return keys.view(np.uint64) ^ _SIGN
+
+
+def splitters(histogram: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], shards: int, per_shard: int) -> np.ndarray:
+    """shards * per_shard - 1 sorted keys that cut near equal bytes; histogram(keys): exact bytes and rows below each and of all."""
     n = shards * per_shard - 1
-    low, high = np.full(n, -(1 << 63), object), np.full(n, (1 << 63) - 1, object)
+    if not n:
+        return np.zeros(0, np.int64)
+    of_shard = np.arange(1, n + 1) % per_shard == 0
+    tolerance = np.where(of_shard, TOLERANCE, RANGE_TOLERANCE)
+    low, high = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
     rows_low, rows_high = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
-    best, error, total = high.copy(), np.full(n, np.inf), None
-    while True:
+    best, error = high.copy(), np.full(n, np.inf)
+    first = max(n, PROBES * shards)
+    probes = np.arange(1, first + 1, dtype=np.uint64) * np.uint64((1 << 64) // (first + 1))  # keys are hashes
+    while len(probes):
+        probes = np.sort(probes)
+        below, rows = histogram(_number(probes).view(np.int64))
+        share = int(below[-1]) / (n + 1)
+        target = share * np.arange(1, n + 1)
+        at = np.searchsorted(below[:-1], target)  # the first probe with the target's bytes below it
+        after, before = np.minimum(at, len(probes) - 1), np.maximum(at - 1, 0)
+        for near in (after, before):
+            off = np.abs(below[near] - target)
+            better = off < error
+            best, error = np.where(better, probes[near], best), np.where(better, off, error)
+        closer = (at < len(probes)) & (probes[after] <= high)
+        high, rows_high = np.where(closer, probes[after], high), np.where(closer, rows[after], np.minimum(rows_high, rows[-1]))
+        closer = (at > 0) & (probes[before] >= low)
+        low, rows_low = np.where(closer, probes[before], low), np.where(closer, rows[before], rows_low)
         # An interval with one row holds no better cut.
-        open_ = [i for i in range(n) if high[i] - low[i] > 1 and rows_high[i] - rows_low[i] > 1 and (total is None or error[i] > TOLERANCE * total / (n + 1))]
-        if not open_:
-            break
-        steps = {low[i] + (high[i] - low[i]) * k // (PROBES + 1) for i in open_ for k in range(1, PROBES + 1)}
-        probes = np.array(sorted(steps), np.int64)
-        below, rows = _histogram(keys, probes)
-        total = int(below[-1])
-        for i in open_:
-            target = total * (i + 1) / (n + 1)
-            near = int(np.abs(below[:-1] - target).argmin())
-            if abs(below[near] - target) < error[i]:
-                best[i], error[i] = int(probes[near]), abs(below[near] - target)
-            at = int(np.searchsorted(below[:-1], target))  # the first probe with the target's bytes below it
-            if at < len(probes) and probes[at] <= high[i]:
-                high[i], rows_high[i] = int(probes[at]), rows[at]
-            elif at == len(probes):
-                rows_high[i] = min(rows_high[i], rows[-1])
-            if at > 0 and probes[at - 1] >= low[i]:
-                low[i], rows_low[i] = int(probes[at - 1]), rows[at - 1]
-    chosen = np.array(sorted(best), np.int64)
-    return chosen, _histogram(keys, chosen)[1]
+        open_ = np.flatnonzero((high - low > np.uint64(1)) & (rows_high - rows_low > 1) & (error > tolerance * share))
+        # Splitters of one interval share its probes; few intervals get more each, and so need fewer scans.
+        lows, group = np.unique(low[open_], return_inverse=True)
+        highs, many = np.zeros_like(lows), np.zeros(len(lows), np.int64)
+        np.maximum.at(highs, group, high[open_])
+        np.add.at(many, group, np.where(of_shard[open_], PROBES, RANGE_PROBES))
+        many = np.maximum(many, SCAN_PROBES // max(1, len(lows)))
+        steps = np.repeat(many + 1, many).astype(np.uint64)
+        k = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + 1).astype(np.uint64)
+        start, width = np.repeat(lows, many), np.repeat(highs - lows, many)
+        probes = np.unique(start + width // steps * k + width % steps * k // steps)
+        probes = probes[~np.isin(probes, np.concatenate([lows, highs]))]
+    return _number(np.sort(best)).view(np.int64)
 
 
 def _placed(docs: DataFrame, shards: int, range_bytes: int) -> DataFrame:
@@ -106,11 +128,14 @@ def _placed(docs: DataFrame, shards: int, range_bytes: int) -> DataFrame:
     keys = common.stage(keyed.select(_KEY, "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     per_shard = max(1, -(-total // (shards * range_bytes)))
-    cuts, below = splitters(keys, shards, per_shard) if total else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+    counted = lambda probes: _histogram(keys, probes)
+    cuts = splitters(counted, shards, per_shard) if total else np.zeros(0, np.int64)
+    below = counted(cuts)[1]
     first = np.concatenate([[0], below[:-1]])  # rows before each range
-    before = [int(first[k] - first[k - k % per_shard]) for k in range(len(first))]
+    number = np.arange(len(first))
     spark = docs.sparkSession
-    edges, offsets = spark.sparkContext.broadcast(cuts), spark.sparkContext.broadcast(np.array(before, np.int64))
+    # Sixteen bytes for each range, of 256 MB.
+    edges, offsets = spark.sparkContext.broadcast(cuts), spark.sparkContext.broadcast(first - first[number - number % per_shard])
 
     @F.pandas_udf("int")
     def range_of(key: pd.Series) -> pd.Series:
