@@ -8,8 +8,8 @@ import hashlib
 import numpy as np
 import xxhash
 
-#: Minwise values in a sketch.
-COORDINATES = 64
+#: Minwise values in a sketch, which trees branch by, and those of them whose low bits are compared.
+COORDINATES, COMPARED = 128, 64
 
 _TILE = 4096
 
@@ -64,8 +64,8 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def nibbles(sketches: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, two coordinates to a byte: (n, COORDINATES / 2)."""
-    low = (sketches & np.uint32(15)).astype(np.uint8)
+    """Four bits of each compared coordinate, two coordinates to a byte: (n, COMPARED / 2)."""
+    low = (sketches[:, :COMPARED] & np.uint32(15)).astype(np.uint8)
     return low[:, ::2] << 4 | low[:, 1::2]
 
 
@@ -75,5 +75,5 @@ _EQUAL = ((np.arange(256) >> 4 == 0).astype(np.uint8) + (np.arange(256) % 16 ==
 
 def similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity from nibbles; chance agreement of four bits is taken off."""
-    agree = _EQUAL[one ^ others].sum(-1, dtype=np.int32) / COORDINATES
+    agree = _EQUAL[one ^ others].sum(-1, dtype=np.int32) / COMPARED
     return (agree - 1 / 16) / (1 - 1 / 16)
