@@ -37,3 +37,21 @@ def test_contaminated_rows(spark):
     assert rows_of(out) == sorted([(1, "clean, same id"), (None, "unnamed, clean"), (2, "null")], key=repr)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert rows_of(decontaminate.keep(frame_of(spark, rows), bench, max_bytes=2_000)) == rows_of(out)
+
+
+def test_odd_rows_in_every_stage(spark):
+    """Null, empty, blank, repeated, clashing and very long rows; and no rows at all."""
+    long = "word and another one. " * 40_000
+    rows = [(1, None, "null"), (1, None, "null"), (None, "", "empty"), (2, " \n", "blank"), (3, "token = abcdefgh12345678", "secret"), (3, "token = abcdefgh12345678", "secret"), (4, long, "long")]
+    odd = frame_of(spark, rows).withColumns({c: F.lit("clash") for c in ("component_id", "root", "score", "__row_number2", "a.b")}).withColumn("n_chars", F.lit(0).cast("long"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, SF).columns == odd.columns and stage(spark, odd.limit(0), SF).count() == 0, name
+    scored = corpus_pipeline.quality(spark, odd, SF)
+    assert {r["mark"] for r in scored.select("mark").collect()} <= {"null", "empty", "blank", "secret", "long"}
+    assert rows_of(corpus_pipeline.deduplicate(spark, odd, SF)) == sorted([(1, "null"), (1, "null"), (None, "empty"), (2, "blank"), (3, "secret"), (4, "long")], key=repr)
+    assert corpus_pipeline.decontaminate_benchmark(spark, odd, SF).count() == len(rows)
+    masked = corpus_pipeline.mask_secrets(spark, odd, SF).collect()
+    assert sorted((str(r["text"])[:9], r["n_chars"]) for r in masked if r["mark"] in ("secret", "null", "blank")) == [(" \n", 2), ("None", None), ("None", None), ("[assign]", 8), ("[assign]", 8)]
+    ids = corpus_pipeline.tokenize(spark, odd, SF).collect()
+    assert len(ids) == len(rows) and sum(r["n_tokens"] == 0 for r in ids) == 3
+    assert corpus_pipeline.tokenize(spark, odd.limit(0), SF).count() == 0

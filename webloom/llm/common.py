@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(df: DataFrame) -> list[str]:
+    """The names of all columns for `select`, whatever characters they have."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     """Only (doc_id, text), null texts as empty; other columns never clash."""
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def map_rows(docs: DataFrame, begin: Callable[[], Callable[[pa.RecordBatch, int], pa.RecordBatch]]) -> DataFrame:
+    """`docs` with every batch changed by what `begin` gives in a task, from (batch, place of its texts); names may hold any characters."""
+    place = docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = begin()
+        for batch in batches:
+            yield change(batch, place)
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for documents that no fit may learn from (a null id counts as held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == HELD_OUT_REMAINDER, F.lit(True))

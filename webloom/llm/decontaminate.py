@@ -225,13 +225,11 @@ def keep(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int
 
 
 def _without_hits(docs: DataFrame, automata: Callable[[], Automata]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         model = automata()
-        for batch in batches:
-            clean = [not model.hits(words(text.as_py() or "")) for text in batch.column("text")]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        return lambda batch, place: batch.filter(pa.array([not model.hits(words(text.as_py() or "")) for text in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_rows(docs, begin)
 
 
 def digest(items: list[str]) -> str:

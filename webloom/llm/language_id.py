@@ -242,13 +242,13 @@ def _by_join(docs: DataFrame, model: Model) -> DataFrame:
     counts = common.stage(word_counts(numbered, "rid"), "word-counts")
     words = counts.select("part").distinct()
     known = model.table.where("length = 0").select("part", "row")
-    found = common.stage(words.join(known, "part", "left"), "words")
-    grams = _grams(found.where("row is null").select(F.col("part").alias("word"), "part"), "word")
+    found = common.stage(words.join(known, "part", "left").withColumn("word", F.monotonically_increasing_id()), "words")
+    grams = _grams(found.where("row is null"), "word")  # told by numbers, as words may be long
     hits = grams.join(model.table.where("length > 0"), ["length", "part"])
     means = hits.groupBy("word", "length").agg(F.array(*_mean(F.col("row"), n)).alias("mean"))
     backed = means.groupBy("word").agg(F.max_by("mean", "length").alias("mean"))
     nothing = F.array_repeat(F.lit(0.0), n)
-    rows = found.join(backed.withColumnRenamed("word", "part"), "part", "left").select("part", F.coalesce(F.col("row").cast("array<double>"), "mean", nothing).alias("row"))
+    rows = found.join(backed, "word", "left").select("part", F.coalesce(F.col("row").cast("array<double>"), "mean", nothing).alias("row"))
     sums = counts.join(rows, "part").groupBy("rid").agg(F.array(*[F.sum(F.col("n") * F.col("row")[i]) for i in range(n)]).alias("sums"))
     best = F.array_max("sums")
     share = F.lit(1.0) / F.aggregate("sums", F.lit(0.0), lambda a, x: a + F.exp(x - best))

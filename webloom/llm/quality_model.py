@@ -150,7 +150,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, model: Ensemble) -> DataFrame:
     """The rows of `docs` that the model does not reject, with their own columns."""
-    names = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
-    own = docs.select(F.struct(*names).alias("__row"), "text")
+    own = docs.select(F.struct(*common.quoted(docs)).alias("__row"), "text")
     stats = text_stats.with_features(own, "__row")
     return stats.where(model.column() >= 0.5).select("__row.*")

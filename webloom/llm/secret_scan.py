@@ -193,10 +193,8 @@ def mask(text: str | None) -> str | None:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with the secrets in `text` masked; all other columns as they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            masked = pa.array([mask(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), masked)
+    def change(batch: pa.RecordBatch, place: int) -> pa.RecordBatch:
+        field = batch.schema.field(place)
+        return batch.set_column(place, field, pa.array([mask(t) for t in batch.column(place).to_pylist()], field.type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_rows(docs, lambda: change)
