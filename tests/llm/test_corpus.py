@@ -59,10 +59,10 @@ def changed(rng, size, changes, word="w"):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("shrinks", [near_dup.SHRINKS, 0.0])
+@pytest.mark.parametrize("shrinks", [0.98, 0.0])
 def test_large_nodes_and_blocks(spark, monkeypatch, shrinks):
     """Groups of near copies above the size of a node, of a block and of a star's part: by pivots, and by the grid where these do not help."""
-    for name, value in (("NODE", 12), ("BLOCK", 8), ("SET_BLOCK", 8), ("LEAVES", 5), ("SHRINKS", shrinks)):
+    for name, value in (("NODE", 12), ("BLOCK", 8), ("SET_BLOCK", 8), ("LEAVES", 5), ("GRID", 2), ("SHRINKS", shrinks)):
         monkeypatch.setattr(near_dup, name, value)
     rng = np.random.default_rng(5)
     rows = [(i, changed(rng, 120, int(rng.integers(0, 9)))) for i in range(90)]

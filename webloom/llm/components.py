@@ -61,30 +61,33 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-#: A vertex of more than this share of all rows has its least neighbour sent to every task; there are few of them, whatever the size.
+#: A vertex of more than this share of all rows, and of so many, is hot; there are fewer than 2 / HOT_SHARE such, whatever the size.
 HOT_SHARE, HOT_ROWS = 1 / 2048, 256
 
 
-def _with_least(rows: DataFrame, limit: int) -> DataFrame:
-    """(a, b) with m, the least of a and all its b: by a join on a, but for the few hot ones, so that no task gets the rows of a whole star."""
-    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    hot = least.where(F.col("n") > limit).select("a", F.col("m").alias("hot"))  # fewer than 2 / HOT_SHARE
-    marked = rows.join(F.broadcast(hot), "a", "left")
-    others = marked.where("hot is null").select("a", "b").join(least.where(F.col("n") <= limit).select("a", "m"), "a")
-    return marked.where("hot is not null").select("a", "b", F.col("hot").alias("m")).unionByName(others)
-
-
 def _large_star(edges: DataFrame, limit: int) -> DataFrame:
-    """Every larger neighbour of a vertex is tied to the smallest of its neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return _with_least(both, limit).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    """Every larger neighbour of a vertex is tied to the smallest of its neighbourhood.
 
-
-def _small_star(edges: DataFrame, limit: int) -> DataFrame:
-    """Every vertex and its smaller neighbours are tied to the smallest of them."""
+    Rows of hot vertices take it from a table of these, so that no task gets the rows of a whole star.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    hot = least.where(F.col("n") > limit).select("a", "m").collect()  # a few thousand rows at most
+    up = both.where("b > a")
+    tied = up.join(least.select("a", "m"), "a")
+    if hot:
+        known = F.broadcast(edges.sparkSession.createDataFrame([tuple(r) for r in hot], "a long, m long"))
+        others = up.join(known.select("a"), "a", "left_anti").join(least.where(F.col("n") <= limit).select("a", "m"), "a")
+        tied = up.join(known, "a").unionByName(others)
+    return tied.select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every vertex and its smaller neighbours are tied to the smallest of them; of these there are no more than tasks that made stars of their own."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    tied = _with_least(down, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tied.unionByName(down.groupBy("a").agg(F.min("b").alias("b"))).where("a <> b").distinct()
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    tied = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return tied.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -96,7 +99,7 @@ def components(edges: DataFrame) -> DataFrame:
     found = common.stage(local_stars(edges.where("a <> b")).distinct(), "stars")
     while not _are_stars(found):
         limit = max(HOT_ROWS, int(found.count() * HOT_SHARE))
-        found = common.stage(_small_star(_large_star(found, limit), limit), "stars")
+        found = common.stage(_small_star(_large_star(found, limit)), "stars")
     roots = found.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()
     return found.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(roots)
 

@@ -11,16 +11,17 @@
    41 at 10 ** 8, 80 at 10 ** 10.
 3. Nodes of at most NODE members are compared exhaustively by sketch. Larger
    ones branch again for as long as that shrinks them. What is left are groups of
-   near copies: their members are tied to pivots in one pass each, and those close
-   to a pivot leave the node, as whatever they are linked with is itself a
-   candidate of the pivot. Only a node that pivots do not shrink is compared in a
-   grid of blocks. A spanning forest of each node's candidate links leaves it.
-4. The candidates' connected groups are confirmed on full sets. Groups of at most
-   SET_BLOCK sets are compared exhaustively, each in one task. In larger ones the
-   candidate links are confirmed first, a star's leaves in bounded parts; then
-   only sets outside a group's largest linked part are compared with all of the
-   group, in blocks. So a family of near copies costs in proportion to its size
-   and to the number of its sets that are not linked with the rest.
+   near copies. Those of up to GRID blocks are compared in a grid of blocks. In
+   larger ones members are tied to pivots in one pass each, and those close to a
+   pivot leave the node, as whatever they are linked with is itself a candidate
+   of the pivot; only what pivots do not shrink goes to the grid.
+   A spanning forest of each node's candidate links leaves it.
+4. The candidates' connected groups are confirmed on full sets. Groups of up to
+   GRID blocks are compared exhaustively, a pair of blocks in one task. In larger
+   ones the candidate links are confirmed first, a star's leaves in bounded parts;
+   then only sets outside a group's largest linked part are compared with all of
+   the group, in blocks. So a family of near copies costs in proportion to its
+   size and to the number of its sets that are not linked with the rest.
 
 No pair list of a group is ever made, and no group meets in one task unless it
 is below a fixed size.
@@ -44,8 +45,8 @@ from pyspark.sql import functions as F
 from webloom.llm import common, shingles
 from webloom.llm.components import Forest, components
 
-#: Members of a node that one task compares; rows of a block of a larger one; sets of a block; leaves of a star in one task.
-NODE, BLOCK, SET_BLOCK, LEAVES = 512, 384, 256, 256
+#: Members of a node that one task compares; rows of a block of a larger one; sets of a block; leaves of a star in one task; blocks of a group that is compared in a grid.
+NODE, BLOCK, SET_BLOCK, LEAVES, GRID = 512, 384, 256, 256, 16
 
 #: Sketches are candidates down to so much below the wanted similarity, about five standard errors. Those so close to a pivot leave their node.
 MARGIN, CLOSE = 0.25, 0.9
@@ -255,11 +256,15 @@ def _grid(rows: DataFrame, group: str, size: str, block: int, key: str) -> DataF
     return spread.withColumn(key, F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other")
 
 
+def _in_grid(active: DataFrame, least: float) -> DataFrame:
+    """Candidate links of large nodes (with their size n), all against all in pairs of blocks."""
+    return compare(_grid(active, "node", "n", BLOCK, "pair").drop("node").withColumnRenamed("pair", "node"), least)
+
+
 def near_pivots(active: DataFrame, round_: int) -> DataFrame:
-    """The rows of large nodes with the pivot of each and how similar to it they are."""
+    """The rows of nodes with a pivot for each node and how similar to it they are."""
     order = F.struct(F.xxhash64("rid", F.lit(round_)).alias("h"), "rid", "nibbles")
-    pivots = active.groupBy("node").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("n")).where(F.col("n") > NODE)
-    pivots = pivots.select("node", F.col("p.rid").alias("pivot"), F.col("p.nibbles").alias("of_pivot"))
+    pivots = active.groupBy("node").agg(F.min(order).alias("p")).select("node", F.col("p.rid").alias("pivot"), F.col("p.nibbles").alias("of_pivot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,23 +275,25 @@ def near_pivots(active: DataFrame, round_: int) -> DataFrame:
     return active.select("rid", "node", "nibbles").join(pivots, "node").mapInArrow(run, _MEMBERS + ", pivot long, alike double")
 
 
-def _by_pivots(active: DataFrame, rows: int, least: float) -> list[DataFrame]:
+def _by_pivots(active: DataFrame, least: float) -> list[DataFrame]:
     """Candidate links of large nodes that branching does not shrink."""
-    found, round_ = [], 0
+    few = F.col("n") <= GRID * BLOCK
+    found, round_ = [_in_grid(active.where(few), least)], 0
+    active = active.where(~few)
+    rows = active.count()
     while rows:
         round_ += 1
         met = common.stage(near_pivots(active, round_), "pivots")
         found.append(met.where((F.col("alike") >= least) & (F.col("rid") != F.col("pivot"))).select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")))
         rest = met.where(F.col("alike") < CLOSE).select("rid", "node", "nibbles")
-        sizes = common.stage(rest.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        found.append(compare(rest.join(sizes.where(F.col("n") <= NODE).select("node"), "node", "left_semi"), least))
-        large = sizes.where(F.col("n") > NODE)
-        left = large.agg(F.sum("n")).first()[0] or 0
-        active = rest.join(large, "node")
+        sizes = rest.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        active = common.stage(rest.join(sizes, "node"), "active")
+        left = active.where(~few).count()
         if left > SHRINKS * rows:
-            found.append(compare(_grid(active, "node", "n", BLOCK, "pair").drop("node").withColumnRenamed("pair", "node"), least))
+            found.append(_in_grid(active, least))
             break
-        active, rows = common.stage(active.select("rid", "node", "nibbles"), "active"), left
+        found.append(_in_grid(active.where(few), least))
+        active, rows = active.where(~few), left
     return found
 
 
@@ -303,10 +310,10 @@ def candidates(sets: DataFrame, n_sets: int, similarity: float, trees: int | Non
             found.append(compare(members, least))
             break
         if before is not None and rows > SHRINKS * before[1]:
-            found += _by_pivots(*before, least)  # branching no longer helps
+            found += _by_pivots(before[0], least)  # branching no longer helps
             break
         found.append(compare(members.join(large.select("node"), "node", "left_anti"), least))
-        active = common.stage(members.join(large, "node").select("rid", "node", "nibbles"), "active")
+        active = common.stage(members.join(large, "node").select("rid", "node", "nibbles", "n"), "active")
         before, members = (active, rows), branch(active, sets, trees, similarity)
     edges = found[0]
     for more in found[1:]:
@@ -392,8 +399,9 @@ def confirm(docs: DataFrame, edges: DataFrame, groups: DataFrame, width: int, pe
     """Links (a, b) that hold on full sets and connect whatever is linked; `edges` are the candidates, groups has (v, root) of them."""
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     wanted = groups.join(sizes, "root").select(F.col("v").alias("rid"), "root", "n")
-    found = _links_in(_full_sets(docs, wanted.where(F.col("n") <= SET_BLOCK), width).withColumn("pair", F.col("root")), percent)
-    large = wanted.where(F.col("n") > SET_BLOCK)
+    few = F.col("n") <= GRID * SET_BLOCK
+    found = _links_in(_grid(_full_sets(docs, wanted.where(few), width), "root", "n", SET_BLOCK, "pair"), percent)
+    large = wanted.where(~few)
     if large.isEmpty():
         return found
     full = common.stage(_full_sets(docs, large, width), "full-sets")
