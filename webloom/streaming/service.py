@@ -1,11 +1,14 @@
 """Periodic passes as Structured Streaming queries.
 
-State is in tables: each micro-batch reads the current version, makes the next
-one and switches to it only when it is written, so a lost batch is run again.
+State is in tables. Every pass writes a version of its own and commits it with one
+small file, written last; readers take the last committed version. The file also
+names the last micro-batch that went in, so that a batch that is run again after
+a failure, in this process or a later one, changes nothing.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -15,35 +18,79 @@ from pyspark.sql.streaming import StreamingQuery
 
 from webloom.operators import crawl, index, pagerank
 from webloom.schema import DOCUMENTS, EDGES, LINKS
+from webloom.storage import stage
+
+_TABLES = (("links", LINKS), ("edges", EDGES), ("documents", DOCUMENTS))
 
 
 class GraphState:
-    """Versions of the links, edges and documents tables below one folder."""
+    """Versions of the links, edges and documents tables below one folder, in any store that Spark writes to."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path.rstrip("/"), -1
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
+        """keep: versions that stay for readers who began with them."""
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
 
-    def read(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        if self.version < 0:
-            return tuple(self.spark.createDataFrame([], s) for s in (LINKS, EDGES, DOCUMENTS))
-        return tuple(self.spark.read.schema(s).parquet(f"{self.path}/v{self.version}/{n}") for n, s in (("links", LINKS), ("edges", EDGES), ("documents", DOCUMENTS)))
+    def _at(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def versions(self) -> dict[int, bool]:
+        """Every version, with whether it is committed."""
+        files, path = self._at("")
+        if not files.exists(path):
+            return {}
+        numbers = [int(name[1:]) for s in files.listStatus(path) if (name := s.getPath().getName()).startswith("v") and name[1:].isdigit()]
+        return {n: self._committed(n) for n in sorted(numbers)}
+
+    def _committed(self, version: int) -> bool:
+        files, path = self._at(f"v{version}/committed/_SUCCESS")
+        return files.exists(path)
 
-    def write(self, version: int, links: DataFrame, edges: DataFrame, documents: DataFrame) -> None:
-        for name, df in (("links", links), ("edges", edges), ("documents", documents)):
-            df.write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
-        self.version = version
+    @property
+    def version(self) -> int:
+        """The last committed version, -1 before the first."""
+        return max((n for n, done in self.versions().items() if done), default=-1)
+
+    def _notes(self) -> dict:
+        version = self.version
+        return json.loads(self.spark.read.text(f"{self.path}/v{version}/committed").first()[0]) if version >= 0 else {}
+
+    def batch(self, source: str) -> int:
+        """The last micro-batch of a source that went in, -1 before the first."""
+        return self._notes().get(source, -1)
+
+    def read(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        version = self.version
+        if version < 0:
+            return tuple(self.spark.createDataFrame([], schema) for _, schema in _TABLES)
+        return tuple(self.spark.read.schema(schema).parquet(f"{self.path}/v{version}/{name}") for name, schema in _TABLES)
+
+    def write(self, links: DataFrame, edges: DataFrame, documents: DataFrame, source: str | None = None, batch: int = -1) -> int:
+        """Write and commit a new version; the version."""
+        version = max(self.versions(), default=-1) + 1
+        for (name, _), df in zip(_TABLES, (links, edges, documents)):
+            df.write.parquet(f"{self.path}/v{version}/{name}")
+        notes = self._notes() | ({source: batch} if source is not None else {})
+        self.spark.createDataFrame([(json.dumps(notes),)], "value string").coalesce(1).write.text(f"{self.path}/v{version}/committed")
+        for old in sorted(self.versions())[: -self.keep]:
+            files, path = self._at(f"v{old}")
+            files.delete(path, True)
+        return version
 
 
 def crawl_service(pages: DataFrame, state: GraphState, checkpoint: str, interval: str | None = None, now: Callable[[], datetime] | None = None) -> StreamingQuery:
     """A query that crawls every micro-batch of `pages` (url, html) into `state`.
 
-    With an interval it ticks for ever; without one it takes what is there and ends.
+    With an interval it ticks for ever; without one it takes what is there and
+    ends. Passes on one state must not overlap.
     """
     clock = now or (lambda: datetime.now(timezone.utc))
 
     def tick(batch: DataFrame, number: int) -> None:
-        links, edges, documents = state.read()
-        state.write(number, *crawl.crawl(links, edges, documents, batch.select("url", "html").dropDuplicates(["url"]), F.lit(clock())))
+        if number <= state.batch(checkpoint):
+            return
+        some = stage(batch.select("url", "html").dropDuplicates(["url"]), "pages")
+        state.write(*crawl.crawl(*state.read(), some, F.lit(clock())), checkpoint, number)
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return pages.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -54,7 +101,7 @@ def rank_pass(state: GraphState, config: pagerank.Config = pagerank.Config(on_un
     links, edges, documents = state.read()
     found = pagerank.pagerank(links, edges, config)
     scores = found.scores.select(F.col("id").alias("link_id"), F.col("score").alias("pagerank"))
-    state.write(state.version + 1, links, edges, index.update_scores(documents, scores))
+    state.write(links, edges, index.update_scores(documents, scores))
     return found.supersteps
 
 
