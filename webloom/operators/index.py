@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.schema import zero_time
@@ -16,12 +16,14 @@ def upsert(documents: DataFrame, new: DataFrame, check: bool = False) -> DataFra
     """Documents with the new ones in place of the old; a known document keeps its rank.
 
     `new` has link_id, url, title, content and indexed_at; a rank of its own counts
-    for documents that are not known yet. MissingLinkId with `check` if an id is null.
+    for documents that are not known yet. Of several new rows with one id the last by
+    indexed_at counts. MissingLinkId with `check` if an id is null.
     """
     if check and not new.where(F.col("link_id").isNull()).isEmpty():
         raise MissingLinkId("a document has no link id")
     rank = F.col("pagerank") if "pagerank" in new.columns else F.lit(0.0)
     fresh = new.where(F.col("link_id").isNotNull()).select("link_id", F.struct("url", "title", "content", "indexed_at", rank.cast("double").alias("pagerank")).alias("n"))
+    fresh = fresh.groupBy("link_id").agg(F.max_by("n", F.struct("n.indexed_at", "n")).alias("n"))
     old = documents.select("link_id", F.struct("url", "title", "content", "indexed_at", "pagerank").alias("o"))
     both = old.join(fresh, "link_id", "full")
     text = [F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in ("url", "title", "content", "indexed_at")]
@@ -45,7 +47,29 @@ def terms(text: Column) -> Column:
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """(term, link_id, field, positions, n): one row per term, document and field."""
-    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("terms")) for f in ("title", "content")])).alias("f")
-    each = documents.select("link_id", fields).select("link_id", "f.field", F.posexplode("f.terms").alias("position", "term"))
-    return each.groupBy("term", "link_id", "field").agg(F.array_sort(F.collect_list("position")).alias("positions"), F.count(F.lit(1)).alias("n"))
+    """(term, link_id, field, positions, n, total): one row per term, document and field, with the document's number of terms."""
+    split = documents.select("link_id", terms(F.col("title")).alias("title"), terms(F.col("content")).alias("content"))
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in ("title", "content")])).alias("f")
+    each = split.select("link_id", (F.size("title") + F.size("content")).alias("total"), fields)
+    each = each.select("link_id", "total", "f.field", F.posexplode("f.terms").alias("position", "term"))
+    grouped = each.groupBy("term", "link_id", "field").agg(F.array_sort(F.collect_list("position")).alias("positions"), F.count(F.lit(1)).alias("n"), F.max("total").alias("total"))
+    return grouped.select("term", "link_id", "field", "positions", "n", "total")
+
+
+#: Folders of a written index; a term is in one of them.
+BUCKETS = 64
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(found: DataFrame, path: str) -> None:
+    """Store postings in a folder for each bucket of terms, sorted, so that a search reads the folders and row groups of its terms only."""
+    spread = found.withColumn("bucket", bucket(F.col("term")))
+    ordered = spread.repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(16))).sortWithinPartitions("bucket", "term", "link_id")
+    ordered.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -1,7 +1,8 @@
-"""Ranked search over indexed documents.
+"""Ranked search over indexed documents, through postings.
 
-A query reads the documents once: term tests are expressions on each row, so
-filters and projections reach the scan, and only hits are sorted.
+A query takes the postings of its terms only: from a written index by its
+folders, else from postings made on the way, where the condition on terms stands
+right above the tokens. What matches is joined with the documents.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.text import parse_query
-from webloom.operators.index import terms
+from webloom.operators import index
+from webloom.storage import stage
 
 PAGE = 10
 
@@ -22,37 +24,50 @@ def query_tokens(expression: str) -> list[str]:
     return list(dict.fromkeys(text.split()))
 
 
-def _hits(tokens: Column, wanted: list[str]) -> Column:
-    return F.size(F.filter(tokens, lambda t: t.isin(*wanted)))
+def _ordered_tokens(expression: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in expression.lower()).split()
 
 
-def _phrase(tokens: Column, phrase: list[str]) -> Column:
-    padded = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    return padded.contains(f" {' '.join(phrase)} ")
+def _of_terms(postings: DataFrame, wanted: list[str]) -> DataFrame:
+    own = postings.where(F.col("term").isin(*wanted))
+    if "bucket" in postings.columns:
+        own = own.where(F.col("bucket").isin(*(r[0] for r in postings.sparkSession.createDataFrame([(t,) for t in wanted], "t string").select(index.bucket(F.col("t"))).collect())))
+    return own
 
 
-def search(documents: DataFrame, expression: str, kind: str | None = None, operator: str = "or") -> DataFrame:
-    """The documents that match, with `score`: the share of terms found times their frequency.
+def _less(places: Column, n: int) -> Column:
+    return F.transform(places, lambda x: x - n)
+
+
+def _phrase(own: DataFrame, phrase: list[str]) -> DataFrame:
+    """link_ids of documents that have the terms one after the other in a field."""
+    places = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), F.array().cast("array<int>")) for t in phrase]
+    each = own.groupBy("link_id", "field").agg(*(p.alias(f"p{i}") for i, p in enumerate(places)))
+    starts = reduce(F.array_intersect, [_less(F.col(f"p{i}"), i) for i in range(len(phrase))])
+    return each.where(F.size(starts) > 0).select("link_id").distinct()
+
+
+def search(documents: DataFrame, expression: str, kind: str | None = None, operator: str = "or", postings: DataFrame | None = None) -> DataFrame:
+    """The documents that match, with `score`: the frequency of the terms among theirs.
 
     kind is "match" or "phrase"; by default quotes round the expression decide.
     A match asks for any of the terms (or all, with operator="and") in title or
-    content; a phrase for consecutive terms in one of the two.
+    content; a phrase for consecutive terms in one of the two. `postings` are
+    those of the documents, made on the way if they are not given.
     """
     if kind is None:
         kind, expression = parse_query(expression)
-    title, content = terms(F.col("title")), terms(F.col("content"))
     wanted = query_tokens(expression)
     if not wanted:
         return documents.where(F.lit(False)).withColumn("score", F.lit(0.0))
+    own = _of_terms(index.postings(documents) if postings is None else postings, wanted)
+    hits = own.groupBy("link_id").agg(F.sum("n").alias("n"), F.countDistinct("term").alias("terms"), F.max("total").alias("total"))
+    if operator == "and" and kind != "phrase":
+        hits = hits.where(F.col("terms") == len(wanted))
     if kind == "phrase":
-        ordered = [t for t in "".join(c if c.isalnum() else " " for c in expression.lower()).split()]
-        found = _phrase(title, ordered) | _phrase(content, ordered)
-    else:
-        each = [F.array_contains(title, t) | F.array_contains(content, t) for t in wanted]
-        found = reduce(lambda a, b: a & b if operator == "and" else a | b, each)
-    n = F.size(title) + F.size(content)
-    score = (_hits(title, wanted) + _hits(content, wanted)) / F.greatest(n, F.lit(1))
-    return documents.where(found).withColumn("score", score.cast("double"))
+        hits = hits.join(_phrase(own, _ordered_tokens(expression)), "link_id", "left_semi")
+    score = (F.col("n") / F.greatest("total", F.lit(1))).cast("double").alias("score")
+    return documents.join(hits.select("link_id", score), "link_id")
 
 
 def by_rank(hits: DataFrame) -> list[Column]:
@@ -67,10 +82,10 @@ def by_sum(hits: DataFrame) -> list[Column]:
 
 def page(hits: DataFrame, offset: int = 0, size: int = PAGE, order=by_rank) -> DataFrame:
     """One page of hits with its place; the title falls back to the URL. A top-k sort, not a full one."""
-    top = hits.orderBy(*order(hits)).limit(offset + size)
-    place = F.row_number().over(Window.orderBy(*order(hits)))  # over at most offset + size rows
+    top = hits.orderBy(*order(hits)).offset(offset).limit(size)
+    place = F.row_number().over(Window.orderBy(*order(hits))) + offset  # over at most `size` rows
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url"))
-    return top.withColumn("place", place).where(F.col("place") > offset).withColumn("title", title)
+    return top.withColumn("place", place).withColumn("title", title)
 
 
 def ranked(hits: DataFrame, order=by_rank) -> DataFrame:
@@ -79,7 +94,8 @@ def ranked(hits: DataFrame, order=by_rank) -> DataFrame:
 
 
 def stream(hits: DataFrame, offset: int = 0) -> DataFrame:
-    """All hits after `offset`, in order and without rank, each with the total."""
+    """All hits after `offset`, in order and without rank, each with the total; the search runs once."""
+    hits = stage(hits, "hits")
     total = hits.count()
     return ranked(hits).offset(offset).drop("pagerank").withColumn("total", F.lit(total).cast("long"))
 
