@@ -36,13 +36,32 @@ class Config:
 class Program:
     """compute(step, vertices with `inbox`, aggregates) -> columns of the new vertex table (id, active, …);
     send(step, vertices) -> (dst, message…) or None; fold: named aggregates of the messages by dst, which become the struct `inbox`;
-    aggregates: columns over the new vertex table."""
+    aggregates: columns over the new vertex table; those in `start` are accumulators, which begin there
+    and take up every step's value, the others hold the last step's."""
 
     compute: Callable[[int, DataFrame, dict], DataFrame]
     send: Callable[[int, DataFrame, dict], DataFrame | None]
     fold: Callable[[], dict[str, Column]]
     aggregates: Callable[[int], list[Column]] = lambda step: []
     keep_running: Callable[[int, dict], bool] = lambda step, aggregates: True
+    start: dict[str, float] = dataclasses.field(default_factory=dict)
+
+
+class Accumulator:
+    """A number that supersteps add to; delta is what was added since it was last asked for."""
+
+    def __init__(self, value: float = 0):
+        self.set(value)
+
+    def set(self, value: float) -> None:
+        self.value = self._last = value
+
+    def add(self, value: float | None) -> None:
+        self.value += value or 0
+
+    def delta(self) -> float:
+        last, self._last = self._last, self.value
+        return self.value - last
 
 
 @dataclasses.dataclass
@@ -67,7 +86,8 @@ def run(vertices: DataFrame, program: Program, config: Config = Config()) -> Res
 
     A vertex takes part if it is active or has messages; others stay as they are.
     """
-    current, inbox, step, aggregates = vertices, None, 0, {}
+    current, inbox, step, aggregates = vertices, None, 0, dict(program.start)
+    totals = {name: Accumulator(value) for name, value in program.start.items()}
     if "active" not in current.columns:
         current = current.withColumn("active", F.lit(True))
     while config.max_steps is None or step < config.max_steps:
@@ -78,8 +98,10 @@ def run(vertices: DataFrame, program: Program, config: Config = Config()) -> Res
             folded = inbox.groupBy(F.col("dst").alias("id")).agg(*(c.alias(k) for k, c in folds.items())).select("id", F.struct(*folds).alias("inbox"))
             with_inbox = current.join(folded, "id", "left")
         current = stage(program.compute(step, with_inbox, aggregates), "vertices")
-        totals = [F.sum(F.col("active").cast("long")).alias("active"), *program.aggregates(step)]
-        aggregates = current.agg(*totals).first().asDict()
+        found = current.agg(F.sum(F.col("active").cast("long")).alias("active"), *program.aggregates(step)).first().asDict()
+        for name, total in totals.items():
+            total.add(found[name])
+        aggregates = found | {name: total.value for name, total in totals.items()}
         messages = program.send(step, current, aggregates)
         if messages is not None:
             inbox = stage(check_destinations(messages, current, config), "messages")
@@ -92,15 +114,26 @@ def run(vertices: DataFrame, program: Program, config: Config = Config()) -> Res
 
 
 def broadcast(vertices: DataFrame, edges: DataFrame, sources: DataFrame, value: int) -> DataFrame:
-    """(id, value): every out-neighbour of a source holds `value` after two supersteps."""
-    sent = edges.join(sources.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-    reached = sent.withColumn("value", F.lit(value))
-    return vertices.select("id").join(reached, "id", "left").select("id", F.coalesce("value", F.lit(0)).alias("value"))
-
-
-def aggregate(vertices: DataFrame, value: str, offset: float = 0) -> DataFrame:
-    """(total, vertices): sum of a value over all vertices from an initial offset, and their number."""
-    return vertices.agg((F.coalesce(F.sum(value), F.lit(0)) + F.lit(offset)).alias("total"), F.count(F.lit(1)).alias("vertices"))
+    """(id, value): every out-neighbour of a source holds `value` after two supersteps, the others 0."""
+    links = edges.join(sources.select(F.col("id").alias("src")), "src", "left_semi").select("dst")
+    program = Program(
+        compute=lambda step, v, _: v.select("id", (F.coalesce(F.col("inbox.value"), F.lit(0)) if step else F.lit(0)).alias("value"), F.lit(step == 0).alias("active")),
+        send=lambda step, v, _: links.withColumn("value", F.lit(value)) if step == 0 else None,
+        fold=lambda: {"value": F.max("value")},
+    )
+    return run(vertices.select("id"), program, Config(max_steps=2)).vertices.select("id", "value")
+
+
+def aggregate(vertices: DataFrame, value: str, offset: float = 0) -> Result:
+    """A superstep in which every vertex adds its value to `total`, which starts at an offset, and 1 to `vertices`."""
+    program = Program(
+        compute=lambda step, v, _: v.select("id", value, F.lit(False).alias("active")),
+        send=lambda step, v, _: None,
+        fold=dict,
+        aggregates=lambda step: [F.sum(value).alias("total"), F.count(F.lit(1)).alias("vertices")],
+        start={"total": offset, "vertices": 0},
+    )
+    return run(vertices.select("id", value), program, Config(max_steps=1))
 
 
 def out_degree(edges: DataFrame) -> DataFrame:

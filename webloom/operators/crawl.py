@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webloom.functions import html, urls
 from webloom.operators import index, linkgraph
 from webloom.schema import uuid_of, zero_time
+from webloom.storage import stage
 
 
 def fetch_filter(fetched: DataFrame, private: DataFrame | None = None) -> DataFrame:
@@ -66,12 +67,13 @@ def crawl(links: DataFrame, edges: DataFrame, documents: DataFrame, pages: DataF
 
     Pages are upserted as retrieved now, targets as not retrieved yet. Targets
     that are not nofollow get an edge; edges of a crawled page that it no longer
-    has are dropped. Documents keep the rank they had.
+    has are dropped. Documents keep the rank they had. What is found on the pages and
+    the new links are staged, so that no page is read twice for its links.
     """
-    found = extract_links(pages, private)
+    found = stage(extract_links(pages, private), "found")
     seen = pages.select("url", F.lit(now).cast("timestamp").alias("retrieved_at"))
     targets = found.select(F.col("link").alias("url")).distinct().select("url", zero_time().alias("retrieved_at"))
-    new_links = linkgraph.upsert_links(links, seen.unionByName(targets))
+    new_links = stage(linkgraph.upsert_links(links, seen.unionByName(targets)), "links")
     ids = new_links.select("id", "url")
     ends = found.where(~F.col("nofollow")).join(ids.select(F.col("id").alias("src"), "url"), "url")
     ends = ends.join(ids.select(F.col("id").alias("dst"), F.col("url").alias("link")), "link").select("src", "dst")

@@ -91,7 +91,7 @@ def cascade_edges(edges: DataFrame, deleted: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*edges.columns)
 
 
-def remove_stale_edges(edges: DataFrame, src: str, before: datetime | Column) -> DataFrame:
+def remove_stale_edges(edges: DataFrame, src: str | Column, before: datetime | Column) -> DataFrame:
     """Edges without those of one source that were last updated before a time."""
     return edges.where(~((F.col("src") == src) & (F.col("updated_at") < before)))
 

@@ -1,7 +1,7 @@
-"""Dataflow stages as functions from DataFrame to DataFrame.
+"""Branches of a dataflow.
 
-A stage is any such function. Concurrency is Spark's: a pool of workers is a
-number of partitions, and a failed task fails the job after its retries.
+Stages are functions from DataFrame to DataFrame; what runs them, how many at a
+time, and what happens when one fails is Spark's own.
 """
 
 from __future__ import annotations
@@ -11,40 +11,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-Stage = Callable[[DataFrame], DataFrame]
 
-
-def fifo(process: Stage) -> Stage:
-    """One output or none for each input row."""
-    return process
-
-
-def fixed_pool(process: Stage, workers: int) -> Stage:
-    """`process` over a fixed number of partitions."""
-    if workers < 1:
-        raise ValueError("a pool needs at least one worker")
-    return lambda df: process(df.repartition(workers))
-
-
-def dynamic_pool(process: Stage, most: int) -> Stage:
-    """`process` over at most so many partitions; fewer where the data is small."""
-    if most < 1:
-        raise ValueError("a pool needs at least one worker")
-    return lambda df: process(df.coalesce(most))
-
-
-def broadcast(*processes: Stage) -> Stage:
-    """Every process on all rows; their outputs together."""
+def broadcast(rows: DataFrame, *processes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every process on all rows; their outputs together. Each branch reads `rows` again, so stage what is dear to compute."""
     if not processes:
         raise ValueError("at least one process is needed")
-    return lambda df: reduce(DataFrame.unionByName, (p(df) for p in processes))
-
-
-class Pipeline:
-    def __init__(self, *stages: Stage):
-        self.stages = stages
-
-    def process(self, source: DataFrame, sink: Callable[[DataFrame], object] | None = None):
-        """The rows after all stages, or what the sink makes of them."""
-        out = reduce(lambda df, s: s(df), self.stages, source)
-        return out if sink is None else sink(out)
+    return reduce(DataFrame.unionByName, (p(rows) for p in processes))
