@@ -39,7 +39,7 @@ def backoff_ms(attempt: Column, jitter_ms: Column | None = None) -> Column:
 
 def rtt_ms(line: Column) -> Column:
     """Milliseconds in a ping's reply, at single precision; null without one."""
-    found = F.regexp_extract(line, r"time[=<]([\d.]+)[ ]?ms", 1)
+    found = F.regexp_extract(line, r"time[=<]([\d.]+)[ ]?ms", 1)  # a fixed value: the form of ping's replies
     return F.when(found != "", found.try_cast("float").cast("double"))
 
 

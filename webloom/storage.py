@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which all machines must share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-webloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+    import tempfile
+
+    base = "file://" + tempfile.mkdtemp(prefix="spark-webloom-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
