@@ -1,18 +1,20 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from webloom.operators import bsp, closure, coloring, pagerank, shortest_paths
 
-#: Golden graphs: edges, scores of A, B and C within 0.01, and the superstep of the stop.
+#: Edges of four small graphs, scores of A, B and C that are known for them (fixed values, within 0.01), and the superstep of the stop.
 RANKED = [
-    ("AB BC CA", (1 / 3, 1 / 3, 1 / 3), 2),
-    ("AB BC CA CB", (0.2145, 0.3937, 0.3879), 14),
-    ("AB BC", (0.1842, 0.3411, 0.4745), 12),
+    ([("A", "B"), ("B", "C"), ("C", "A")], (1 / 3, 1 / 3, 1 / 3), 2),
+    ([("A", "B"), ("B", "C"), ("C", "A"), ("C", "B")], (0.2145, 0.3937, 0.3879), 14),
+    ([("A", "B"), ("B", "A"), ("B", "C"), ("C", "B")], (0.2569, 0.4860, 0.2569), 42),
+    ([("A", "B"), ("B", "C")], (0.1842, 0.3411, 0.4745), 12),
 ]
 
 
 def graph(spark, edges):
-    pairs = [tuple(e) for e in edges.split()]
+    pairs = [tuple(e) for e in (edges.split() if isinstance(edges, str) else edges)]
     return spark.createDataFrame([(v,) for v in sorted({x for p in pairs for x in p})], "id string"), spark.createDataFrame(pairs, "src string, dst string")
 
 
@@ -20,7 +22,7 @@ def graph(spark, edges):
 def test_pagerank_golden(spark, edges, scores, stop):
     found = pagerank.pagerank(*graph(spark, edges))
     got = dict(found.scores.collect())
-    assert found.supersteps == stop
+    assert found.supersteps == stop and found.settled
     assert [got[v] for v in "ABC"] == pytest.approx(scores, abs=0.01)
     assert sum(got.values()) == pytest.approx(1, abs=0.001)
 
@@ -35,28 +37,61 @@ def test_pagerank_rules(spark):
     with pytest.raises(ValueError):
         pagerank.Config(damping=1.5)
     assert pagerank.Config(damping=0).damping == 0.85
-
-
-_COSTS = """0: 1=4 7=8
-1: 0=4 2=8 7=11
-2: 1=8 3=7 5=4 8=2
-3: 2=7 4=9 5=14
-4: 3=9 5=10
-5: 2=4 4=10 6=2
-6: 3=14 5=2 7=1 8=6
-7: 0=8 1=11 6=1 8=7
-8: 2=2 6=6 7=7"""
-
-
-def test_shortest_paths(spark):
-    rows = [(a, *p.split("=")) for line in _COSTS.split("\n") for a, rest in [line.split(": ")] for p in rest.split()]
-    edges = spark.createDataFrame([(a, b, int(c)) for a, b, c in rows] + [("x", "y", 1)], "src string, dst string, cost long")
-    got = {r["dst"]: (r["cost"], "".join(r["path"])) for r in shortest_paths.shortest_paths(edges, "0").collect()}
-    assert got == {"0": (0, "0"), "1": (4, "01"), "2": (12, "012"), "3": (19, "0123"), "4": (21, "07654"), "5": (11, "0765"), "6": (9, "076"), "7": (8, "07"), "8": (14, "0128")}
-    with pytest.raises(ValueError):
-        shortest_paths.shortest_paths(edges.withColumn("cost", -F.col("cost")), "0")
+    slow = graph(spark, RANKED[2][0])
+    with pytest.raises(pagerank.NotSettled):
+        pagerank.pagerank(*slow, pagerank.Config(max_steps=5))
+    cut = pagerank.pagerank(*slow, pagerank.Config(steps=5))
+    assert (cut.supersteps, cut.settled) == (5, False)
+
+
+def test_pagerank_by_brute_force(spark):
+    """Repeated edges, links to oneself and dead ends, against the formula in numpy."""
+    rng = np.random.default_rng(6)
+    n = 60
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (220, 2)) if a % 7]
+    share = np.zeros((n, n))
+    for a, b in pairs:
+        share[b, a] += a != b
+    degree = share.sum(0)
+    share, dead, score = share / np.maximum(degree, 1), degree == 0, np.full(n, 1 / n)
+    while True:
+        last, score = score, 0.15 / n + 0.85 * (share @ score + score[dead].sum() / n)
+        if np.abs(score - last).sum() < 0.001:
+            break
+    found = pagerank.pagerank(spark.createDataFrame([(str(i),) for i in range(n)], "id string"), spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, dst string"))
+    got = dict(found.scores.collect())
+    assert [got[str(i)] for i in range(n)] == pytest.approx(score, abs=1e-9)
+
+
+def cheapest(edges, source):
+    """Supersteps in plain Python: (cost, way) of every vertex, the smaller predecessor on ties within a step."""
+    best, frontier = {source: (0, (source,))}, {source}
+    while frontier:
+        offers = {}
+        for a, b, cost in edges:
+            if a in frontier:
+                offer = (best[a][0] + cost, a)
+                offers[b] = min(offers.get(b, offer), offer)
+        frontier = {b for b, (cost, _) in offers.items() if b not in best or cost < best[b][0]}
+        best |= {b: (offers[b][0], (*best[offers[b][1]][1], b)) for b in sorted(frontier)}
+    return best
+
+
+@pytest.mark.parametrize("most", [shortest_paths._MOST_TABLES, 2])
+def test_shortest_paths(spark, monkeypatch, most):
+    monkeypatch.setattr(shortest_paths, "_MOST_TABLES", most)
+    rng = np.random.default_rng(9)
+    edges = [(f"v{a}", f"v{b}", int(c)) for a, b, c in zip(rng.integers(0, 40, 130), rng.integers(0, 40, 130), rng.integers(0, 30, 130))]
+    edges += [(f"v{i}", f"v{i + 1}", 3) for i in range(12)] + [("x", "y", 1)]
+    frame = spark.createDataFrame(edges, "src string, dst string, cost long")
+    found = shortest_paths.shortest_paths(frame, "v0")
+    want = cheapest(edges, "v0")
+    assert {r["dst"]: (r["cost"], tuple(r["path"])) for r in shortest_paths.with_paths(found).collect()} == want
+    assert shortest_paths.path_to(found, "v12") == (list(want["v12"][1]), want["v12"][0])
     with pytest.raises(bsp.UnknownVertex):
-        shortest_paths.path_to(shortest_paths.shortest_paths(edges, "0", 2), "y")
+        shortest_paths.path_to(found, "y")
+    with pytest.raises(ValueError):
+        shortest_paths.shortest_paths(frame.withColumn("cost", F.col("cost") - 20), "v0")
 
 
 @pytest.mark.parametrize("given", [{}, {"0": 1, "3": 1}])
@@ -74,6 +109,8 @@ def test_coloring(spark, given):
 def test_dependencies(spark):
     edges = spark.createDataFrame([("p0", "p1"), ("p0", "r1"), ("p1", "r1"), ("p1", "r2")], "id string, on string")
     assert {r["id"] for r in closure.all_dependencies(edges, "p0").collect()} == {"p1", "r1", "r2"}
+    long = spark.createDataFrame([(str(i), str(i + 1)) for i in range(40)] + [("5", "2")], "id string, on string")
+    assert {r["id"]: r["depth"] for r in closure.all_dependencies(long, "0").collect()} == {str(i): i for i in range(1, 41)}
     cycle = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, on string")
     assert {r["id"] for r in closure.all_dependencies(cycle, "a").collect()} == {"a", "b"}
 
@@ -83,7 +120,16 @@ def test_supersteps(spark):
     got = dict(bsp.broadcast(vertices, edges, vertices.where("id = '0'"), 42).collect())
     assert got == {"0": 0, "1": 42, "2": 42, "3": 42}
     many = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("n"))
-    assert bsp.aggregate(many, "n", 5).first()["total"] == 1005
+    assert bsp.aggregate(many, "n", 5).aggregates == {"active": 0, "total": 1005, "vertices": 1000}
+    total = bsp.Accumulator(3)
+    total.add(4)
+    total.add(None)
+    assert (total.value, total.delta(), total.delta()) == (7, 4, 0)
+    total.set(1)
+    assert (total.value, total.delta()) == (1, 0)
+    # An accumulator takes up every step; other aggregates hold the last one.
+    counting = bsp.Program(lambda s, v, a: v.select("id", F.lit(True).alias("active")), lambda s, v, a: None, dict, lambda s: [F.count(F.lit(1)).alias("seen"), F.count(F.lit(1)).alias("last")], start={"seen": 0})
+    assert bsp.run(vertices, counting, bsp.Config(max_steps=3)).aggregates == {"active": 4, "seen": 12, "last": 4}
     lost = bsp.Program(lambda s, v, a: v.select("id", F.lit(True).alias("active")), lambda s, v, a: v.limit(1).select(F.lit("?").alias("dst"), F.lit(1).alias("m")), lambda: {"m": F.sum("m")})
     with pytest.raises(bsp.UnknownVertex):
         bsp.run(vertices, lost, bsp.Config(max_steps=2))

@@ -49,48 +49,85 @@ def test_edge_upserts(spark):
     assert linkgraph.remove_stale_edges(edges, "2", F.lit(NEW)).count() == 1
 
 
-RESOLVED = [
-    ("/bar/baz", "http://test.com/foo/", "http://test.com/bar/baz"),
-    ("bar/baz", "http://test.com/foo/", "http://test.com/foo/bar/baz"),
-    ("./bar/baz", "http://test.com/foo/secret/", "http://test.com/foo/secret/bar/baz"),
-    ("./bar/baz", "http://test.com/foo/secret/password", "http://test.com/foo/secret/bar/baz"),
-    ("../../bar/baz", "http://test.com/foo/secret/", "http://test.com/bar/baz"),
-    ("//www.somewhere.com/foo", "https://test.com/foo/secret/", "https://www.somewhere.com/foo"),
+#: The examples of RFC 3986, section 5.4 (fixed values), against its base.
+RFC_BASE = "http://a/b/c/d;p?q"
+RFC_EXAMPLES = [
+    ("g:h", "g:h"),
+    ("g", "http://a/b/c/g"),
+    ("./g", "http://a/b/c/g"),
+    ("g/", "http://a/b/c/g/"),
+    ("/g", "http://a/g"),
+    ("//g", "http://g"),
+    ("?y", "http://a/b/c/d;p?y"),
+    ("g?y", "http://a/b/c/g?y"),
+    ("#s", "http://a/b/c/d;p?q#s"),
+    ("g#s", "http://a/b/c/g#s"),
+    ("g?y#s", "http://a/b/c/g?y#s"),
+    (";x", "http://a/b/c/;x"),
+    ("g;x", "http://a/b/c/g;x"),
+    (".", "http://a/b/c/"),
+    ("./", "http://a/b/c/"),
+    ("..", "http://a/b/"),
+    ("../", "http://a/b/"),
+    ("../g", "http://a/b/g"),
+    ("../..", "http://a/"),
+    ("../../g", "http://a/g"),
+    ("../../../g", "http://a/g"),
+    ("/../g", "http://a/g"),
+    ("g.", "http://a/b/c/g."),
+    ("..g", "http://a/b/c/..g"),
+    ("./../g", "http://a/b/g"),
+    ("g/./h", "http://a/b/c/g/h"),
+    ("g/../h", "http://a/b/c/h"),
+    ("", None),
 ]
 
 
 def test_resolve(spark):
-    rows = spark.createDataFrame(RESOLVED, "t string, b string, want string")
-    assert rows.where(~urls.resolve(F.col("t"), F.col("b")).eqNullSafe(F.col("want"))).count() == 0
+    rows = spark.createDataFrame([(t, RFC_BASE, want) for t, want in RFC_EXAMPLES] + [("x", "https://h.org", "https://h.org/x"), ("//m/n", "https://h.org/z", "https://m/n")], "t string, b string, want string")
+    wrong = rows.withColumn("got", urls.resolve(F.col("t"), F.col("b"))).where(~F.col("got").eqNullSafe(F.col("want")))
+    assert wrong.collect() == []
 
 
 def test_private_networks(spark):
-    ips = ["127.0.0.1", "10.0.0.128", "192.168.0.127", "172.16.10.10", "169.254.169.254", "fe80::1", "8.8.8.8", "2001:db8::1", "name"]
-    rows = spark.createDataFrame([(i,) for i in ips], "ip string")
-    assert [r[0] for r in rows.select(urls.private_ip(F.col("ip"))).collect()] == [True] * 6 + [False] * 3
-    assert rows.where(urls.private_ip(F.col("ip"), ("8.8.8.8/16",))).count() == 1
-
-
-PAGE = """<html><head><title>A <b>title</b></title></head><body>
-<a href="https://example.com">x</a> <a href="//foo.com"></a> <a href="/absolute/link"></a>
-<a href="#/main">again</a><a href="/local" rel="nofollow"></a><a href="https://example.com#/page"></a>
-<a href="ftp://x/y">f</a> <a href="http://169.254.169.254/api">p</a> <a href="http://10.1.2.3:80/">port</a> <a href="/i.PNG">i</a></body></html>"""
+    """The first and last address of every network, and the neighbours outside."""
+    import ipaddress
+
+    rows = []
+    for network in map(ipaddress.ip_network, urls.PRIVATE_NETWORKS):
+        first, last = network.network_address, network.broadcast_address
+        rows += [(str(first), True), (str(last), True), (last.exploded, True)]
+        for other in (int(first) - 1, int(last) + 1):
+            if 0 <= other < 1 << first.max_prefixlen:
+                ip = type(first)(other)
+                rows.append((str(ip), any(ip in n for n in map(ipaddress.ip_network, urls.PRIVATE_NETWORKS) if n.version == ip.version)))
+    rows += [("localhost", False), ("1.2.3", False), ("300.1.1.1", False), ("", False)]
+    frame = spark.createDataFrame(rows, "ip string, want boolean")
+    assert frame.where(urls.private_ip(F.col("ip")) != F.col("want")).collect() == []
+    assert frame.where(urls.private_ip(F.col("ip"), ("9.9.0.0/16",))).count() == 0
+    assert spark.createDataFrame([("9.9.255.1",)], "ip string").where(urls.private_ip(F.col("ip"), ("9.9.0.0/16",))).count() == 1
+
+
+PAGE = """<!DOCTYPE html><title>Garden <i>tools</i></title>
+<p>See <a class="k" href="spades.html">spades</a>, <A HREF="spades.html#old">old ones</A> and <a href="/rakes/">rakes</a>.</p>
+<p><a rel="nofollow" href="https://shop.example/cart?x=1">cart</a> <a href="//cdn.example/list">list</a></p>
+<p><a href="mailto:me@x.example">mail</a> <a href="photo.JPEG">photo</a> <a href="http://192.168.7.7/admin">router</a> <a href="http://other.example:8080/">port</a></p>"""
 
 
 def test_extract_links(spark):
-    pages = spark.createDataFrame([("http://test.com", PAGE)], "url string, html string")
-    got = {r["link"]: r["nofollow"] for r in crawl.extract_links(pages).collect()}
-    assert got == {"https://example.com": False, "http://foo.com": False, "http://test.com/absolute/link": False, "http://test.com": False, "http://test.com/local": True}
-    based = spark.createDataFrame([("http://test.com/a", '<base href="https://other.com/base"><a href="./x">')], "url string, html string")
-    assert [r["link"] for r in crawl.extract_links(based).collect()] == ["https://other.com/base/x"]
-    private = spark.createDataFrame([("example.com", "10.0.0.1")], "host string, ip string")
-    assert "https://example.com" not in {r["link"] for r in crawl.extract_links(pages, private).collect()}
+    pages = spark.createDataFrame([("http://garden.example/a/index.html", PAGE)], "url string, html string")
+    got = {r["link"]: (r["nofollow"], r["place"]) for r in crawl.extract_links(pages).collect()}
+    assert got == {"http://garden.example/a/spades.html": (False, 0), "http://garden.example/rakes/": (False, 2), "https://shop.example/cart?x=1": (True, 3), "http://cdn.example/list": (False, 4)}
+    based = spark.createDataFrame([("http://garden.example/", '<base href="https://mirror.example/m"><a href="./x?y#z">'), ("http://garden.example/2", '<base href=""><a href="x">')], "url string, html string")
+    assert {r["link"] for r in crawl.extract_links(based).collect()} == {"https://mirror.example/m/x?y", "http://garden.example/x"}
+    private = spark.createDataFrame([("shop.example", "172.20.1.1"), ("cdn.example", "1.1.1.1")], "host string, ip string")
+    assert {r["link"] for r in crawl.extract_links(pages, private).collect()} == set(got) - {"https://shop.example/cart?x=1"}
 
 
 def test_text(spark):
-    rows = spark.createDataFrame([("<div>Some<span> content</span> rock &amp; roll</div>\n<buttton>Search</button>\n",), ("<title>Test title</title><p>Some content</p><script>no()</script>",)], "h string")
-    got = rows.select(html.title(F.col("h")), html.text(F.col("h"))).collect()
-    assert [tuple(r) for r in got] == [("", "Some content rock & roll Search"), ("Test title", "Some content")]
+    rows = spark.createDataFrame([(1, "<p>Salt<b>ed</b> &lt;nuts&gt;</p>\n\t<unknown>and&nbsp;figs</unknown><!-- no -->\n"), (2, "<title> Two\n<b>lines</b></title><style>p {}</style><h1>Plums</h1><script>f()</script>"), (3, "<TITLE> Pears &amp; <b>plums</b> </TITLE>x")], "n int, h string")
+    got = rows.select("n", html.title(F.col("h")), html.text(F.col("h"))).orderBy("n").collect()
+    assert [tuple(r)[1:] for r in got] == [("", "Salted <nuts> and\u00a0figs"), ("", "Plums"), ("Pears & plums", "x")]
 
 
 def test_fetch_filter(spark):
@@ -115,17 +152,32 @@ def documents(spark, contents):
     return spark.createDataFrame(rows, DOCUMENTS)
 
 
-def test_search(spark):
-    docs = documents(spark, ["Lorem Dolor Ipsum" if i % 5 == 0 else "Lorem Ipsum Dolor" for i in range(50)])
-    fives = [f"{i:03d}" for i in range(0, 50, 5)]
-    assert [r["link_id"] for r in search.ranked(search.search(docs, '"lorem dolor ipsum"')).collect()] == fives
-    docs = documents(spark, ["Lorem Dolor Ipsum" if i % 5 == 0 else "Ovidius poeta in terra pontica" for i in range(50)])
-    assert [r["link_id"] for r in search.ranked(search.search(docs, "lorem ipsum")).collect()] == fives
-    poets = search.search(docs, "poeta")
-    assert search.page(poets, 35).count() == 5 and search.page(poets, 200).count() == 0
-    assert search.stream(poets, 30).first()["total"] == 40
-    assert search.search(docs, "poeta lorem", operator="and").count() == 0 and search.search(docs, "...").count() == 0
-    assert search.pagination(10, 2, 2, 2) == {"from": 3, "to": 4, "total": 10, "prev": 0, "next": 4}
+@pytest.fixture(scope="module")
+def fruit(spark):
+    """Forty documents of falling rank; every fourth has the words of a phrase in order, the others in another."""
+    return documents(spark, ["Green apples, and pears" if i % 4 == 0 else "pears and green plums; apples" for i in range(40)])
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_search(spark, fruit, tmp_path, stored):
+    found = None
+    if stored:
+        index.write_postings(index.postings(fruit), str(tmp_path / "postings"))
+        found = index.read_postings(spark, str(tmp_path / "postings"))
+    find = lambda expression, **more: search.search(fruit, expression, postings=found, **more)
+    ids = lambda hits: [r["link_id"] for r in search.ranked(hits).collect()]
+    every, fours = [f"{i:03d}" for i in range(40)], [f"{i:03d}" for i in range(0, 40, 4)]
+    assert ids(find('"GREEN apples and"')) == fours and ids(find('"apples and pears"')) == fours
+    assert ids(find('"doc 7"')) == ["007"] and ids(find('"7 pears"')) == []  # not across fields
+    assert ids(find("plums cherries")) == [i for i in every if i not in fours] and ids(find("cherries")) == []
+    assert ids(find("plums apples", operator="and")) == [i for i in every if i not in fours] and ids(find("...")) == []
+    pears = find("pears")
+    assert [r["place"] for r in search.page(pears, 33, 5).collect()] == [34, 35, 36, 37, 38] and search.page(pears, 38).count() == 2 and search.page(pears, 90).count() == 0
+    rest = search.stream(pears, 30).collect()
+    assert len(rest) == 10 and {r["total"] for r in rest} == {40} and "pagerank" not in rest[0]
+    assert search.stream(pears, 41).count() == 0
+    assert find("apples").where("link_id = '001'").first()["score"] == 1 / 7
+    assert ids(find('"and and"')) == [] and search.pagination(25, 20, 5) == {"from": 21, "to": 25, "total": 25, "prev": 10, "next": None}
 
 
 def test_index(spark):
@@ -136,6 +188,8 @@ def test_index(spark):
     with pytest.raises(index.MissingLinkId):
         index.upsert(docs, docs.withColumn("link_id", F.lit(None).cast("string")), check=True)
     assert index.postings(docs).where("term = 'a'").first()["positions"] == [0]
+    twice = docs.select("link_id", "url", "title", F.explode(F.array(F.lit("late"), F.lit("early"))).alias("content")).withColumn("indexed_at", F.when(F.col("content") == "late", F.lit(NEW)).otherwise(F.lit(OLD)))
+    assert [r["content"] for r in index.upsert(docs, twice).collect()] == ["late"]
 
 
 def test_stores(spark, tmp_path):

@@ -1,3 +1,6 @@
+import os
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ def test_sentences(spark):
 def test_summary(spark):
     body = "Nothing here at all. Alpha beta gamma. Skip this one now. Beta wins the day today."
     assert one(spark, body, lambda c: text.summary(c, ["beta"])) == "Alpha beta gamma... Beta wins the day today."
-    assert one(spark, body, lambda c: text.summary(c, ["beta"], 10)) == "Alpha bet...."
+    assert one(spark, body, lambda c: text.summary(c, ["beta"], 10)) == "Alpha bet..."
     assert one(spark, body, lambda c: text.summary(c, ["zzz"])) == ""
 
 
@@ -42,12 +45,54 @@ def test_scalars(spark):
     assert one(spark, "a", lambda c: scalars.same_bytes(c, F.lit("a"))) and not one(spark, None, lambda c: scalars.same_bytes(c, F.lit("a")))
 
 
-def test_stages(spark):
-    rows = spark.createDataFrame([("0",)], "t string")
-    stages = [lambda df, k=k: df.select(F.concat("t", F.lit(f"_{k}")).alias("t")) for k in range(3)]
-    out = pipeline.Pipeline(pipeline.fixed_pool(pipeline.fifo(lambda df: df), 2), pipeline.broadcast(*stages)).process(rows)
-    assert {r["t"] for r in out.collect()} == {"0_0", "0_1", "0_2"}
-    assert pipeline.Pipeline(pipeline.dynamic_pool(lambda df: df.where("false"), 3)).process(rows, lambda df: df.count()) == 0
-    for bad in (lambda: pipeline.fixed_pool(lambda df: df, 0), lambda: pipeline.dynamic_pool(lambda df: df, 0), pipeline.broadcast):
-        with pytest.raises(ValueError):
-            bad()
+def test_branches(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "t string")
+    out = pipeline.broadcast(rows, *(lambda df, k=k: df.select(F.concat("t", F.lit(k)).alias("t")) for k in ("1", "2")))
+    assert sorted(r["t"] for r in out.collect()) == ["a1", "a2", "b1", "b2"]
+    with pytest.raises(ValueError):
+        pipeline.broadcast(rows)
+
+
+def split(value):
+    """Sentences by a window of three characters, in plain Python."""
+    kind = lambda c: {"Ll": "lower", "Lu": "upper"}.get(unicodedata.category(c), {"S": "symbol", "N": "number", "P": "mark"}.get(unicodedata.category(c)[0], "space" if c.isspace() else ""))
+    found, at, i = [], 0, 0
+    while i + 3 < len(value) - 0:
+        one, stop, after = value[i], value[i + 1], value[i + 2]
+        if i >= at and stop in ".!?" and (kind(one) in ("lower", "symbol", "number", "space") and kind(after) in ("mark", "space", "number", "upper") or kind(one) == "symbol"):
+            found.append(value[at : i + 2])
+            at = i + 2
+        i += 1
+    return [*found, value[at:]] if value[at:] else found
+
+
+def summed_up(value, terms, budget=256):
+    rated = []
+    for i, sentence in enumerate(split(value)):
+        found = sentence.split()
+        hits = sum(w.lower() in {t.lower() for t in terms} for w in found)
+        if hits:
+            rated.append((-hits / len(found), i, sentence))
+    taken = []
+    for _, i, sentence in sorted(rated):
+        if budget <= 0:
+            break
+        cut = sentence[:budget] + "..." if len(sentence) > budget else sentence
+        budget -= len(cut)
+        taken.append((i, cut))
+    out, last = "", None
+    for i, sentence in sorted(taken):
+        out += (".." if last is not None and i != last + 1 else "") + sentence + ("" if sentence.endswith(".") else ".")
+        last = i
+    return out.strip(" ")
+
+
+def test_documents_by_brute_force(spark):
+    where = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(where):
+        pytest.skip("test tables are not here")
+    terms = ["the", "of", "LA"]
+    docs = spark.read.parquet(where).select("text").where("text is not null")
+    for r in docs.select("text", text.sentences(F.col("text")).alias("parts"), text.summary(F.col("text"), terms).alias("summary")).collect():
+        assert r["parts"] == split(r["text"]) and "".join(r["parts"]) == r["text"]
+        assert r["summary"] == summed_up(r["text"], terms)
