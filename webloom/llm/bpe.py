@@ -15,7 +15,7 @@ import base64
 import functools
 import heapq
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +66,34 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Cache:
+    """Values of pieces in two generations: what has not been asked for since the last half of the entries came goes first."""
+
+    def __init__(self, entries: int, make: Callable[[list[str]], list]):
+        self.entries, self.make = entries, make
+        self.new: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def values(self, kinds: list[str]) -> list:
+        found = list(map(self.new.get, kinds))
+        absent = [i for i, v in enumerate(found) if v is None]
+        for i in absent:
+            found[i] = self.old.get(kinds[i])
+        missing = [i for i in absent if found[i] is None]
+        for i, value in zip(missing, self.make([kinds[i] for i in missing])):
+            found[i] = value
+        if 2 * (len(self.new) + len(absent)) > self.entries:
+            self.new, self.old = {}, self.new
+        self.new.update((kinds[i], found[i]) for i in absent if len(kinds[i]) <= CACHE_CHARS)
+        return found
+
+
 class Encoder:
     """Ids of texts, and bytes of ids, as numpy arrays."""
 
     def __init__(self, path: str, classes: bytes):
         self.ranks, self.classes = read_ranks(path), classes
-        self.known: dict[str, list[int]] = {}
+        self.cache = Cache(CACHE_ENTRIES, lambda kinds: [merge(kind.encode(), self.ranks) for kind in kinds])
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             tokens[rank] = token
@@ -79,19 +101,10 @@ class Encoder:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.places = np.cumsum(self.lengths) - self.lengths
 
-    def _ids(self, piece: str) -> list[int]:
-        if (ids := self.known.get(piece)) is None:
-            ids = merge(piece.encode(), self.ranks)
-            if len(piece) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_ENTRIES:
-                    self.known.clear()
-                self.known[piece] = ids
-        return ids
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids before each text and after the last)."""
         found = pretokenize.split(texts, self.classes)
-        ids = list(map(self._ids, found.kinds))
+        ids = self.cache.values(found.kinds)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         values, ends = found.lay_out(flat, sizes)
