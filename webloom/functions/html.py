@@ -40,8 +40,8 @@ _DIALECT = "(?d)(?iu)"
 def link_tags(html: Column) -> Column:
     """Array of (tag, href) of every anchor, in order."""
     tags = F.regexp_extract_all(html, F.lit(f"{_DIALECT}({_LINK})"), F.lit(1))
-    hrefs = F.regexp_extract_all(html, F.lit(f"{_DIALECT}{_LINK}"), F.lit(1))
-    return F.arrays_zip(tags.alias("tag"), hrefs.alias("href"))
+    # The pattern is lazy, so it matches the tag alone as it did within the page.
+    return F.transform(tags, lambda tag: F.struct(tag.alias("tag"), F.regexp_extract(tag, f"{_DIALECT}{_LINK}", 1).alias("href")))
 
 
 def is_nofollow(tag: Column) -> Column:
