@@ -407,9 +407,15 @@ def match_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(text.match_ratio(F.col("text"), ["The", "of", "les"]), 9).alias("ratio"))
 
 
-@register()
+_SPACE_SQL = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+@register(rf"""WITH c AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE length(text) > 0),
+  w AS (SELECT *, lag(c, 2) OVER o || lag(c) OVER o || c AS three FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  g AS (SELECT *, sum(CASE WHEN i < n AND regexp_full_match(three, '(?s)[\p{{Ll}}\p{{S}}\p{{N}}{_SPACE_SQL}][.!?][\p{{P}}\p{{N}}\p{{Lu}}{_SPACE_SQL}]|\p{{S}}[.!?].') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS place FROM w)
+  SELECT doc_id, place::INT AS place, string_agg(c, '' ORDER BY i) AS sentence FROM g GROUP BY doc_id, place""")
 def sentences(spark, sf_dir):
-    """Every sentence of every document, with its place."""
+    """Every sentence of every document, with its place. SQL looks at three characters at a time."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("place", "sentence"))
 
 
