@@ -11,11 +11,12 @@ input are ignored. Repeated rows give repeated results, one per row.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import heapq
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from webloom.llm import common, pieces, pretokenize
 
 #: Entries of a worker's piece cache, and the longest piece that it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,21 +68,26 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Cache:
-    """Values of pieces in two generations: what has not been asked for since the last half of the entries came goes first."""
+    """Ids of pieces in two generations: what has not been asked for since the last half of the entries came goes first."""
 
-    def __init__(self, entries: int, make: Callable[[list[str]], list]):
+    def __init__(self, entries: int, make: Callable[[list[str]], Iterable[list[int]]]):
         self.entries, self.make = entries, make
-        self.new: dict[str, object] = {}
-        self.old: dict[str, object] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def values(self, kinds: list[str]) -> list:
+    def ids(self, kinds: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all kinds, number of ids of each)."""
+        packed = self._packed(kinds)
+        return np.frombuffer(b"".join(packed), np.uint32), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+
+    def _packed(self, kinds: list[str]) -> list[bytes]:
         found = list(map(self.new.get, kinds))
         absent = [i for i, v in enumerate(found) if v is None]
         for i in absent:
             found[i] = self.old.get(kinds[i])
         missing = [i for i in absent if found[i] is None]
-        for i, value in zip(missing, self.make([kinds[i] for i in missing])):
-            found[i] = value
+        for i, ids in zip(missing, self.make([kinds[i] for i in missing])):
+            found[i] = array.array("I", ids).tobytes()
         if 2 * (len(self.new) + len(absent)) > self.entries:
             self.new, self.old = {}, self.new
         self.new.update((kinds[i], found[i]) for i in absent if len(kinds[i]) <= CACHE_CHARS)
@@ -93,7 +99,7 @@ class Encoder:
 
     def __init__(self, path: str, classes: bytes):
         self.ranks, self.classes = read_ranks(path), classes
-        self.cache = Cache(CACHE_ENTRIES, lambda kinds: [merge(kind.encode(), self.ranks) for kind in kinds])
+        self.cache = Cache(CACHE_ENTRIES, lambda kinds: (merge(kind.encode(), self.ranks) for kind in kinds))
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             tokens[rank] = token
@@ -104,10 +110,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids before each text and after the last)."""
         found = pretokenize.split(texts, self.classes)
-        ids = self.cache.values(found.kinds)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        values, ends = found.lay_out(flat, sizes)
+        values, ends = found.lay_out(*self.cache.ids(found.kinds))
         return values, np.concatenate([[0], ends])
 
     def encode_long(self, text: str) -> tuple[np.ndarray, np.ndarray]:

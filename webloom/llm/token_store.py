@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import common, pieces, pretokenize
-from webloom.llm.bpe import Cache, binaries
+from webloom.llm.bpe import CACHE_ENTRIES, Cache, binaries
 
-#: Ids in a block, unless one document alone has more; entries of a worker's piece cache.
-BLOCK_IDS, CACHE_ENTRIES = 1 << 18, 200_000
+#: Ids in a block, unless one document alone has more.
+BLOCK_IDS = 1 << 18
 
 
 @functools.cache
@@ -56,7 +56,7 @@ class Encoder:
         split = spec["pre_tokenizer"] or {}
         #: Whether pieces are those of `pretokenize` and nothing changes them before.
         self.by_piece = spec["normalizer"] is None and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
-        self.cache = Cache(CACHE_ENTRIES, lambda kinds: [e.ids for e in self.model.encode_batch_fast(kinds, add_special_tokens=False)])
+        self.cache = Cache(CACHE_ENTRIES, lambda kinds: (e.ids for e in self.model.encode_batch_fast(kinds, add_special_tokens=False)))
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,9 +74,7 @@ class Encoder:
 
     def _split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = pretokenize.split(texts, self.classes)
-        ids = self.cache.values(found.kinds)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        values, ends = found.lay_out(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        values, ends = found.lay_out(*self.cache.ids(found.kinds))
         return values, np.concatenate([[0], ends])
 
 
