@@ -69,8 +69,7 @@ def _prune(rule: tuple[Literal, ...], x: np.ndarray, bad: np.ndarray) -> tuple[L
 
 def learn(x: np.ndarray, labels: np.ndarray, prune: np.ndarray) -> list[tuple[Literal, ...]]:
     """Ordered rules for the rejected class (label 0)."""
-    failed = (x[:, FEATURES.index("n_words")] < LEAST_WORDS) | (x[:, FEATURES.index("repeat_ratio")] > MOST_REPEATED)
-    x, bad, prune = x[~failed], labels[~failed] == 0, prune[~failed]
+    bad = labels == 0
     if not bad.any() or bad.all():
         return []
     cuts, rules = thresholds(x, bad), []
@@ -96,7 +95,9 @@ def learn(x: np.ndarray, labels: np.ndarray, prune: np.ndarray) -> list[tuple[Li
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[Literal, ...]]:
-    return learn(*sample(docs, labels))
+    x, y, prune = sample(docs, labels)
+    failed = (x[:, FEATURES.index("n_words")] < LEAST_WORDS) | (x[:, FEATURES.index("repeat_ratio")] > MOST_REPEATED)
+    return learn(x[~failed], y[~failed], prune[~failed])
 
 
 def judge(docs: DataFrame, rules: list[tuple[Literal, ...]]) -> DataFrame:
