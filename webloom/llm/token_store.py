@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from webloom.llm import common, pieces, pretokenize
 from webloom.llm.bpe import CACHE_ENTRIES, Cache, binaries
 
-#: Ids in a block, unless one document alone has more; characters of a chunk: the more, the fewer kinds of pieces for each.
-BLOCK_IDS, CHUNK_CHARS = 1 << 18, 1_500_000
+#: Ids in a block, unless one document alone has more.
+BLOCK_IDS = 1 << 18
 
 
 @functools.cache
@@ -88,7 +88,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path, classes)
-        for rows, texts in common.chunks(batches, CHUNK_CHARS):
+        for rows, texts in common.chunks(batches):
             values, ends = model.encode(texts)
             values = np.insert(values.astype(width), ends[1:], end_id)
             yield pa.RecordBatch.from_arrays([rows, binaries(values, ends + np.arange(len(ends)))], names=["doc_id", "ids"])
