@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from webloom.llm import (
     bpe,
     decontaminate,
+    fill_middle,
     language_id,
     near_dup,
     quality_model,
@@ -61,6 +62,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.write_and_read(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_bpe_round_trip,
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secret_scan,
         op9_quality_model,
         op10_sharding,
+        op12_fill_middle,
     )
     return {f.__name__: f for f in every}
 
