@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webloom.llm import (
     bpe,
+    conversation_repair,
     decontaminate,
     fill_middle,
     language_id,
@@ -66,6 +67,11 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.report(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.report(conversation_repair.repair(damaged))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_bpe_round_trip,
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_quality_model,
         op10_sharding,
         op12_fill_middle,
+        op13_conversation_repair,
     )
     return {f.__name__: f for f in every}
 
