@@ -15,6 +15,7 @@ from webloom.llm import (
     near_dup,
     quality_model,
     quality_rules,
+    repeat_spans,
     secret_scan,
     sharding,
     token_counts,
@@ -63,6 +64,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.write_and_read(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op11_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_spans.report(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.report(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secret_scan,
         op9_quality_model,
         op10_sharding,
+        op11_repeat_spans,
         op12_fill_middle,
         op13_conversation_repair,
     )
