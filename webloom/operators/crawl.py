@@ -83,6 +83,33 @@ def crawl(links: DataFrame, edges: DataFrame, documents: DataFrame, pages: DataF
     return new_links, new_edges, index.upsert(documents, text)
 
 
+def changes(links: DataFrame, edges: DataFrame, documents: DataFrame, pages: DataFrame, now: datetime | Column, private: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(links, edges, removed edges, documents) that a pass over `pages` changes, as `crawl` would; what it leaves alone is not in them.
+
+    Of the old tables only rows of the pages and of their targets are taken up.
+    """
+    at = F.lit(now).cast("timestamp")
+    found = stage(extract_links(pages, private), "found")
+    seen = pages.select("url", at.alias("retrieved_at"))
+    targets = found.select(F.col("link").alias("url")).distinct().select("url", zero_time().alias("retrieved_at"))
+    touched = seen.unionByName(targets).groupBy("url").agg(F.max("retrieved_at").alias("retrieved_at"))
+    old = links.join(touched.select("url"), "url", "left_semi").select("url", "id", "retrieved_at", F.col("retrieved_at").alias("before"))
+    fresh = touched.select("url", F.lit(None).cast("string").alias("id"), "retrieved_at", F.lit(None).cast("timestamp").alias("before"))
+    merged = old.unionByName(fresh).groupBy("url").agg(*(f(c).alias(c) for f, c in ((F.min, "id"), (F.max, "retrieved_at"), (F.max, "before"))))
+    known = stage(merged.select(F.coalesce("id", uuid_of(F.col("url"))).alias("id"), "url", "retrieved_at", "before"), "links")
+    ids = known.select("id", "url")
+    ends = found.where(~F.col("nofollow")).join(ids.select(F.col("id").alias("src"), "url"), "url")
+    ends = stage(ends.join(ids.select(F.col("id").alias("dst"), F.col("url").alias("link")), "link").select("src", "dst").distinct(), "ends")
+    crawled = ids.join(pages.select("url"), "url", "left_semi")
+    of_pages = stage(edges.join(crawled.select(F.col("id").alias("src")), "src", "left_semi").select(*edges.columns), "edges")
+    new_edges = linkgraph.merge_edges(of_pages.join(ends, ["src", "dst"], "left_semi").select(*edges.columns), ends, at)
+    removed = of_pages.where(F.col("updated_at") < at).join(ends, ["src", "dst"], "left_anti").select("src", "dst")
+    text = extract_text(pages).join(crawled, "url").select(F.col("id").alias("link_id"), "url", "title", "content", at.alias("indexed_at"))
+    of_documents = documents.join(crawled.select(F.col("id").alias("link_id")), "link_id", "left_semi").select(*documents.columns)
+    new_links = known.where(F.col("before").isNull() | (F.col("before") < F.col("retrieved_at"))).select("id", "url", "retrieved_at")
+    return new_links, new_edges, removed, index.upsert(of_documents, text)
+
+
 def crawl_count(pages: DataFrame) -> DataFrame:
     """(pages): distinct pages of a pass."""
     return pages.agg(F.countDistinct(uuid_of(F.col("url"))).alias("pages"))

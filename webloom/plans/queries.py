@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from webloom.sources.tables import (
     trade_edges,
     trade_links,
 )
+from webloom.storage import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -339,6 +341,41 @@ def crawl_documents(spark, sf_dir):
     return _crawled(spark, sf_dir)[2].select("link_id", "url", "title", "content", "pagerank")
 
 
+_FAN_OUT = 32
+
+
+def _tree_of_pages(spark, sf_dir):
+    """What a web answers in which page k links to pages 32k + 1 to 32k + 32, besides its own links; one page in 13 is not found."""
+    pages = table(spark, sf_dir, "pages").groupBy(urls.without_fragment(F.col("url")).alias("url")).agg(F.min(F.struct("page_id", "html")).alias("p"))
+    pages = pages.select("url", F.col("p.page_id").alias("k"), F.col("p.html").alias("html"))
+    below = pages.select(F.floor((F.col("k") - 1) / _FAN_OUT).alias("k"), F.concat(F.lit('<a href="'), "url", F.lit('">')).alias("tag")).groupBy("k").agg(F.collect_list("tag").alias("tags"))
+    return pages.join(below, "k", "left").select(
+        "url", "k", F.when(F.col("k") % 13 == 5, 404).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), F.concat(F.concat_ws("\n", F.coalesce("tags", F.array().cast("array<string>"))), F.lit("\n"), "html").alias("html")
+    )
+
+
+@register(f"""WITH RECURSIVE src AS (SELECT regexp_replace(url, '#.*', '') AS u, min(page_id) AS k FROM pages GROUP BY 1),
+  reach(k, u, depth) AS (SELECT k, u, 0 FROM src WHERE k = (SELECT min(k) FROM src)
+    UNION ALL SELECT c.k, c.u, depth + 1 FROM reach r JOIN src c ON floor((c.k - 1) / {_FAN_OUT}.0) = r.k WHERE r.k % 13 <> 5),
+  crawled AS (SELECT p.page_id, u, depth FROM reach JOIN pages p ON p.page_id = k WHERE k % 13 <> 5), {_LINKS_SQL},
+  every AS (SELECT u AS url, {EPOCH} + 60 * depth AS t FROM crawled UNION ALL SELECT u, -62135596800 FROM reach
+    UNION ALL SELECT link, -62135596800 FROM found JOIN pages USING (url) WHERE page_id IN (SELECT page_id FROM crawled))
+  SELECT url, max(t) AS retrieved_at FROM every GROUP BY url""")
+def crawl_from_seed(spark, sf_dir):
+    """Ticks from one seed until no link that is due can be read; what one tick finds the next one fetches. The k-th tick is at minute k."""
+    from datetime import datetime, timezone
+
+    from webloom.storage import shared_dir
+    from webloom.streaming import service
+
+    fetched = stage(_tree_of_pages(spark, sf_dir), "web")
+    state = service.GraphState(spark, f"{shared_dir(spark)}/webloom-{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}")
+    service.seed(state, fetched.orderBy("k").limit(1).select("url"))
+    service.crawl_until_done(state, fetched, lambda k: datetime.fromtimestamp(EPOCH + 60 * k, timezone.utc), older_than=10**8)
+    seconds = F.when(F.year("retrieved_at") < 1000, F.lit(-62_135_596_800)).otherwise(F.unix_timestamp("retrieved_at"))
+    return state.table("links").select("url", seconds.alias("retrieved_at"))
+
+
 # Search
 
 _TERMS = ("worthless", "clown")

@@ -1,81 +1,28 @@
-"""Periodic passes as Structured Streaming queries.
+"""Periodic passes over the graph's state, as Structured Streaming queries.
 
-State is in tables. Every pass writes a version of its own and commits it with one
-small file, written last; readers take the last committed version. The file also
-names the last micro-batch that went in, so that a batch that is run again after
-a failure, in this process or a later one, changes nothing.
+Every pass writes what it has changed, and commits it with one small file that
+also names the last micro-batch that went in, so that a batch that is run again
+after a failure, in this process or a later one, changes nothing.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from webloom.operators import crawl, index, pagerank
-from webloom.schema import DOCUMENTS, EDGES, LINKS
+from webloom.operators import crawl, linkgraph, pagerank
+from webloom.operators.partition import Range
+from webloom.schema import zero_time
 from webloom.storage import stage
+from webloom.streaming.state import GraphState
 
-_TABLES = (("links", LINKS), ("edges", EDGES), ("documents", DOCUMENTS))
 
-
-class GraphState:
-    """Versions of the links, edges and documents tables below one folder, in any store that Spark writes to."""
-
-    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
-        """keep: versions that stay for readers who began with them."""
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
-
-    def _at(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def versions(self) -> dict[int, bool]:
-        """Every version, with whether it is committed."""
-        files, path = self._at("")
-        if not files.exists(path):
-            return {}
-        numbers = [int(name[1:]) for s in files.listStatus(path) if (name := s.getPath().getName()).startswith("v") and name[1:].isdigit()]
-        return {n: self._committed(n) for n in sorted(numbers)}
-
-    def _committed(self, version: int) -> bool:
-        files, path = self._at(f"v{version}/committed/_SUCCESS")
-        return files.exists(path)
-
-    @property
-    def version(self) -> int:
-        """The last committed version, -1 before the first."""
-        return max((n for n, done in self.versions().items() if done), default=-1)
-
-    def _notes(self) -> dict:
-        version = self.version
-        return json.loads(self.spark.read.text(f"{self.path}/v{version}/committed").first()[0]) if version >= 0 else {}
-
-    def batch(self, source: str) -> int:
-        """The last micro-batch of a source that went in, -1 before the first."""
-        return self._notes().get(source, -1)
-
-    def read(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        version = self.version
-        if version < 0:
-            return tuple(self.spark.createDataFrame([], schema) for _, schema in _TABLES)
-        return tuple(self.spark.read.schema(schema).parquet(f"{self.path}/v{version}/{name}") for name, schema in _TABLES)
-
-    def write(self, links: DataFrame, edges: DataFrame, documents: DataFrame, source: str | None = None, batch: int = -1) -> int:
-        """Write and commit a new version; the version."""
-        version = max(self.versions(), default=-1) + 1
-        for (name, _), df in zip(_TABLES, (links, edges, documents)):
-            df.write.parquet(f"{self.path}/v{version}/{name}")
-        notes = self._notes() | ({source: batch} if source is not None else {})
-        self.spark.createDataFrame([(json.dumps(notes),)], "value string").coalesce(1).write.text(f"{self.path}/v{version}/committed")
-        for old in sorted(self.versions())[: -self.keep]:
-            files, path = self._at(f"v{old}")
-            files.delete(path, True)
-        return version
+def _now() -> datetime:
+    return datetime.now(timezone.utc)
 
 
 def crawl_service(pages: DataFrame, state: GraphState, checkpoint: str, interval: str | None = None, now: Callable[[], datetime] | None = None) -> StreamingQuery:
@@ -84,27 +31,80 @@ def crawl_service(pages: DataFrame, state: GraphState, checkpoint: str, interval
     With an interval it ticks for ever; without one it takes what is there and
     ends. Passes on one state must not overlap.
     """
-    clock = now or (lambda: datetime.now(timezone.utc))
+    clock = now or _now
 
     def tick(batch: DataFrame, number: int) -> None:
         if number <= state.batch(checkpoint):
             return
         some = stage(batch.select("url", "html").dropDuplicates(["url"]), "pages")
-        state.write(*crawl.crawl(*state.read(), some, F.lit(clock())), checkpoint, number)
+        _store(state, some, clock(), checkpoint, number)
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return pages.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def rank_pass(state: GraphState, config: pagerank.Config = pagerank.Config(on_unknown_dst="drop")) -> int:
-    """Rank the current graph and write the scores into its documents; the number of supersteps."""
-    links, edges, documents = state.read()
+def _store(state: GraphState, pages: DataFrame, now: datetime, source: str | None = None, batch: int = -1, private: DataFrame | None = None) -> int:
+    links, edges, removed, documents = crawl.changes(*state.read(), pages, F.lit(now), private)
+    return state.write(links, edges, documents, source, batch, True, removed)
+
+
+def seed(state: GraphState, urls: DataFrame) -> int:
+    """Add the links `urls` (url) that are not known yet, as never retrieved."""
+    links = state.table("links")
+    new = urls.select("url").distinct().join(links.select("url"), "url", "left_anti").withColumn("retrieved_at", zero_time())
+    return state.write(linkgraph.upsert_links(links.limit(0), new), None, None, None, -1, True)
+
+
+def crawl_due(state: GraphState, fetched: DataFrame, now: datetime, older_than: int, part: int = 0, parts: int = 1, private: DataFrame | None = None) -> int:
+    """One tick: crawl the links of a UUID range that were not retrieved within `older_than` seconds; how many pages were read.
+
+    `fetched` (url, status, content_type, html) is what the web answers, with one row
+    for a URL. A link that has no answer, or one that is not worth reading, stays due.
+    The range is part `part` of `parts` equal ones, so that several services share a graph.
+    """
+    start, end = Range.full(parts).part(part)
+    due = linkgraph.links_due(state.table("links", start, end), F.lit(now), older_than)
+    answers = due.select("url").join(crawl.fetch_filter(fetched, private), "url")
+    pages = stage(answers.select("url", "html"), "due")
+    count = pages.count()
+    if count:
+        _store(state, pages, now, private=private)
+    return count
+
+
+def crawl_until_done(state: GraphState, fetched: DataFrame, now: Callable[[int], datetime], older_than: int, private: DataFrame | None = None, max_passes: int | None = None) -> int:
+    """Ticks over all links, `now(k)` being the time of the k-th, until none of those that are due can be read; the number of ticks that read any.
+
+    Links that one pass finds are due in the next.
+    """
+    passes = 0
+    while (max_passes is None or passes < max_passes) and crawl_due(state, fetched, now(passes), older_than, private=private):
+        passes += 1
+    return passes
+
+
+def rank_pass(state: GraphState, config: pagerank.Config = pagerank.Config(on_unknown_dst="drop"), now: datetime | None = None) -> int:
+    """Rank the links retrieved and the edges updated before the pass began, and store their scores; the number of supersteps.
+
+    Scores are a table of their own, so documents are not written again.
+    """
+    start = F.lit(now or _now())
+    links = state.table("links").where(F.col("retrieved_at") < start)
+    edges = state.table("edges").where(F.col("updated_at") < start)
     found = pagerank.pagerank(links, edges, config)
-    scores = found.scores.select(F.col("id").alias("link_id"), F.col("score").alias("pagerank"))
-    state.write(links, edges, index.update_scores(documents, scores))
+    state.set_scores(found.scores.select(F.col("id").alias("link_id"), F.col("score").alias("pagerank")))
     return found.supersteps
 
 
+def every(state: GraphState, checkpoint: str, interval: str, action: Callable[[GraphState], object]) -> StreamingQuery:
+    """A query that runs `action` on the state at an interval, say `rank_pass` or a `crawl_due` of one range.
+
+    Run it in one place for what has one leader. Passes on one state must not overlap.
+    """
+    ticks = state.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, number: action(state)).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n) per time window of a stream of events, with a watermark for late ones."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
