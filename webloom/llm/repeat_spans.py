@@ -82,7 +82,8 @@ class Chunk:
         self.sizes, self.ids, self.ends = sizes, ids, np.cumsum(sizes)
         found = list(self._blocks())
         whole = lambda k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)
-        self.start, self.windows, self.anchor = whole(0), whole(1), whole(2).astype(_U)
+        self.start, self.windows = whole(0), whole(1)
+        self.anchor = _mixed(whole(2).astype(_U) ^ _U(0x94D049BB133111EB))  # least hashes are small ones; buckets need even ones
         self.doc = np.searchsorted(self.ends, self.start, side="right")
         self.owner = self.ids[self.doc] if len(self.start) else np.zeros(0, np.int64)
 
