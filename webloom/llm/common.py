@@ -25,6 +25,14 @@ def quoted(df: DataFrame) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, or a longer one, that none of the `taken` names is, in either case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     """Only (doc_id, text), null texts as empty; other columns never clash."""
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

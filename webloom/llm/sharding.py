@@ -13,7 +13,10 @@ of tasks follows the data and not the number of shards. `write` stores a folder
 of files per shard and range, and `read` takes the results from the stored texts.
 
 Null texts have no bytes (size 1). Rows of one key stay together, so identical
-rows cannot be cut apart. Columns of the input named like a result are replaced.
+rows cannot be cut apart; equal doc_ids of unequal texts are rows like any others.
+Empty texts have one byte, too, and count as equal texts. An empty table gives an
+empty one. All columns of the input are stored and read back; one that is named
+like a result, or like a name used here, is called document_… instead.
 """
 
 from __future__ import annotations
@@ -39,6 +42,14 @@ _STORED = ("shard", _RANGE, "slot")
 _RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def _renamed(docs: DataFrame) -> DataFrame:
+    """`docs` without names that are used here."""
+    own, names = {c.lower() for c in (*_RESULTS, _KEY, _RANGE, _BEFORE)}, []
+    for c in docs.columns:
+        names.append(common.free_name([*docs.columns, *names], f"document_{c}") if c.lower() in own else c)
+    return docs.toDF(*names)
+
+
 def with_sizes(docs: DataFrame) -> DataFrame:
     """`docs` with size and text_crc32."""
     text = F.col("text").cast("string")
@@ -124,7 +135,7 @@ def splitters(histogram: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]],
 
 def _placed(docs: DataFrame, shards: int, range_bytes: int) -> DataFrame:
     """`docs` with size, text_crc32, shard, range and slot, by one exchange of its rows."""
-    keyed = with_keys(docs)
+    keyed = with_keys(_renamed(docs))
     keys = common.stage(keyed.select(_KEY, "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     per_shard = max(1, -(-total // (shards * range_bytes)))
@@ -146,7 +157,7 @@ def _placed(docs: DataFrame, shards: int, range_bytes: int) -> DataFrame:
         return pd.Series(offsets.value[number.to_numpy()])
 
     # Both before the exchange: a Python function after it would lose the order in which files are written.
-    placed = keyed.drop(*_STORED).withColumn(_RANGE, range_of(_KEY)).withColumn(_BEFORE, rows_before(_RANGE))
+    placed = keyed.withColumn(_RANGE, range_of(_KEY)).withColumn(_BEFORE, rows_before(_RANGE))
     placed = placed.withColumn("shard", F.floor(F.col(_RANGE) / per_shard).cast("int"))
     order = Window.partitionBy("shard", _RANGE).orderBy(_KEY, "doc_id", "text_crc32", "size")
     return placed.withColumn("slot", F.row_number().over(order) - 1 + F.col(_BEFORE)).drop(_KEY, _BEFORE)
@@ -163,13 +174,13 @@ def shard(docs: DataFrame, shards: int = 16, range_bytes: int = RANGE_BYTES) ->
 
 def write(docs: DataFrame, out: str, shards: int = 16, range_bytes: int = RANGE_BYTES) -> None:
     """Store whole rows of `docs` with their slots below {out}, in a folder per shard and range in it."""
-    rows = _placed(docs.drop(*_RESULTS), shards, range_bytes).drop("size", "text_crc32")
+    rows = _placed(docs, shards, range_bytes).drop("size", "text_crc32")
     rows.write.partitionBy("shard", _RANGE).option("compression", "zstd").parquet(out)
 
 
 def read(docs: DataFrame, out: str) -> DataFrame:
     """The rows stored below {out}, with the columns of `docs` and results as `shard` gives them."""
-    schema = StructType([f for f in docs.drop(*_RESULTS).schema])
+    schema = StructType([f for f in _renamed(docs).schema])
     for name, kind in zip(_STORED, ("integer", "integer", "long")):
         schema.add(name, kind)
     return _results(with_sizes(docs.sparkSession.read.schema(schema).parquet(out)))
