@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from webloom.llm import bpe, common, decontaminate, near_dup, quality_model, secret_scan
 
-_ROW = "__row_number"
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted on the labelled ones, does not reject.
 
@@ -40,12 +37,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one stays. Null texts and texts without words are in no group, so all stay.
     """
     # Written with row numbers of their own, so that they stay: doc_ids may repeat or be null.
-    rows = common.stage(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
-    found = near_dup.near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"), width=5, percent=80)
-    groups = found.select(F.col("doc_id").alias(_ROW), "component_id").join(rows.select(_ROW, "doc_id"), _ROW)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", _ROW))
-    kept = groups.groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{_ROW}").alias(_ROW))
-    return rows.join(kept, _ROW, "left_semi").select(*common.quoted(docs))
+    row = common.free_name(docs.columns, "__row_number")
+    rows = common.stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_dup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), width=5, percent=80)
+    groups = found.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row))
+    kept = groups.groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").select(*common.quoted(docs))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
