@@ -21,8 +21,11 @@ SEPARATOR = "\ud800"
 #: Longer texts are handled in parts of about so many characters.
 PART_CHARS = 500_000
 
-#: A part begins with a space between two ASCII letters, where no word or piece goes on.
-_CUT = re.compile(r"[A-Za-z] (?=[A-Za-z])")
+#: A part begins with a space between two letters or digits of any script, or with a stop after a
+#: letter that stays itself in lower case, where no word or piece goes on and nothing composes.
+_PLAIN = r"A-Za-z0-9\u0621-\u064a\u0905-\u0939\u0e01-\u0e2e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+_STOP = r",.;:!?()\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\u300c\u300d\u0964\u060c\u061b\u061f\u06d4"
+_CUT = re.compile(rf"[^\W_](?= [^\W_])|[{_PLAIN}](?=[{_STOP}])")
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -31,8 +34,8 @@ def parts(text: str, limit: int = PART_CHARS) -> list[str]:
     """The text in parts of about `limit` characters; whole where there is no place for a cut."""
     found, at = [], 0
     while len(text) - at > limit and (m := _CUT.search(text, at + limit)):
-        found.append(text[at : m.end() - 1])
-        at = m.end() - 1
+        found.append(text[at : m.end()])
+        at = m.end()
     return [*found, text[at:]]
 
 
