@@ -135,3 +135,53 @@ def test_supersteps(spark):
         bsp.run(vertices, lost, bsp.Config(max_steps=2))
     with pytest.raises(ValueError):
         bsp.Config(max_steps=0)
+
+
+def test_frozen_vertices_are_left_alone(spark):
+    """Vertex b is inactive and gets no message, c is woken once; only who takes part is computed and written."""
+    vertices = spark.createDataFrame([("a", 0, True), ("b", 0, False), ("c", 0, False)], "id string, n int, active boolean")
+    seen = []
+
+    def compute(step, v, _):
+        seen.append(sorted(r["id"] for r in v.select("id").collect()))
+        return v.select("id", (F.col("n") + 1).alias("n"), ((F.col("id") == "a") & (F.lit(step) < 2)).alias("active"))
+
+    program = bsp.Program(
+        compute=compute,
+        send=lambda step, v, _: v.where("id = 'a'").select(F.lit("c").alias("dst")) if step == 0 else None,
+        fold=lambda: {"n": F.count(F.lit(1))},
+        aggregates=lambda step: [F.sum("n").alias("sum")],
+    )
+    found = bsp.run(vertices, program)
+    assert seen == [["a"], ["a", "c"], ["a"]] and found.supersteps == 3
+    assert {r["id"]: (r["n"], r["active"]) for r in found.vertices.collect()} == {"a": (3, False), "b": (0, False), "c": (1, False)}
+    assert (found.aggregates["computed"], found.aggregates["sum"]) == (1, 3)
+
+
+def test_freezing_by_brute_force(spark):
+    """A token walks on; whoever holds it counts. Many steps, so tables of newer rows are made one."""
+    size, steps = 23, 11
+    vertices = spark.createDataFrame([(i, 0, i == 0) for i in range(size)], "id long, held int, active boolean")
+    program = bsp.Program(
+        compute=lambda step, v, _: v.select("id", (F.col("held") + 1).alias("held"), F.lit(False).alias("active")),
+        send=lambda step, v, _: v.select(((F.col("id") * 3 + 1) % size).alias("dst")) if step < steps - 1 else None,
+        fold=lambda: {"n": F.count(F.lit(1))},
+    )
+    held, at = [0] * size, 0
+    for _ in range(steps):
+        held[at] += 1
+        at = (at * 3 + 1) % size
+    found = bsp.run(vertices, program)
+    assert found.supersteps == steps and [r["held"] for r in found.vertices.orderBy("id").collect()] == held
+
+
+def test_graph_build(spark):
+    given = spark.createDataFrame([("a", 1, 1), ("a", 5, 2), ("a", 3, 3), ("b", 7, 1)], "id string, value int, nth int")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "z"), ("y", "a")], "src string, dst string")
+    with pytest.raises(bsp.UnknownEdgeSource):
+        bsp.build(given, edges)
+    vertices, kept = bsp.build(given, edges, "nth", on_unknown_src="drop")
+    assert sorted((r["id"], r["value"]) for r in vertices.collect()) == [("a", 3), ("b", 7)]
+    assert sorted(map(tuple, kept.collect())) == [("a", "b"), ("a", "b"), ("a", "z")]
+    with pytest.raises(bsp.UnknownVertex):
+        bsp.check_destinations(kept.select("dst"), vertices, bsp.Config())

@@ -1,8 +1,10 @@
 """Vertex programs in supersteps, over DataFrames.
 
-A program gives two plans per superstep: the new vertex table from vertices and
-grouped messages, and the messages that the vertices send. The loop folds the
-named aggregates into one row per step, so that one small row reaches the driver.
+A program gives two plans per superstep: the new rows of the vertices that take
+part, from their old ones and grouped messages, and the messages that they send. The
+loop folds the named aggregates into one row per step, so that one small row
+reaches the driver. A superstep writes the rows of those that took part; frozen
+vertices stay where they lie, and the newest row of a vertex counts.
 """
 
 from __future__ import annotations
@@ -16,10 +18,18 @@ from pyspark.sql import functions as F
 from webloom.storage import stage
 
 
+#: Tables of newer rows that are read side by side before they are made one.
+_MOST_TABLES = 6
+
+
 class UnknownVertex(ValueError):
     pass
 
 
+class UnknownEdgeSource(ValueError):
+    pass
+
+
 @dataclasses.dataclass
 class Config:
     max_steps: int | None = None
@@ -34,10 +44,10 @@ class Config:
 
 @dataclasses.dataclass
 class Program:
-    """compute(step, vertices with `inbox`, aggregates) -> columns of the new vertex table (id, active, …);
-    send(step, vertices) -> (dst, message…) or None; fold: named aggregates of the messages by dst, which become the struct `inbox`;
-    aggregates: columns over the new vertex table; those in `start` are accumulators, which begin there
-    and take up every step's value, the others hold the last step's."""
+    """compute(step, vertices that take part, with `inbox`, aggregates) -> their new rows (id, active, …); a vertex freezes with active = false;
+    send(step, new rows, aggregates) -> (dst, message…) or None; fold: named aggregates of the messages by dst, which become the struct `inbox`;
+    aggregates: columns over the new rows; those in `start` are accumulators, which begin there
+    and take up every step's value, the others hold the last step's. `computed` is the number of vertices that took part."""
 
     compute: Callable[[int, DataFrame, dict], DataFrame]
     send: Callable[[int, DataFrame, dict], DataFrame | None]
@@ -71,6 +81,27 @@ class Result:
     aggregates: dict
 
 
+def build(vertices: DataFrame, edges: DataFrame, order: str | None = None, on_unknown_src: str = "error") -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of a graph: one row for each id, that of the greatest `order` (by default the greatest row); edges stay, repeated ones, too.
+
+    Edges of unknown sources raise UnknownEdgeSource, or are left out with "drop"; where they end is looked at when a message is sent.
+    """
+    rest = [c for c in vertices.columns if c != "id"]
+    if rest:
+        row = F.struct(*rest)
+        last = F.max_by(row, order).alias("r") if order else F.max(row).alias("r")
+        vertices = vertices.groupBy("id").agg(last).select("id", *(f"r.{c}" for c in rest))
+    else:
+        vertices = vertices.distinct()
+    known = vertices.select(F.col("id").alias("src"))
+    if on_unknown_src == "error":
+        unknown = edges.join(known, "src", "left_anti").select("src").first()
+        if unknown is not None:
+            raise UnknownEdgeSource(f"edge of unknown vertex {unknown[0]!r}")
+        return vertices, edges
+    return vertices, edges.join(known, "src", "left_semi").select(*edges.columns)
+
+
 def check_destinations(messages: DataFrame, vertices: DataFrame, config: Config) -> DataFrame:
     known = vertices.select(F.col("id").alias("dst"))
     if config.on_unknown_dst == "drop":
@@ -81,36 +112,53 @@ def check_destinations(messages: DataFrame, vertices: DataFrame, config: Config)
     return messages
 
 
+def _newest(tables: list[DataFrame]) -> DataFrame:
+    """One row for each vertex: that of the last table that has it. Older tables only lose the ids that newer ones hold."""
+    found = tables[-1]
+    for older in reversed(tables[:-1]):
+        found = found.unionByName(older.join(found.select("id"), "id", "left_anti"), allowMissingColumns=True)
+    return found
+
+
 def run(vertices: DataFrame, program: Program, config: Config = Config()) -> Result:
     """Supersteps until no vertex is active and no message waits, the program says stop, or max_steps.
 
-    A vertex takes part if it is active or has messages; others stay as they are.
+    A vertex takes part if it is active or has messages; the others stay as they are
+    and are not written again. A column that only `compute` gives is null in a vertex
+    that never took part.
     """
-    current, inbox, step, aggregates = vertices, None, 0, dict(program.start)
+    if "active" not in vertices.columns:
+        vertices = vertices.withColumn("active", F.lit(True))
+    first = stage(vertices, "vertices")
+    tables, inbox, step, aggregates = [first], None, 0, dict(program.start)
     totals = {name: Accumulator(value) for name, value in program.start.items()}
-    if "active" not in current.columns:
-        current = current.withColumn("active", F.lit(True))
+    size = first.count()
     while config.max_steps is None or step < config.max_steps:
         if inbox is None:
-            with_inbox = current.withColumn("inbox", F.lit(None))
+            taking_part = tables[-1].where("active").withColumn("inbox", F.lit(None))  # who is active took part in the last step
         else:
             folds = program.fold()
             folded = inbox.groupBy(F.col("dst").alias("id")).agg(*(c.alias(k) for k, c in folds.items())).select("id", F.struct(*folds).alias("inbox"))
-            with_inbox = current.join(folded, "id", "left")
-        current = stage(program.compute(step, with_inbox, aggregates), "vertices")
-        found = current.agg(F.sum(F.col("active").cast("long")).alias("active"), *program.aggregates(step)).first().asDict()
+            taking_part = _newest(tables).join(folded, "id", "left").where(F.col("active") | F.col("inbox").isNotNull())
+        computed = stage(program.compute(step, taking_part, aggregates), "vertices")
+        count = [F.sum(F.col("active").cast("long")).alias("active"), F.count(F.lit(1)).alias("computed")]
+        found = computed.agg(*count, *program.aggregates(step)).first().asDict()
+        tables = [computed] if found["computed"] == size else [*tables, computed]
+        if len(tables) > _MOST_TABLES:
+            # The last table stays by itself, as only its vertices can be active.
+            tables = [stage(_newest(tables[:-1]), "vertices"), computed]
         for name, total in totals.items():
             total.add(found[name])
         aggregates = found | {name: total.value for name, total in totals.items()}
-        messages = program.send(step, current, aggregates)
+        messages = program.send(step, computed, aggregates)
         if messages is not None:
-            inbox = stage(check_destinations(messages, current, config), "messages")
+            inbox = stage(check_destinations(messages, first, config), "messages")
         waiting = messages is not None and not inbox.isEmpty()
         inbox = inbox if messages is not None else None
         step += 1
         if not program.keep_running(step - 1, aggregates) or not (waiting or aggregates["active"]):
             break
-    return Result(current, step, aggregates)
+    return Result(_newest(tables), step, aggregates)
 
 
 def broadcast(vertices: DataFrame, edges: DataFrame, sources: DataFrame, value: int) -> DataFrame:

@@ -722,6 +722,20 @@ def bsp_demo(spark, sf_dir):
     return bsp.run(vertices, program, bsp.Config(max_steps=2)).vertices.select("id", "got")
 
 
+@register(f"""SELECT id, CASE WHEN substr(id, 2)::BIGINT % 2 = 0 THEN 3 WHEN id IN (SELECT dst FROM ({_TRADE}) WHERE substr(src, 2)::BIGINT % 2 = 0) THEN 2 ELSE 1 END AS rounds FROM ({_IDS})""")
+def bsp_freeze(spark, sf_dir):
+    """In how many of three supersteps each vertex took part: odd ones freeze in the first, and those that even suppliers write to in the second wake in the third."""
+    vertices, lines = _trade(spark, sf_dir)
+    links = lines.select("src", "dst").distinct()
+    even = F.substring("id", 2, 20).cast("long") % 2 == 0
+    program = bsp.Program(
+        compute=lambda step, v, _: v.select("id", (F.col("rounds") + 1 if step else F.lit(1)).alias("rounds"), (even & (F.lit(step) < 2)).alias("active")),
+        send=lambda step, v, _: v.where("active").select(F.col("id").alias("src")).join(links, "src").select("dst") if step == 1 else None,
+        fold=lambda: {"n": F.count(F.lit(1))},
+    )
+    return bsp.run(vertices, program, bsp.Config(max_steps=3)).vertices.select("id", "rounds")
+
+
 @register("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_counts(spark, sf_dir):
     """Events by hour and type; the same plan serves a stream."""
