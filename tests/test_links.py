@@ -199,3 +199,105 @@ def test_stores(spark, tmp_path):
     assert stores.jdbc_options("postgresql://u:p@h:26257/db?table=edges")["dbtable"] == "edges"
     with pytest.raises(ValueError):
         stores.read(spark, "ftp:x")
+
+
+def test_mapped_addresses(spark):
+    """The first family's addresses in the second's form count as what they are; networks of the second do not hold them."""
+    private = ["::ffff:10.0.0.1", "::ffff:a00:1", "::FFFF:127.0.0.1", "0:0:0:0:0:ffff:192.168.1.1", "::ffff:169.254.1.1%eth0", "::1", "fe80::1%2", "::ffff:0.0.0.1"]
+    public = ["::ffff:8.8.8.8", "::ffff:808:808", "::10.0.0.1", "64:ff9b::10.0.0.1", "::ffff:10.0.0", "::ffff:300.0.0.1", "10.0.0.256", "::ffff:10.0.0.1:1", "ffff:10.0.0.1", "10.0.0.1.example"]
+    rows = spark.createDataFrame([(x, True) for x in private] + [(x, False) for x in public], "ip string, want boolean")
+    assert rows.where(urls.private_ip(F.col("ip")) != F.col("want")).collect() == []
+    assert spark.createDataFrame([("::ffff:1.2.3.4",), ("::5",)], "ip string").where(urls.private_ip(F.col("ip"), ("::/0",))).collect() == [("::5",)]
+
+
+def test_networks_of_any_number(spark):
+    """100,000 networks of both families against the standard library, for addresses in any form."""
+    import ipaddress
+    import random
+
+    rng = random.Random(8)
+    four = {(rng.getrandbits(32), rng.choice([*range(14, 33)])) for _ in range(60_000)}
+    six = {(rng.getrandbits(128), rng.choice([*range(20, 129)])) for _ in range(39_990)}
+    networks = [f"{ipaddress.IPv4Address(v)}/{n}" for v, n in four] + [f"{ipaddress.IPv6Address(v)}/{n}" for v, n in six] + ["0.0.0.0/33", "x/8", "1.2.3.4", "::/129", None]
+    known = {(4, n, v >> 32 - n) for v, n in four} | {(6, n, v >> 128 - n) for v, n in six}
+    hosts = {}
+    for _ in range(2_000):
+        v = rng.getrandbits(32) if rng.random() < 0.5 else rng.choice(sorted(four)[:500])[0] ^ rng.getrandbits(12)
+        hit = any((4, n, v >> 32 - n) in known for n in range(33))
+        hosts[str(ipaddress.IPv4Address(v))] = hosts[f"::ffff:{ipaddress.IPv4Address(v)}"] = hit
+        v = rng.choice(sorted(six)[:500])[0] ^ rng.getrandbits(rng.choice([8, 60, 100]))
+        hosts[str(ipaddress.IPv6Address(v))] = any((6, n, v >> 128 - n) in known for n in range(129))
+    found = urls.in_networks(spark.createDataFrame([(h,) for h in [*hosts, "name", "", None]] * 2, "ip string"), spark.createDataFrame([(n,) for n in networks], "cidr string"))
+    assert sorted(r["ip"] for r in found.collect()) == sorted(h for h, hit in hosts.items() if hit) and sum(hosts.values()) > 500
+    assert urls.in_networks(spark.createDataFrame([("::ffff:1.2.3.4",), ("::5",)], "ip string"), spark.createDataFrame([("::/0",)], "cidr string")).collect() == [("::5",)]
+
+
+def test_character_references(spark):
+    """Every name of the public table and numbers of all kinds, against the standard library."""
+    import html as library
+    from html.entities import html5
+
+    texts = [f"a&{name}b" for name in html5] + [f"&{name.rstrip(';')}" for name in html5] + [f"&{name.rstrip(';')}x;" for name in list(html5)[::7]]
+    texts += [f"&#{n};" for n in (9, 34, 39, 65, 128, 129, 150, 159, 160, 233, 8217, 8364, 55296, 57343, 0x10FFFF, 0x110000, 99999999999999999999, 0)] + ["&#x27;", "&#X27", "&#x1F600;!", "&#39b", "&#;", "&#x;", "&", "&&amp;", "&amp;lt;", "&amp;amp;lt;", "& amp;", "&nosuch;", "&notit;", "&#0065;", "&AMP", "x &lt y"]
+    valid = [t for t in texts if "&#1114111;" not in t]
+    frame = spark.createDataFrame(list(enumerate(valid)), "i int, t string").repartition(4)
+    got = {r["i"]: r["u"] for r in frame.select("i", html.unescape(F.col("t")).alias("u")).collect()}
+    assert {valid[i]: u for i, u in got.items() if u != library.unescape(valid[i])} == {}
+    assert spark.createDataFrame([("&#1114111;",)], "t string").select(html.unescape(F.col("t"))).first()[0] == chr(0x10FFFF)
+
+
+def tokenized(page):
+    """Text of a page by a scan of its own, character by character."""
+    out, i, low = [], 0, page.lower()
+    hidden = ("title", "script", "style", "iframe", "noembed", "noframes", "noscript", "object", "frameset")
+
+    def tag_end(i):
+        while i < len(page) and page[i] != ">":
+            i += 1
+            if page[i - 1] == "=":
+                while i < len(page) and page[i] in " \t\n\x0b\f\r":
+                    i += 1
+                if i < len(page) and page[i] in "\"'":
+                    stop = page.find(page[i], i + 1)
+                    i = len(page) if stop < 0 else stop + 1
+        return i + 1
+
+    while i < len(page):
+        if page[i] != "<" or i + 1 == len(page):
+            out.append(page[i])
+            i += 1
+        elif low.startswith("<!--", i):
+            if low.startswith(("<!-->", "<!--->"), i):
+                i = low.index(">", i) + 1
+                continue
+            stops = [(low.find(s, i + 4), len(s)) for s in ("-->", "--!>")]
+            i = min((at + n for at, n in stops if at >= 0), default=len(page))
+        elif (name := next((h for h in hidden if low.startswith("<" + h, i) and low[i + 1 + len(h) : i + 2 + len(h)] in tuple(" \t\n\x0b\f\r/>")), None)) is not None:
+            i = tag_end(i + 1 + len(name))
+            while i < len(page) and not (low.startswith("</" + name, i) and low[i + 2 + len(name) : i + 3 + len(name)] in tuple(" \t\n\x0b\f\r/>")):
+                i += 1
+            stop = page.find(">", i)
+            i = len(page) if stop < 0 else stop + 1
+        elif page[i + 1].isascii() and page[i + 1].isalpha() or page[i + 1] == "/" and page[i + 2 : i + 3].isascii() and page[i + 2 : i + 3].isalpha():
+            i = tag_end(i + 1)
+        elif page[i + 1] in "!?/":
+            stop = page.find(">", i)
+            i = len(page) if stop < 0 else stop + 1
+        else:
+            out.append("<")
+            i += 1
+    return "".join(out)
+
+
+def test_text_by_a_scan_of_its_own(spark):
+    import html as library
+    import random
+    import re
+
+    rng = random.Random(2)
+    parts = ["<p>", "</p>", '<a title="x>y">', "<b it's>", "<i a=b'c>", "<img alt='a > b' x>", "<a b = \"q", "a < b", "1<2", "<3", "<!-- <b> -->", "<!-->", "<!--->", "<!doctype html>", "<?php >", "</ x>", "<script>var t='</p>';</script >", "<SCRIPT a='>'>x<b></ScRiPt>", "<style>p{}</style/>", "<title>no</title>", "<titles>yes</titles>", "<noscript>n<b>o</noscript>", "&lt;b&gt;", "&eacute;", "&#8217;", "&nbsp;", " ", "\n", "　", "word", "é", "<", ">", '"', "'", "=", "<object data=x>in</object>", "<div a=1 b='2' c=\"3\">", "--!>"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(1_500)] + ["<a " + "x=1 " * 5_000 + ">end", "<" * 2_000, "<a b='" * 50, '<a title="x>y">t']
+    frame = spark.createDataFrame(list(enumerate(pages)), "i int, h string").repartition(4)
+    for r in frame.select("i", html.text(F.col("h")).alias("t")).collect():
+        want = library.unescape(re.sub("[\t\n\f\r ]+", " ", tokenized(pages[r["i"]]))).strip()
+        assert r["t"] == want, pages[r["i"]]

@@ -84,7 +84,7 @@ def summed_up(value, terms, budget=256):
     for i, sentence in sorted(taken):
         out += (".." if last is not None and i != last + 1 else "") + sentence + ("" if sentence.endswith(".") else ".")
         last = i
-    return out.strip(" ")
+    return out.strip()
 
 
 def test_documents_by_brute_force(spark):

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.html import trim
+
 #: A break follows a terminator between these classes, when at least one more character is there.
 _BREAK = (
     r"(?s)(?:(?<=[\p{Ll}\p{S}\p{N}\p{IsWhite_Space}][.!?])(?=[\p{P}\p{IsWhite_Space}\p{N}\p{Lu}].)"
@@ -33,7 +35,8 @@ def sentences(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\t\n\x0B\f\r \x85\xA0]+"), lambda w: w != "")
+    """Runs of characters that are no white space of any kind."""
+    return F.filter(F.split(text, r"\p{IsWhite_Space}+"), lambda w: w != "")
 
 
 def match_ratio(sentence: Column, terms: list[str]) -> Column:
@@ -72,7 +75,7 @@ def summary(text: Column, terms: list[str], budget: int = 256) -> Column:
         stop = F.when(x["s"].endswith("."), F.lit("")).otherwise(F.lit("."))
         return F.struct(x["i"].alias("last"), F.concat(state["text"], gap, x["s"], stop).alias("text"))
 
-    return F.trim(F.aggregate(taken, begin, add, lambda state: state["text"]))
+    return trim(F.aggregate(taken, begin, add, lambda state: state["text"]))
 
 
 def escape_html(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: File names that are not crawled (a fixed value).
@@ -116,6 +116,10 @@ def private_ipv4(ip: Column, networks: tuple[str, ...] = PRIVATE_NETWORKS) -> Co
     return _in_any(_ipv4_value(ip), _networks(networks, 4), int)
 
 
+#: What the 32 digits of an address of the first family begin with: the second family's form of it.
+_MAPPED = "0" * 20 + "ffff"
+
+
 def _ipv6_digits(ip: Column) -> Column:
     """The 32 hexadecimal digits of an IPv6 literal; null for anything else."""
     sides = F.split(F.lower(ip), "::", 2)
@@ -127,7 +131,81 @@ def _ipv6_digits(ip: Column) -> Column:
     return F.when(ip.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), let(digits, lambda d: F.when(F.length(d) == 32, d)))
 
 
+def _ipv4_digits(ip: Column) -> Column:
+    """Eight hexadecimal digits of a dotted quad."""
+    small = let(F.split(ip, r"\."), lambda parts: F.forall(parts, lambda p: p.try_cast("int") < 256))
+    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & small, F.lower(F.lpad(F.hex(_ipv4_value(ip)), 8, "0")))
+
+
+def address_digits(ip: Column) -> Column:
+    """One form for both families: 32 hexadecimal digits of an address, null for anything else.
+
+    A dotted quad and the same address written in the second family (as
+    ::ffff:10.0.0.1 or ::ffff:a00:1) have equal digits. A zone (%…) does not count.
+    """
+    bare = F.regexp_replace(ip, "%.*$", "")
+    four = F.concat(F.lit(_MAPPED), _ipv4_digits(bare))
+    tail = F.regexp_extract(bare, r":(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    ended = let(_ipv4_digits(tail), lambda d: _ipv6_digits(F.concat(F.regexp_replace(bare, r"[^:]*$", ""), F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4))))
+    six = F.when(tail != "", ended).otherwise(_ipv6_digits(bare))
+    return F.when(bare.contains(":"), six).when(bare.rlike(r"^[0-9.]+$"), four)
+
+
+def _bounds(network) -> tuple[str, str]:
+    """First and last digits of a network, in the form of `address_digits`."""
+    form = (lambda a: _MAPPED + f"{int(a):08x}") if network.version == 4 else (lambda a: f"{int(a):032x}")
+    return form(network.network_address), form(network.broadcast_address)
+
+
 def private_ip(ip: Column, networks: tuple[str, ...] = PRIVATE_NETWORKS) -> Column:
-    """Whether an address of either family is in one of the networks; false for anything else."""
-    six = lambda x: x.contains(":") & _in_any(_ipv6_digits(x), _networks(networks, 6), lambda a: f"{int(a):032x}")
-    return F.coalesce(let(ip, lambda x: private_ipv4(x, networks) | six(x)), F.lit(False))
+    """Whether an address of either family is in one of the networks; false for anything else.
+
+    An address of the first family is in networks of that family only, however it is written.
+    """
+    known = [ipaddress.ip_network(n, strict=False) for n in networks]
+
+    def inside(digits: Column) -> Column:
+        four = digits.startswith(_MAPPED)
+        found = F.lit(False)
+        for n in known:
+            first, last = _bounds(n)
+            within = digits.between(first, last)
+            found = found | (within if first.startswith(_MAPPED) and last.startswith(_MAPPED) else ~four & within)
+        return found
+
+    return F.coalesce(let(address_digits(ip), inside), F.lit(False))
+
+
+def _prefix(digits: Column, length: Column | int) -> Column:
+    """The first bits of an address, as digits: whole ones, then what is left of the next."""
+    whole, rest = F.floor(F.lit(length) / 4).cast("int"), F.lit(length).cast("int") % 4
+    next_digit = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    size = F.element_at(F.array(*[F.lit(x) for x in (16, 8, 4, 2)]), rest + 1)
+    masked = next_digit - next_digit % size
+    return F.concat(F.substr(digits, F.lit(1), whole), F.when(rest > 0, F.lower(F.hex(masked))).otherwise(F.lit("")))
+
+
+def network_keys(cidr: Column) -> tuple[Column, Column]:
+    """(bits, prefix) of a network "address/bits" of either family, with bits counted in the form of `address_digits`; null for anything else."""
+    address, bits = F.substring_index(cidr, "/", 1), F.substring_index(cidr, "/", -1).try_cast("int")
+    most = F.when(address.contains(":"), 128).otherwise(32)
+    length = F.when(cidr.contains("/") & bits.between(0, most), bits + 128 - most)
+    return length, _prefix(address_digits(address), length)
+
+
+def in_networks(hosts: DataFrame, networks: DataFrame) -> DataFrame:
+    """The distinct ip of `hosts` (ip) that are in any of `networks` (cidr), however many these are.
+
+    Networks are rows by (bits, prefix); an address has one prefix for each number of
+    bits that occurs, at most 129, so this is an equality join that spreads over its keys.
+    """
+    length, prefix = network_keys(F.col("cidr"))
+    known = networks.select(length.alias("bits"), prefix.alias("prefix")).where("bits is not null and prefix is not null").distinct()
+    lengths = sorted(r[0] for r in known.select("bits").distinct().collect())  # 129 at the most
+    address = hosts.select("ip").distinct().select("ip", address_digits(F.col("ip")).alias("digits")).where("digits is not null")
+    # An address of the first family is in no network that is wider than the family.
+    tries = [F.when(F.lit(n >= 96) | ~F.col("digits").startswith(_MAPPED), F.struct(F.lit(n).alias("bits"), _prefix(F.col("digits"), n).alias("prefix"))) for n in lengths]
+    if not tries:
+        return address.select("ip").limit(0)
+    keyed = address.select("ip", F.explode(F.filter(F.array(*tries), lambda t: t.isNotNull())).alias("t")).select("ip", "t.bits", "t.prefix")
+    return keyed.join(known, ["bits", "prefix"], "left_semi").select("ip").distinct()

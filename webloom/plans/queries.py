@@ -256,6 +256,36 @@ def private_hosts_v6(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", ip.alias("ip")).select("c_custkey", "ip", urls.private_ip(F.col("ip")).alias("private"))
 
 
+@register("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '::ffff:10.1.2.' || c_custkey % 256 WHEN 1 THEN '::FFFF:ac1' || hex(c_nationkey % 16) || ':' || hex(c_custkey % 65536)
+    WHEN 2 THEN '0:0:0:0:0:ffff:' || hex(c_custkey % 65536) || ':1' ELSE '::10.1.2.' || c_custkey % 256 END AS ip,
+  CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN c_custkey % 65536 // 256 IN (0, 10, 127) OR c_custkey % 65536 BETWEEN 44048 AND 44063 OR c_custkey % 65536 IN (49320, 43518) ELSE false END AS private FROM customer""")
+def private_hosts_mapped(spark, sf_dir):
+    """Addresses of the first family in the form of the second, with a dotted tail or in digits; the last kind only looks like one."""
+    c = F.col("c_custkey")
+    ip = (
+        F.when(c % 4 == 0, F.concat(F.lit("::ffff:10.1.2."), c % 256))
+        .when(c % 4 == 1, F.concat(F.lit("::FFFF:ac1"), F.hex(F.col("c_nationkey") % 16), F.lit(":"), F.hex(c % 65536)))
+        .when(c % 4 == 2, F.concat(F.lit("0:0:0:0:0:ffff:"), F.hex(c % 65536), F.lit(":1")))
+        .otherwise(F.concat(F.lit("::10.1.2."), c % 256))
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", ip.alias("ip")).select("c_custkey", "ip", urls.private_ip(F.col("ip")).alias("private"))
+
+
+def _quad(value):
+    return F.concat_ws(".", *(F.floor(value / 256**k).cast("long") % 256 for k in (3, 2, 1, 0)))
+
+
+@register("""WITH n AS (SELECT DISTINCT s_suppkey * 2654435761 % 4294967296 AS v, 8 + s_suppkey % 21 AS bits FROM supplier), h AS (SELECT DISTINCT c_custkey * 40503 * 65537 % 4294967296 AS v FROM customer)
+  SELECT v // 16777216 || '.' || v // 65536 % 256 || '.' || v // 256 % 256 || '.' || v % 256 AS ip FROM h
+  WHERE EXISTS (SELECT 1 FROM n WHERE n.v // (2::BIGINT ** (32 - bits))::BIGINT = h.v // (2::BIGINT ** (32 - bits))::BIGINT)""")
+def hosts_in_networks(spark, sf_dir):
+    """Addresses that are in any network of a table; a network for each supplier, with host bits set."""
+    value = F.col("s_suppkey") * 2_654_435_761 % 4_294_967_296
+    networks = table(spark, sf_dir, "supplier").select(F.concat(_quad(value), F.lit("/"), 8 + F.col("s_suppkey") % 21).alias("cidr"))
+    hosts = table(spark, sf_dir, "customer").select(_quad(F.col("c_custkey") * 40_503 * 65_537 % 4_294_967_296).alias("ip"))
+    return urls.in_networks(hosts, networks)
+
+
 _LINKS_SQL = f"""tags AS (SELECT url, unnest(regexp_extract_all(html, '{_LINK_RE.replace("'", "''")}', 1)) AS href, generate_subscripts(regexp_extract_all(html, '{_LINK_RE.replace("'", "''")}', 1), 1) - 1 AS place FROM pages),
   resolved AS (SELECT url, place, regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href, '#.*', '') AS link FROM tags WHERE href <> ''),
   found AS (SELECT url, link, min(place) AS place FROM resolved WHERE NOT regexp_matches(link, '{_EXCLUDED_RE}') GROUP BY ALL)"""
@@ -282,8 +312,12 @@ def resolve_urls(spark, sf_dir):
     return tags.select("url", "place", urls.without_fragment(urls.resolve(F.col("t.href"), F.col("url"))).alias("link"))
 
 
+#: The references that occur in the given pages, and more; the SQL's own list.
+_SQL_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&eacute;": "é", "&euro;": "€", "&amp;": "&"}
+
+
 def _unescape_sql(x: str) -> str:
-    for entity, character in html.ENTITIES.items():
+    for entity, character in _SQL_ENTITIES.items():
         x = f"replace({x}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
     return x
 
