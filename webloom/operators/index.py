@@ -64,10 +64,10 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def write_postings(found: DataFrame, path: str) -> None:
-    """Store postings in a folder for each bucket of terms, sorted, so that a search reads the folders and row groups of its terms only."""
+def write_postings(found: DataFrame, path: str, *then: str) -> None:
+    """Store postings in a folder for each bucket of terms, sorted, so that a search reads the folders and row groups of its terms only; `then` sorts within a term."""
     spread = found.withColumn("bucket", bucket(F.col("term")))
-    ordered = spread.repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(16))).sortWithinPartitions("bucket", "term", "link_id")
+    ordered = spread.repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(16))).sortWithinPartitions("bucket", "term", *then, "link_id")
     ordered.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 

@@ -7,6 +7,7 @@ right above the tokens. What matches is joined with the documents.
 
 from __future__ import annotations
 
+import dataclasses
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,13 +19,25 @@ from webloom.storage import stage
 
 PAGE = 10
 
+#: Pages that end behind so many rows are found by ranges.
+_FIRST_ROWS = 10_000
+
 
 def query_tokens(expression: str) -> list[str]:
     text = "".join(c if c.isalnum() else " " for c in expression.lower())
     return list(dict.fromkeys(text.split()))
 
 
-def _ordered_tokens(expression: str) -> list[str]:
+@dataclasses.dataclass
+class Page:
+    """rows: (link_id, pagerank, score) in order; postings: how many were read, of how many that the terms have."""
+
+    rows: list[tuple[str, float, float]]
+    read: int
+    postings: int
+
+
+def ordered_tokens(expression: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in expression.lower()).split()
 
 
@@ -39,7 +52,7 @@ def _less(places: Column, n: int) -> Column:
     return F.transform(places, lambda x: x - n)
 
 
-def _phrase(own: DataFrame, phrase: list[str]) -> DataFrame:
+def phrase_hits(own: DataFrame, phrase: list[str]) -> DataFrame:
     """link_ids of documents that have the terms one after the other in a field."""
     places = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), F.array().cast("array<int>")) for t in phrase]
     each = own.groupBy("link_id", "field").agg(*(p.alias(f"p{i}") for i, p in enumerate(places)))
@@ -65,7 +78,7 @@ def search(documents: DataFrame, expression: str, kind: str | None = None, opera
     if operator == "and" and kind != "phrase":
         hits = hits.where(F.col("terms") == len(wanted))
     if kind == "phrase":
-        hits = hits.join(_phrase(own, _ordered_tokens(expression)), "link_id", "left_semi")
+        hits = hits.join(phrase_hits(own, ordered_tokens(expression)), "link_id", "left_semi")
     score = (F.col("n") / F.greatest("total", F.lit(1))).cast("double").alias("score")
     return documents.join(hits.select("link_id", score), "link_id")
 
@@ -81,7 +94,10 @@ def by_sum(hits: DataFrame) -> list[Column]:
 
 
 def page(hits: DataFrame, offset: int = 0, size: int = PAGE, order=by_rank) -> DataFrame:
-    """One page of hits with its place; the title falls back to the URL. A top-k sort, not a full one."""
+    """One page of hits with its place; the title falls back to the URL. A top-k sort, not a full one; ranges for pages far behind."""
+    if offset + size > _FIRST_ROWS:
+        far = numbered(hits, order).where((F.col("place") > offset) & (F.col("place") <= offset + size))
+        return far.withColumn("title", F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url")))
     top = hits.orderBy(*order(hits)).offset(offset).limit(size)
     place = F.row_number().over(Window.orderBy(*order(hits))) + offset  # over at most `size` rows
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url"))
@@ -93,11 +109,31 @@ def ranked(hits: DataFrame, order=by_rank) -> DataFrame:
     return hits.orderBy(*order(hits))
 
 
+def numbered(hits: DataFrame, order=by_rank) -> DataFrame:
+    """All hits with their `place` in order, from 1.
+
+    Hits are sorted in ranges, side by side; a place is the number of hits in the
+    ranges before plus that in its own, so no task sees all of them.
+    """
+    columns = order(hits)
+    dealt = hits.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    laid = stage(dealt.select("*", F.spark_partition_id().alias("__range"), nth.alias("__nth")), "hits")
+    counts = dict(laid.groupBy("__range").count().collect())  # one row for each range
+    before, sums = 0, []
+    for part in sorted(counts):
+        sums.append((part, before))
+        before += counts[part]
+    starts = hits.sparkSession.createDataFrame(sums, "__range int, __before long")
+    return laid.join(F.broadcast(starts), "__range").withColumn("place", F.col("__before") + F.col("__nth") + 1).drop("__range", "__nth", "__before")
+
+
 def stream(hits: DataFrame, offset: int = 0) -> DataFrame:
     """All hits after `offset`, in order and without rank, each with the total; the search runs once."""
-    hits = stage(hits, "hits")
-    total = hits.count()
-    return ranked(hits).offset(offset).drop("pagerank").withColumn("total", F.lit(total).cast("long"))
+    every = stage(numbered(hits), "numbered")
+    total = every.count()
+    rest = every.where(F.col("place") > offset).orderBy("place")
+    return rest.drop("pagerank", "place").withColumn("total", F.lit(total).cast("long"))
 
 
 def pagination(total: int, offset: int, rows: int, size: int = PAGE) -> dict[str, int | None]:

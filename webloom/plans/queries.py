@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from webloom.functions import html, scalars, text, urls
 from webloom.operators import bsp, closure, coloring, crawl, index, linkgraph, pagerank, pipeline, search, shortest_paths
 from webloom.operators.partition import Range
+from webloom.operators.segments import TextIndex
 from webloom.schema import uuid_of
 from webloom.sources.tables import (
     EPOCH,
@@ -25,7 +26,7 @@ from webloom.sources.tables import (
     trade_edges,
     trade_links,
 )
-from webloom.storage import stage
+from webloom.storage import shared_dir, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -399,7 +400,6 @@ def crawl_from_seed(spark, sf_dir):
     """Ticks from one seed until no link that is due can be read; what one tick finds the next one fetches. The k-th tick is at minute k."""
     from datetime import datetime, timezone
 
-    from webloom.storage import shared_dir
     from webloom.streaming import service
 
     fetched = stage(_tree_of_pages(spark, sf_dir), "web")
@@ -419,8 +419,31 @@ _HITS_SQL = f"""{INDEXED_SQL}, tokens AS (SELECT *, {_TOKENS_SQL.format('title')
     FROM tokens WHERE list_has_any(tt, {list(_TERMS)}) OR list_has_any(tc, {list(_TERMS)}))"""
 
 
-def _match(spark, sf_dir):
-    return search.search(indexed(spark, sf_dir), " ".join(_TERMS))
+#: Stored indexes by application and tables; searches share them.
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def _new_index(spark) -> TextIndex:
+    return TextIndex(spark, f"{shared_dir(spark)}/webloom-{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}")
+
+
+def _stored(spark, sf_dir) -> TextIndex:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        made = _new_index(spark)
+        made.upsert(indexed(spark, sf_dir))
+        _INDEXES[key] = made
+    return _INDEXES[key]
+
+
+def _match(spark, sf_dir, expression=" ".join(_TERMS)):
+    return search.search(indexed(spark, sf_dir), expression, postings=_stored(spark, sf_dir).postings(search.query_tokens(expression)))
+
+
+def _placed(spark, page, first=1):
+    """(link_id, score, place) of a page's rows."""
+    rows = [(r[0], r[2], first + i) for i, r in enumerate(page.rows)]
+    return spark.createDataFrame(rows, "link_id string, score double, place int")
 
 
 def _hit_columns(hits):
@@ -441,7 +464,7 @@ def search_additive(spark, sf_dir):
 @register(f"""WITH {INDEXED_SQL} SELECT link_id, round(pagerank, 6) AS pagerank FROM indexed
   WHERE contains(' ' || array_to_string({_TOKENS_SQL.format('content')}, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string({_TOKENS_SQL.format('title')}, ' ') || ' ', ' of the ')""")
 def search_phrase(spark, sf_dir):
-    return search.search(indexed(spark, sf_dir), '"Of the"').select("link_id", F.round("pagerank", 6).alias("pagerank"))
+    return _match(spark, sf_dir, '"Of the"').select("link_id", F.round("pagerank", 6).alias("pagerank"))
 
 
 @register(f"WITH {_HITS_SQL} SELECT count(*) AS total FROM hits")
@@ -452,7 +475,53 @@ def search_total(spark, sf_dir):
 @register(f"""WITH {_HITS_SQL} SELECT link_id, coalesce(nullif(title, ''), url) AS title, place::INT AS place FROM (
     SELECT *, row_number() OVER (ORDER BY pagerank DESC, score DESC, link_id) AS place FROM hits) WHERE place BETWEEN 11 AND 20""")
 def search_page(spark, sf_dir):
-    return search.page(_match(spark, sf_dir), offset=10).select("link_id", "title", "place")
+    found = _placed(spark, _stored(spark, sf_dir).page(" ".join(_TERMS), offset=10), 11)
+    titles = indexed(spark, sf_dir).select("link_id", F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url")).alias("title"))
+    return titles.join(F.broadcast(found), "link_id").select("link_id", "title", "place")  # a page's rows
+
+
+_BM25_SQL = " + ".join(
+    f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * n{i} * 2.2 / (n{i} + 1.2 * (0.25 + 0.75 * size / average))" for i in range(len(_TERMS))
+)
+_COUNTED_SQL = ", ".join(f"len(list_filter(tt, lambda t: t = '{t}')) + len(list_filter(tc, lambda t: t = '{t}')) AS n{i}" for i, t in enumerate(_TERMS))
+
+
+def _bm25_sql(source: str) -> str:
+    return f"""tokens AS (SELECT *, {_TOKENS_SQL.format('title')} AS tt, {_TOKENS_SQL.format('content')} AS tc FROM {source}),
+  counted AS (SELECT link_id, len(tt) + len(tc) AS size, {_COUNTED_SQL} FROM tokens),
+  sums AS (SELECT count(*)::DOUBLE AS n, avg(size) AS average, {', '.join(f'count(*) FILTER (n{i} > 0) AS d{i}' for i in range(len(_TERMS)))} FROM counted),
+  scored AS (SELECT link_id, {_BM25_SQL} AS score FROM counted, sums WHERE {' OR '.join(f'n{i} > 0' for i in range(len(_TERMS)))})"""
+
+
+@register(f"""WITH {INDEXED_SQL}, {_bm25_sql('indexed')}
+  SELECT link_id, round(score, 9) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (ORDER BY score DESC, link_id) AS place FROM scored) WHERE place <= 20""")
+def search_relevant(spark, sf_dir):
+    """The twenty most relevant documents, with an early stop."""
+    page = _stored(spark, sf_dir).page(" ".join(_TERMS), size=20, order="score", score="bm25")
+    return _placed(spark, page).select("link_id", F.round("score", 9).alias("score"), "place")
+
+
+_CHANGED_SQL = """changed AS (SELECT link_id, title, CASE WHEN indexed_at % 3 = 0 THEN 'a clown, ' || lang ELSE content END AS content FROM (SELECT *, split_part(url, '/', 3) AS lang FROM indexed) WHERE indexed_at % 11 <> 0)"""
+
+
+@register(f"""WITH {INDEXED_SQL}, {_CHANGED_SQL}, {_bm25_sql('changed')} SELECT link_id, round(score, 9) AS score, (SELECT count(*) FROM scored) AS total,
+    place::INT AS place FROM (SELECT *, row_number() OVER (ORDER BY score DESC, link_id) AS place FROM scored) WHERE place <= 20""")
+def search_after_changes(spark, sf_dir):
+    """The same over an index in which a third of the documents came again with other texts and every eleventh was deleted."""
+    docs, seconds = indexed(spark, sf_dir), F.unix_timestamp("indexed_at")
+    kept = _new_index(spark)
+    kept.upsert(docs)
+    kept.upsert(docs.where(seconds % 3 == 0).withColumn("content", F.concat(F.lit("a clown, "), F.element_at(F.split("url", "/"), 3))))
+    kept.delete(docs.where(seconds % 11 == 0))
+    page = kept.page(" ".join(_TERMS), size=20, order="score", score="bm25")
+    total = kept.postings(list(_TERMS)).agg(F.countDistinct("link_id").alias("total"))
+    return _placed(spark, page).join(F.broadcast(total)).select("link_id", F.round("score", 9).alias("score"), "total", "place")  # one row
+
+
+@register(f"""WITH {_HITS_SQL} SELECT link_id, place FROM (SELECT *, row_number() OVER (ORDER BY pagerank DESC, score DESC, link_id) AS place FROM hits) WHERE place > 15 AND place <= 40""")
+def search_far_page(spark, sf_dir):
+    """Places 16 to 40 out of hits that are numbered range by range."""
+    return search.numbered(_match(spark, sf_dir)).where("place > 15 AND place <= 40").select("link_id", "place")
 
 
 @register(f"""WITH {_HITS_SQL} SELECT link_id, url, title, content, indexed_at, (SELECT count(*) FROM hits) AS total FROM (
@@ -507,7 +576,7 @@ def highlight(spark, sf_dir):
 @register(f"""WITH {INDEXED_SQL}, t AS (SELECT link_id, field, {_TOKENS_SQL.format('txt')} AS tokens FROM (SELECT link_id, 'title' AS field, title AS txt FROM indexed UNION ALL SELECT link_id, 'content', content FROM indexed))
   SELECT term, link_id, field, count(*) AS n FROM (SELECT link_id, field, unnest(tokens) AS term FROM t) GROUP BY ALL""")
 def postings(spark, sf_dir):
-    return index.postings(indexed(spark, sf_dir)).select("term", "link_id", "field", "n")
+    return _stored(spark, sf_dir).postings().select("term", "link_id", "field", "n")
 
 
 # Aggregates and small functions
