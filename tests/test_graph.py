@@ -155,7 +155,7 @@ def test_frozen_vertices_are_left_alone(spark):
     found = bsp.run(vertices, program)
     assert seen == [["a"], ["a", "c"], ["a"]] and found.supersteps == 3
     assert {r["id"]: (r["n"], r["active"]) for r in found.vertices.collect()} == {"a": (3, False), "b": (0, False), "c": (1, False)}
-    assert (found.aggregates["computed"], found.aggregates["sum"]) == (1, 3)
+    assert (found.computed, found.aggregates["sum"]) == (1, 3)
 
 
 def test_freezing_by_brute_force(spark):
@@ -185,3 +185,33 @@ def test_graph_build(spark):
     assert sorted(map(tuple, kept.collect())) == [("a", "b"), ("a", "b"), ("a", "z")]
     with pytest.raises(bsp.UnknownVertex):
         bsp.check_destinations(kept.select("dst"), vertices, bsp.Config())
+
+
+def test_hubs_are_split(spark):
+    """A star of 20,000 edges over four partitions: none holds twice the median, and scores are as without."""
+    star = spark.range(20_000).select(F.lit("hub").alias("src"), F.col("id").cast("string").alias("dst"))
+    links, hubs = pagerank._split(star, 100)
+    assert [tuple(r) for r in hubs.collect()] == [("hub", 200)]
+    sizes = sorted(r["count"] for r in links.repartition(4, "src", "part").groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[1]
+    rng = np.random.default_rng(3)
+    pairs = {(str(a), str(b)) for a, b in rng.integers(0, 40, (300, 2))} | {("0", str(b)) for b in range(40)}
+    vertices, edges = graph(spark, sorted(pairs))
+    whole, split = (dict(pagerank.pagerank(vertices, edges, pagerank.Config(hub_edges=n)).scores.collect()) for n in (10**6, 3))
+    assert split.keys() == whole.keys() and all(split[v] == pytest.approx(s, abs=1e-12) for v, s in whole.items())
+
+
+def test_colors_by_the_rule(spark):
+    """Each vertex has the least colour that its neighbours of greater rank, and those with a given colour, do not have."""
+    rng = np.random.default_rng(4)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (260, 2))})
+    vertices = spark.createDataFrame([(i, 2 if i == 5 else 1 if i % 20 == 3 else None) for i in range(62)], "id long, pre_color int")
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    rank = {r["id"]: (r["t"], r["id"]) for r in vertices.select("id", F.xxhash64(F.lit(42), "id").alias("t")).collect()}
+    want = {r["id"]: r["pre_color"] for r in vertices.collect() if r["pre_color"] is not None}
+    near = {i: {b for p in pairs if i in p for b in p} - {i} for i in range(62)}
+    given = set(want)
+    for v in sorted(set(range(62)) - given, key=rank.get, reverse=True):
+        used = {want[u] for u in near[v] if u in given or rank[u] > rank[v]}
+        want[v] = next(c for c in range(1, 99) if c not in used)
+    assert dict(coloring.color(vertices, edges).collect()) == want

@@ -301,3 +301,19 @@ def test_text_by_a_scan_of_its_own(spark):
     for r in frame.select("i", html.text(F.col("h")).alias("t")).collect():
         want = library.unescape(re.sub("[\t\n\f\r ]+", " ", tokenized(pages[r["i"]]))).strip()
         assert r["t"] == want, pages[r["i"]]
+
+
+def test_ensure_never_writes_over(spark, tmp_path):
+    at = f"parquet:{tmp_path}/links"
+    assert stores.ensure(spark, at, LINKS).count() == 0 and stores.exists(spark, at)
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception):
+        stores.ensure(spark, f"parquet:{tmp_path}/broken", LINKS).count()
+    assert (tmp_path / "broken" / "part-0.parquet").read_bytes() == b"not a table"
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(Exception):
+        stores.ensure(spark, f"parquet:{tmp_path}/empty", LINKS)
+    assert not stores.exists(spark, "memory:no_such_view") and stores.ensure(spark, "memory:no_such_view", LINKS).count() == 0 and stores.exists(spark, "memory:no_such_view")
+    with pytest.raises(ValueError):
+        stores.exists(spark, "es://x")

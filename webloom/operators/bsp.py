@@ -47,7 +47,7 @@ class Program:
     """compute(step, vertices that take part, with `inbox`, aggregates) -> their new rows (id, active, …); a vertex freezes with active = false;
     send(step, new rows, aggregates) -> (dst, message…) or None; fold: named aggregates of the messages by dst, which become the struct `inbox`;
     aggregates: columns over the new rows; those in `start` are accumulators, which begin there
-    and take up every step's value, the others hold the last step's. `computed` is the number of vertices that took part."""
+    and take up every step's value, the others hold the last step's."""
 
     compute: Callable[[int, DataFrame, dict], DataFrame]
     send: Callable[[int, DataFrame, dict], DataFrame | None]
@@ -76,9 +76,12 @@ class Accumulator:
 
 @dataclasses.dataclass
 class Result:
+    """computed: how many vertices took part in the last superstep."""
+
     vertices: DataFrame
     supersteps: int
     aggregates: dict
+    computed: int = 0
 
 
 def build(vertices: DataFrame, edges: DataFrame, order: str | None = None, on_unknown_src: str = "error") -> tuple[DataFrame, DataFrame]:
@@ -130,7 +133,7 @@ def run(vertices: DataFrame, program: Program, config: Config = Config()) -> Res
     if "active" not in vertices.columns:
         vertices = vertices.withColumn("active", F.lit(True))
     first = stage(vertices, "vertices")
-    tables, inbox, step, aggregates = [first], None, 0, dict(program.start)
+    tables, inbox, step, aggregates, took_part = [first], None, 0, dict(program.start), 0
     totals = {name: Accumulator(value) for name, value in program.start.items()}
     size = first.count()
     while config.max_steps is None or step < config.max_steps:
@@ -143,7 +146,8 @@ def run(vertices: DataFrame, program: Program, config: Config = Config()) -> Res
         computed = stage(program.compute(step, taking_part, aggregates), "vertices")
         count = [F.sum(F.col("active").cast("long")).alias("active"), F.count(F.lit(1)).alias("computed")]
         found = computed.agg(*count, *program.aggregates(step)).first().asDict()
-        tables = [computed] if found["computed"] == size else [*tables, computed]
+        took_part = found.pop("computed")
+        tables = [computed] if took_part == size else [*tables, computed]
         if len(tables) > _MOST_TABLES:
             # The last table stays by itself, as only its vertices can be active.
             tables = [stage(_newest(tables[:-1]), "vertices"), computed]
@@ -158,7 +162,7 @@ def run(vertices: DataFrame, program: Program, config: Config = Config()) -> Res
         step += 1
         if not program.keep_running(step - 1, aggregates) or not (waiting or aggregates["active"]):
             break
-    return Result(_newest(tables), step, aggregates)
+    return Result(_newest(tables), step, aggregates, took_part)
 
 
 def broadcast(vertices: DataFrame, edges: DataFrame, sources: DataFrame, value: int) -> DataFrame:

@@ -2,35 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.storage import stage
 
+#: Tables of colours that are read side by side before they are made one.
+_MOST_TABLES = 16
+
 
 def color(vertices: DataFrame, edges: DataFrame, seed: int = 42) -> DataFrame:
     """(id, color) of every vertex of `vertices` (id, optional pre_color) over undirected `edges` (src, dst).
 
     In each superstep a vertex takes its smallest free colour if no uncoloured
     neighbour has a greater (token, id); tokens are hashes of seed and id.
-    Given colours stay as they are.
+    Given colours stay as they are. A superstep reads and writes what has no colour
+    yet, and the pairs between such vertices.
     """
     own = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b")
     pairs = stage(own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
     given = F.col("pre_color") if "pre_color" in vertices.columns else F.lit(None)
-    state = stage(vertices.select("id", F.xxhash64(F.lit(seed), "id").alias("token"), given.cast("int").alias("color")), "colors")
+    none = F.array().cast("array<int>")
+    every = stage(vertices.select("id", F.xxhash64(F.lit(seed), "id").alias("token"), given.cast("int").alias("color")), "vertices")
+    colored = every.where("color is not null").select("id", "color")
+    left = every.where("color is null").select("id", "token", none.alias("used"))
+    done: list[DataFrame] = [colored]
     while True:
-        near = state.select(F.col("id").alias("b"), F.struct("token", "id").alias("rank"), "color")
-        about = pairs.join(near, "b").groupBy(F.col("a").alias("id")).agg(
-            F.max(F.when(F.col("color").isNull(), F.col("rank"))).alias("rival"), F.array_sort(F.collect_set("color")).alias("used")
-        )
+        # What was coloured leaves the frontier: its neighbours note the colour, and its pairs go.
+        told = pairs.join(colored.select(F.col("id").alias("b"), "color"), "b").groupBy(F.col("a").alias("id")).agg(F.collect_set("color").alias("new"))
+        left = stage(left.join(told, "id", "left").select("id", "token", F.array_union("used", F.coalesce("new", none)).alias("used")), "left")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        gone = colored.select("id")
+        pairs = stage(pairs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"), "pairs")
+        near = left.select(F.col("id").alias("b"), F.struct("token", "id").alias("rank"))
+        rivals = pairs.join(near, "b").groupBy(F.col("a").alias("id")).agg(F.max("rank").alias("rival"))
         # The used colours of a vertex are at most its largest neighbour colour, never its neighbours.
-        free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 1), "used"))
-        turn = F.col("color").isNull() & (F.col("rival").isNull() | (F.col("rival") < F.struct("token", "id")))
-        after = state.join(about, "id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-        state = stage(after.select("id", "token", F.when(turn, free).otherwise(F.col("color")).alias("color")), "colors")
-        if state.where(F.col("color").isNull()).isEmpty():
-            return state.select("id", "color")
+        used = F.array_sort("used")
+        free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 1), used))
+        turn = F.col("rival").isNull() | (F.col("rival") < F.struct("token", "id"))
+        marked = stage(left.join(rivals, "id", "left").select("id", "token", "used", F.when(turn, free).alias("color")), "marked")
+        colored = marked.where("color is not null").select("id", "color")
+        left = marked.where("color is null").select("id", "token", "used")
+        done.append(colored)
+        if len(done) > _MOST_TABLES:
+            done = [stage(reduce(DataFrame.unionByName, done), "colors")]
 
 
 def stats(colors: DataFrame, edges: DataFrame) -> DataFrame:

@@ -32,7 +32,10 @@ def shortest_paths(edges: DataFrame, source: str, max_steps: int | None = None)
         step += 1
         tried = frontier.select(F.col("dst").alias("src"), "cost").join(links, "src")
         offers = tried.groupBy(F.col("to").alias("dst")).agg(F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), F.col("src").alias("prev"))).alias("offer"))
-        known = _least(tables).select("dst", F.col("cost").alias("known"))
+        # Few vertices have offers, and only their known costs are looked up.
+        offers = stage(offers, "offers")
+        asked = [t.join(offers.select("dst"), "dst", "left_semi") for t in tables]
+        known = _least(asked).select("dst", F.col("cost").alias("known"))
         better = offers.join(known, "dst", "left").where("known is null or offer.cost < known")
         frontier = stage(better.select("dst", "offer.cost", "offer.prev"), "improved")
         if frontier.isEmpty():
@@ -61,14 +64,16 @@ def with_paths(found: DataFrame) -> DataFrame:
     """
     found = stage(found, "found")
     level = stage(found.where("prev is null").select("dst", "cost", F.array("dst").alias("path")), "paths")
-    every = level
+    every, levels = level, 1
     while True:
         ends = level.select(F.col("dst").alias("prev"), "path")
         following = found.join(ends, "prev").select("dst", "cost", F.concat("path", F.array("dst")).alias("path"))
         level = stage(following, "paths")
         if level.isEmpty():
             return every
-        every = every.unionByName(level)
+        every, levels = every.unionByName(level), levels + 1
+        if levels > _MOST_TABLES:
+            every, levels = stage(every, "ways"), 1
 
 
 def path_to(found: DataFrame, dst: str) -> tuple[list[str], int]:

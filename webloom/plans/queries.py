@@ -730,8 +730,10 @@ def pagerank_back_links(spark, sf_dir):
 
 @register(_pagerank_sql(_BACK, 64))
 def pagerank_back_links_settled(spark, sf_dir):
-    """`pagerank_back_links`, under the name it had while that was cut off."""
-    return pagerank_back_links(spark, sf_dir)
+    """The same graph with all sources of more than eight different targets split as hubs."""
+    vertices, lines = _trade(spark, sf_dir)
+    found = pagerank.pagerank(vertices, _back_links(spark, sf_dir, lines), pagerank.Config(hub_edges=8))
+    return found.scores.select("id", F.round("score", 8).alias("score"))
 
 
 @register(f"""WITH {_LINKS_SQL} SELECT count(*) AS pages, true AS sums_to_one FROM (SELECT url FROM pages UNION SELECT link FROM found)""")

@@ -11,7 +11,6 @@ from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 
 def jdbc_options(uri: str) -> dict[str, str]:
@@ -49,10 +48,26 @@ def write(df: DataFrame, uri: str, mode: str = "overwrite") -> None:
         raise ValueError(f"unsupported store {scheme!r}")
 
 
+def exists(spark: SparkSession, uri: str) -> bool:
+    """Whether there is anything at `uri`: a view, a folder, a relational table."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "memory":
+        return spark.catalog.tableExists(rest)
+    if scheme == "parquet":
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(rest)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    if scheme == "postgresql":
+        options = jdbc_options(uri)
+        schema, _, name = options["dbtable"].rpartition(".")
+        quoted = lambda x: x.replace("'", "''")
+        where = f"table_name = '{quoted(name)}'" + (f" and table_schema = '{quoted(schema)}'" if schema else "")
+        query = {k: v for k, v in options.items() if k != "dbtable"} | {"query": f"select 1 as found from information_schema.tables where {where}"}
+        return not spark.read.format("jdbc").options(**query).load().isEmpty()
+    raise ValueError(f"unsupported store {scheme!r}")
+
+
 def ensure(spark: SparkSession, uri: str, schema: T.StructType) -> DataFrame:
-    """The table at `uri`, made empty if it is not there."""
-    try:
-        return read(spark, uri)
-    except AnalysisException:
-        write(spark.createDataFrame([], schema), uri)
-        return read(spark, uri)
+    """The table at `uri`, made empty if there is nothing at all; what is there is never written over, also if it cannot be read."""
+    if not exists(spark, uri):
+        write(spark.createDataFrame([], schema), uri, "errorifexists")
+    return read(spark, uri)
