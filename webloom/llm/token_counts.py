@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,6 +176,45 @@ class WordCounter(dict):
         total = np.concatenate([[0], np.cumsum(counts)])
         return total[1:] - np.repeat(total[before[:-1]], np.diff(before)), before
 
+    def _of_characters(self, word: str) -> np.ndarray:
+        """Tokens of word[:c] for c = 1 .. len(word), as the library cuts it: an apostrophe with part of its letters is two words."""
+        counts = np.array(self._table(word, every=True))
+        found = counts[np.cumsum([len(c.encode()) for c in word])]
+        if word[0] == "'" and len(word) == 3 and word[1].isalpha():
+            found[1] = self["'"] + self[word[1]]
+        return found
+
+    def every_prefix(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(normalised texts, tokens of each of their prefixes from the empty one on, prefixes before each text and after the last).
+
+        Texts here hold no special strings. A kind of word is tabulated once; its table is laid out wherever it stands.
+        """
+        made = [self.normalise(t) for t in texts]
+        joined, cps, first, last = pieces.join(made)
+        starts, stops = word_bounds(cps, pretokenize.table_of(self.classes))
+        found = pieces.distinct(joined, cps, starts, stops, last)
+        tables = [self._of_characters(k) for k in found.kinds]
+        sizes = np.fromiter(map(len, tables), np.int64, len(tables))
+        flat = np.concatenate(tables) if tables else np.zeros(0, np.int64)
+        values, before = pieces.ragged(flat, np.cumsum(sizes) - sizes, sizes, found.number)
+        whole = values[before[1:] - 1] if len(found.number) else np.zeros(0, np.int64)
+        ahead = np.cumsum(whole) - whole  # tokens of all words before each word
+        # One place more than characters for every text: the separators, and the end, stand for "all of it".
+        out = np.zeros(len(cps) + 1, np.int64)
+        inside = np.arange(len(values)) + np.repeat(starts - before[:-1], np.diff(before))
+        out[inside + 1] = values + np.repeat(ahead, np.diff(before))
+        ends = np.zeros(len(cps) + 1, np.int64)
+        ends[stops] = ahead + whole
+        covered = np.zeros(len(cps) + 1, bool)
+        covered[inside + 1] = True
+        filled = np.where(covered, out, np.maximum.accumulate(ends))  # between words nothing is added
+        of_text = np.repeat(np.arange(len(texts)), last - first + 1)
+        at = np.arange(len(of_text)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[of_text]
+        base = np.concatenate([[0], np.cumsum(whole)])[np.searchsorted(starts, first)]
+        counts = filled[at] - base[of_text]
+        counts[np.cumsum(last - first + 1) - (last - first + 1)] = 0
+        return made, counts, np.concatenate([[0], np.cumsum(last - first + 1)])
+
     def _counts(self, segments: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of every word, number of words of each segment)."""
         joined, cps, _, last = pieces.join(["" if s is None else s for s in segments])
@@ -247,6 +287,42 @@ def prefix_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, n_bytes long, token_ends array<long>")
 
 
+def every_prefix(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, normalised, counts), one row per input row: the tokens of every prefix of the normalised text, by its characters from 0 on.
+
+    A cut anywhere, inside a word or not, is answered from `counts` by `tokens_before` and
+    `characters_within`. Null for texts with a special string, whose parts are no text.
+    """
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = counter(path, classes)
+        for rows, texts in common.chunks(batches, 200_000):
+            special = [model.special_pattern is not None and model.special_pattern.search(t) is not None for t in texts]
+            made, counts, before = model.every_prefix(["" if s else t for s, t in zip(special, texts)])
+            none = pa.array(special)
+            table = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(counts))
+            columns = [pc.if_else(none, pa.scalar(None, x.type), x) for x in (pa.array(made, pa.string()), table)]
+            yield pa.RecordBatch.from_arrays([rows, *columns], names=["doc_id", "normalised", "counts"])
+
+    texts = common.doc_texts(docs)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    classes = pretokenize.classes("tokenizers")
+    return texts.mapInArrow(run, f"doc_id {kind}, normalised string, counts array<long>")
+
+
+def tokens_before(characters: Column | int, counts: Column) -> Column:
+    """Tokens of the text's first characters, by a column of `every_prefix`; of all where there are fewer."""
+    at = F.lit(characters) if isinstance(characters, int) else characters
+    return F.get(counts, F.least(at, F.size(counts) - 1))
+
+
+def characters_within(budget: Column | int, counts: Column) -> Column:
+    """The length of the longest prefix within a budget. A longer prefix may take fewer tokens, so all are looked at."""
+    fits = F.transform(counts, lambda c, i: F.when(c <= budget, i))
+    return F.array_max(fits).cast("long")
+
+
 def tokens_of(words: Column | int, ends: Column) -> Column:
     """Tokens of the first `words` words, by a column of `prefix_table`; of all where there are fewer."""
     at = F.least(F.lit(words) if isinstance(words, int) else words, F.size(ends))
