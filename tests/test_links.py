@@ -317,3 +317,23 @@ def test_ensure_never_writes_over(spark, tmp_path):
     assert not stores.exists(spark, "memory:no_such_view") and stores.ensure(spark, "memory:no_such_view", LINKS).count() == 0 and stores.exists(spark, "memory:no_such_view")
     with pytest.raises(ValueError):
         stores.exists(spark, "es://x")
+
+
+def test_encoded_urls(spark):
+    rows = [
+        ("http://h/ä b?q=ä b", "http://h/%C3%A4%20b?q=ä b"),
+        ("http://h/a%20(b)", "http://h/a%20(b)"),
+        ("http://h/ä(b)*!", "http://h/%C3%A4%28b%29%2A%21"),
+        ("http://h/a+b é", "http://h/a+b%20%C3%A9"),
+        ("http://h/%C3%A4é", "http://h/%C3%A4%C3%A9"),
+        ("http://h", "http://h"),
+        ("http://h/\U0001f600/x;y=1,2", "http://h/%F0%9F%98%80/x;y=1,2"),
+    ]
+    frame = spark.createDataFrame(rows, "u string, want string")
+    assert [tuple(r) for r in frame.select("want", urls.encoded(F.col("u"))).collect() if r[0] != r[1]] == []
+    good = ["http://h/a", "http://h:80/", "http://h:/", "http://[::1]:8/x", "http://h/%41", "http://h/?q=%zz", "http://ü.example/"]
+    bad = ["http://h/a\nb", "http://h/%4", "http://h/%zz", "http://h:x/", "http://a b/", "http://h/\x7f", "http://h/?\x01"]
+    frame = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "u string, want boolean")
+    assert frame.where(urls.parsable(F.col("u")) != F.col("want")).collect() == []
+    page = spark.createDataFrame([("http://h/", '<a href="/ä"><a href="/%zz"><a href="/ok">')], "url string, html string")
+    assert {r["link"] for r in crawl.extract_links(page, encode=True).collect()} == {"http://h/%C3%A4", "http://h/ok"}

@@ -93,6 +93,27 @@ def resolve(target: Column, base: Column) -> Column:
     )
 
 
+#: What a path may hold as it is (fixed values): all of these while nothing else is in it, those of the second set when it is written anew.
+_PATH_AS_GIVEN, _PATH_PLAIN = r"^[A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]%/]*\z", r"^[A-Za-z0-9\-_.~$&+,/:;=@]\z"
+
+
+def parsable(url: Column) -> Column:
+    """Whether an absolute URL can be parsed: no control characters, percent signs before two digits only, no space in the host, a port of digits."""
+    own = F.regexp_extract(url, r"(?s)^([^?#]*)", 1)
+    return ~url.rlike(r"[\x00-\x1F\x7F]") & ~own.rlike("%(?![0-9A-Fa-f]{2})") & ~host_port(url).rlike(r"[ <>\"\\^`{|}]|:(?!\d*\z)(?![^\[]*\])")
+
+
+def encoded(url: Column) -> Column:
+    """An absolute URL with a path that holds other characters than a path may percent-encoded; query and fragment stay as they are."""
+    origin = F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1)
+    bare = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    one = lambda c: F.when(c.rlike(_PATH_PLAIN), c).otherwise(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")))
+    written = F.array_join(F.transform(F.split(bare, ""), one), "")
+    return F.when((origin == "") | path.rlike(_PATH_AS_GIVEN), url).otherwise(F.concat(origin, written, rest))
+
+
 def _ipv4_value(ip: Column) -> Column:
     parts = F.split(ip, r"\.")
     value = F.lit(0).cast("long")

@@ -31,13 +31,14 @@ def drop_private(rows: DataFrame, host: Column, addresses: DataFrame | None) ->
     return rows.join(hidden, host == F.col("__host"), "left_anti")
 
 
-def extract_links(pages: DataFrame, private: DataFrame | None = None) -> DataFrame:
+def extract_links(pages: DataFrame, private: DataFrame | None = None, encode: bool = False) -> DataFrame:
     """(url, link, nofollow, place): each page's distinct targets in order of appearance.
 
     Targets are resolved against the page's base, lose their fragment, and stay
     if they are http or https, no excluded file, and on the page's own host or a
     host that is not private. A host that is given with a port of another site
-    cannot be resolved and is dropped.
+    cannot be resolved and is dropped. With `encode`, paths are percent-encoded where
+    they need it, and targets that are no URLs are dropped.
     """
     read = pages.select("url", html.base_href(F.col("html")).alias("href"), html.link_tags(F.col("html")).alias("tags"))
     base = read.select("url", html.base_url(F.col("href"), F.col("url")).alias("base"), "tags")
@@ -47,6 +48,8 @@ def extract_links(pages: DataFrame, private: DataFrame | None = None) -> DataFra
     )
     # Resolved before they are laid out, so that no filter works a link out again.
     found = base.select("url", "base", F.posexplode(resolved).alias("place", "t")).select("url", "base", "place", F.col("t.link").alias("link"), F.col("t.nofollow").alias("nofollow"))
+    if encode:
+        found = found.where(urls.parsable(F.col("link"))).withColumn("link", urls.encoded(F.col("link")))
     found = found.where(F.col("link").isNotNull() & urls.scheme(F.col("link")).isin("http", "https") & ~urls.excluded(F.col("link")))
     own = urls.host(F.col("link")) == urls.host(F.col("base"))
     other_port = F.col("link").rlike(r"^[A-Za-z]+://[^/?#]*:\d+(?:[/?#]|$)")

@@ -307,6 +307,17 @@ def extract_links_of_based_pages(spark, sf_dir):
     return crawl.extract_links(table(spark, sf_dir, "pages").select("url", based.alias("html"))).select("url", "link", "place", "nofollow")
 
 
+_ENCODED_SQL = """CASE WHEN regexp_full_match(path, '[A-Za-z0-9\\-_.~!$&''()*+,;=:@\\[\\]%/]*') THEN link
+  ELSE origin || array_to_string(list_transform(string_split(url_decode(path), ''), lambda c: CASE WHEN regexp_full_match(c, '[A-Za-z0-9\\-_.~$&+,/:;=@]') THEN c ELSE url_encode(c) END), '') || substr(link, length(origin) + length(path) + 1) END"""
+
+
+@register(f"""WITH {_LINKS_SQL}, parts AS (SELECT url, link, place, regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin, regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM found)
+  SELECT url, {_ENCODED_SQL} AS link, min(place)::INT AS place FROM parts GROUP BY ALL""")
+def encoded_links(spark, sf_dir):
+    """The links of all pages as they are asked for: percent-encoded."""
+    return crawl.extract_links(table(spark, sf_dir, "pages"), encode=True).select("url", "link", "place")
+
+
 @register(f"WITH {_LINKS_SQL} SELECT url, place::INT AS place, link FROM resolved")
 def resolve_urls(spark, sf_dir):
     tags = table(spark, sf_dir, "pages").select("url", F.posexplode(html.link_tags(F.col("html"))).alias("place", "t")).where(F.col("t.href") != "")
