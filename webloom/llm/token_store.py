@@ -36,6 +36,9 @@ from webloom.llm.bpe import CACHE_ENTRIES, Cache, binaries
 #: Ids in a block, unless one document alone has more.
 BLOCK_IDS = 1 << 18
 
+#: Pieces that the library encodes at a time, as its records take far more than their ids.
+_PIECES_AT_ONCE = 4_096
+
 
 @functools.cache
 def tokenizer(path: str):
@@ -56,7 +59,12 @@ class Encoder:
         split = spec["pre_tokenizer"] or {}
         #: Whether pieces are those of `pretokenize` and nothing changes them before.
         self.by_piece = spec["normalizer"] is None and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
-        self.cache = Cache(CACHE_ENTRIES, lambda kinds: (e.ids for e in self.model.encode_batch_fast(kinds, add_special_tokens=False)))
+        self.cache = Cache(CACHE_ENTRIES, self._of_kinds)
+
+    def _of_kinds(self, kinds: list[str]) -> Iterator[list[int]]:
+        """Ids of each piece; the library's records of a part are gone before the next."""
+        for at in range(0, len(kinds), _PIECES_AT_ONCE):
+            yield from (e.ids for e in self.model.encode_batch_fast(kinds[at : at + _PIECES_AT_ONCE], add_special_tokens=False))
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
