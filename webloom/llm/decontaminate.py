@@ -13,7 +13,10 @@ worker builds them once. A benchmark of more than `pass_bytes`, too large for a
 worker's memory, is scanned for in several passes, and their hits are united.
 
 Null texts have no words, and neither have null items; items of null item_id
-make their texts hit but are not counted or named. Repeated items are one.
+make their texts hit but are not counted or named. Repeated items are one. Empty texts
+have no words, either. Repeated rows each get their row. `report` leaves other columns
+out, `keep` hands them on, whatever their names. An empty table of texts gives an empty
+one; an empty benchmark marks nothing.
 """
 
 from __future__ import annotations

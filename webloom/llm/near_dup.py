@@ -29,7 +29,8 @@ is below a fixed size.
 Texts of null or without words have an empty set and stand alone. doc_id must
 be an integer; rows with one doc_id count as one document, so differing texts
 under it are linked. Rows of null doc_id take part through their equal texts
-only, and have a null component otherwise. Other columns are ignored.
+only, and have a null component otherwise. Repeated rows each get the row of their
+doc_id. An empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Kinds, as listed in results:
   jwt      a signed web token whose header decodes to JSON
   pem      a private key block up to its END line; without one, to the end of its base64 lines
 Spans are whole matches in code points, end exclusive, leftmost and not
-overlapping within a kind. Null and empty texts have none. Other columns are
+overlapping within a kind. Null and empty texts have none. Repeated rows each get their
+own row, and an empty table gives an empty one. Other columns are
 ignored by `find`; `redact` keeps them.
 """
 

@@ -7,7 +7,9 @@ rows of a Parquet table (its files are the shards), in ascending doc_id order;
 the rank table, bounded by the vocabulary, lies beside them.
 
 Null and empty texts hold the end id only. Null doc_ids come first. Rows with
-equal doc_id are ordered by a hash of their ids. Special strings in a text
+equal doc_id are ordered by a hash of their ids; repeated rows are rows like any
+others. Other columns, of any name, are left out. An empty table gives files without
+blocks, and no rows. Special strings in a text
 become their single id, as the library does by default.
 
 The tokenizers library encodes: each kind of piece once, after which its ids are
