@@ -120,3 +120,22 @@ def test_query(spark):
     found = queries.op11_repeat_spans(spark, SF)
     assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_long_text_in_bounded_memory():
+    """A text of 20 MB, half of it a copy of the other half, is a chunk of its own."""
+    import resource
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    half = rng.integers(97, 123, 10_000_000, dtype=np.uint8).tobytes()
+    raw = half + half
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    chunk = repeat_spans.Chunk(pa.Codec("zstd").compress(raw, asbytes=True), np.array([len(raw)]), np.array([7]))
+    windows = np.sort(chunk.start)
+    assert chunk.windows.sum() == len(raw) - 49 and windows[0] == 0 and (np.diff(windows) > 0).all()
+    n = len(np.unique(chunk.anchor))
+    sent = repeat_spans._Sent(chunk, [{"bucket": 0, "n": n, "mask": np.packbits(np.zeros(2 * n, np.uint8)).tobytes()}], 20)
+    assert len(sent.fragment) == 0 and not repeat_spans._removed(chunk, sent, np.zeros(0, np.uint32)).any()
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 1_000

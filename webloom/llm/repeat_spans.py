@@ -374,7 +374,7 @@ def _removed(chunk: Chunk, sent: _Sent, marks: np.ndarray) -> np.ndarray:
     for k in range(_WINDOWS):
         cover(start[some[(own[some] >> np.uint32(k)) & np.uint32(1) > 0]] + k, LENGTH)
     cover(sent.place[bits[m:] != 0], LENGTH)
-    return np.cumsum(steps[:-1]) > 0
+    return np.cumsum(steps[:-1], dtype=np.int32, out=steps[:-1]) > 0
 
 
 def _cut(known: DataFrame, buckets: int) -> DataFrame:
@@ -395,7 +395,9 @@ def _cut(known: DataFrame, buckets: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(chunk.ids)))]).astype(np.int32)
             spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(edge - begin), pa.array(stop - begin)], fields=list(span)))
             kept = chunk.data[: chunk.n][~gone].tobytes()
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate([[0], np.cumsum(~gone)])[chunk.ends] - np.concatenate([[0], np.cumsum(~gone)])[chunk.ends - chunk.sizes])]).astype(np.int32)
+            stay = np.zeros(chunk.n + 1, np.int32)
+            np.cumsum(~gone, dtype=np.int32, out=stay[1:])
+            bounds = np.concatenate([[0], stay[chunk.ends]]).astype(np.int32)  # documents lie one after the other
             texts = pa.Array.from_buffers(pa.binary(), len(chunk.ids), [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
             ids = pa.array(chunk.ids, mask=chunk.ids == _NO_ID)
             yield pa.RecordBatch.from_arrays([ids, pa.array(chunk.sizes), spans, texts], names=["doc_id", "n_bytes", "spans", "kept"])
