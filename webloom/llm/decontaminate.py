@@ -6,11 +6,11 @@ benchmark words. A text is normalised once into the same alphabet, scanned
 once, and hits are mapped back to word positions and to offsets in the original
 text. All windows that end at a word are reported, so overlaps are complete.
 
-The automaton holds the benchmark, not the corpus. Its alphabet has room for the
-words of `max_bytes` of benchmark; larger benchmarks make several automata, and
-all of them read a text in the same scan, in which their hits are united. A
-worker builds them once. A benchmark of more than `pass_bytes`, too large for a
-worker's memory, is scanned for in several passes, and their hits are united.
+The automaton holds the benchmark, not the corpus. A node's letters are searched one by
+one, so a word is spelled in two characters, its group and its own, and no node has more
+than about the square root of the number of words. One automaton has room for the words of
+`max_bytes` of benchmark; a worker builds it once. A benchmark of more than `pass_bytes`,
+too large for a worker's memory, is scanned for in several passes, and their hits are united.
 
 Null texts have no words, and neither have null items; items of null item_id
 make their texts hit but are not counted or named. Repeated items are one. Empty texts
@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Callable, Iterator
+import itertools
+import math
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import ahocorasick
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from webloom.llm import common
 
 #: Bytes of benchmark text in one automaton, in which there are fewer words than code points, and in the automata of one pass.
-MAX_BYTES, PASS_BYTES = 2 << 20, 6 << 20
+MAX_BYTES, PASS_BYTES = 4 << 20, 4 << 20
 
 #: ASCII digits, lower-case letters and all bytes of other characters stay; the rest separates words.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -45,46 +47,60 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_NORMAL).split()
 
 
+#: Stands for a word that no item has.
+_UNKNOWN = "\0\0"
+
+
 class Windows:
-    """The automaton over items; a word is one character of its alphabet."""
+    """The automaton over items; a word is two characters, so that windows begin at even places only."""
 
     def __init__(self, items: list[tuple], window: int):
-        letters: dict[bytes, str] = {}
-        owners: dict[str, set] = {}
-        for item_id, text in items:
-            spelled = "".join(self._letter(letters, w) for w in words(text or ""))
-            for i in range(max(1, len(spelled) - window + 1) if spelled else 0):
-                owners.setdefault(spelled[i : i + window], set()).add(item_id)
+        each = [(item_id, words(text or "")) for item_id, text in items]
+        letters = _spelling(dict.fromkeys(itertools.chain.from_iterable(found for _, found in each)))
+        owners: dict[str, frozenset] = {}
+        for item_id, found in each:
+            own = frozenset([item_id])
+            spelled = "".join(map(letters.__getitem__, found))
+            for i in range(max(1, len(found) - window + 1) if found else 0):
+                pattern = spelled[2 * i : 2 * (i + window)]
+                before = owners.setdefault(pattern, own)
+                if not own <= before:
+                    owners[pattern] = before | own
         self.letter = letters.get
         self.automaton = ahocorasick.Automaton() if owners else None
         for pattern, ids in owners.items():
-            self.automaton.add_word(pattern, (len(pattern), ids))
+            self.automaton.add_word(pattern, (len(pattern) // 2, ids))
         if owners:
             self.automaton.make_automaton()
 
-    @staticmethod
-    def _letter(letters: dict[bytes, str], word: bytes) -> str:
-        if word not in letters:
-            code = len(letters) + 1
-            letters[word] = chr(code if code < _SKIPPED.start else code + len(_SKIPPED))
-        return letters[word]
-
     def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """(merged hit ranges in words, end exclusive; ids of items with a hit)."""
         if self.automaton is None:
             return [], set()
-        spelled = "".join(map(self.letter, found, repeat("\0")))
+        spelled = "".join(map(self.letter, found, repeat(_UNKNOWN)))
         ranges: list[tuple[int, int]] = []
         items: set = set()
-        for end, (length, ids) in self.automaton.iter(spelled):
-            begin = end + 1 - length
+        for last, (length, ids) in self.automaton.iter(spelled):
+            end = (last + 1) // 2
+            begin = end - length
             items |= ids
             while ranges and begin <= ranges[-1][1]:
                 begin = min(begin, ranges.pop()[0])
-            ranges.append((begin, end + 1))
+            ranges.append((begin, end))
         return ranges, items
 
 
+def _spelling(known: Iterable[bytes]) -> dict[bytes, str]:
+    """Two characters for each word: one of about as many groups as a group has words, and one of its own that names no group."""
+    known = list(known)
+    groups = math.isqrt(len(known)) + 1
+
+    def letter(code: int) -> str:
+        return chr(code if code < _SKIPPED.start else code + len(_SKIPPED))
+
+    return {word: letter(1 + n % groups) + letter(1 + groups + n) for n, word in enumerate(known)}
+
+
 def word_offsets(text: str) -> list[tuple[int, int]]:
     """Code-point range of each word in the original text."""
     spans, begin = [], None
