@@ -64,11 +64,51 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def by_bucket(split: DataFrame) -> DataFrame:
+    """`split`, whose title and content are arrays of terms, as a row for each bucket of a document's terms: `bucket`, and in `places` what `laid_out` reads.
+
+    The terms of a document are sorted and grouped within its row, so nothing is
+    shuffled. In `places` each term begins a line, its places in the title follow after
+    spaces and those in the content after commas; terms hold neither.
+    """
+    rest = [c for c in split.columns if c not in ("title", "content")]
+    at = lambda field, k: F.transform(field, lambda t, i: F.struct(bucket(t).alias("bucket"), t.alias("term"), F.lit(k).alias("field"), i.alias("position")))
+    laid = split.select(*rest, F.sort_array(F.concat(at("title", 0), at("content", 1))).alias("s"))
+    same = lambda i, name: (i > 0) & (F.get("s", i)[name] == F.get("s", i - 1)[name])
+    every = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+    begun = laid.select(*rest, "s", F.filter(every(F.lit(0), F.size("s")), lambda i: ~same(i, "bucket")).alias("starts"))
+    place = lambda i: F.concat(F.when(same(i, "term"), "").otherwise(F.concat(F.lit("\n"), F.get("s", i)["term"])), F.when(F.get("s", i)["field"] == 0, " ").otherwise(","), F.get("s", i)["position"].cast("string"))
+    lines = lambda i, k: F.substr(F.array_join(F.transform(every(i, F.coalesce(F.get("starts", k + 1), F.size("s"))), place), ""), F.lit(2))
+    groups = F.transform("starts", lambda i, k: F.struct(F.get("s", i)["bucket"].alias("bucket"), lines(i, k).alias("places")))
+    # Outer explodes here and below: of a plain one the optimizer makes the array twice, to ask whether it is empty.
+    return begun.select(*rest, F.explode_outer(groups).alias("g")).where("g is not null").select(*rest, "g.bucket", "g.places")
+
+
+def laid_out(rows: DataFrame) -> DataFrame:
+    """Rows of `by_bucket` as postings: term, field, positions, n, and in the first row of a term and document its number in all fields, `of_document`."""
+    rest = [c for c in rows.columns if c != "places"]
+    lines = rows.select(*rest, F.explode_outer(F.split("places", "\n")).alias("line")).withColumn("head", F.split(F.substring_index("line", ",", 1), " "))
+    content = F.when(F.contains("line", F.lit(",")), F.split(F.substr("line", F.locate(",", "line") + 1), ",")).otherwise(F.array().cast("array<string>"))
+    read = lines.select(*rest, F.get("head", F.lit(0)).alias("term"), F.slice("head", F.lit(2), F.size("head") - 1).cast("array<int>").alias("title"), content.cast("array<int>").alias("content"))
+    n = (F.size("title") + F.size("content")).cast("long")
+    field = lambda name, first: F.struct(F.lit(name).alias("field"), F.col(name).alias("positions"), F.when(first, n).alias("of_document"))
+    both = F.array(field("title", F.lit(True)), field("content", F.size("title") == 0))
+    each = read.select(*rest, "term", F.explode_outer(F.filter(both, lambda f: F.size(f["positions"]) > 0)).alias("f"))
+    return each.select(*rest, "term", "f.field", "f.positions", F.size("f.positions").cast("long").alias("n"), "f.of_document")
+
+
 def write_postings(found: DataFrame, path: str, *then: str) -> None:
-    """Store postings in a folder for each bucket of terms, sorted, so that a search reads the folders and row groups of its terms only; `then` sorts within a term."""
-    spread = found.withColumn("bucket", bucket(F.col("term")))
-    ordered = spread.repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(16))).sortWithinPartitions("bucket", "term", *then, "link_id")
-    ordered.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Store postings in a folder for each bucket of terms, sorted, so that a search reads the folders and row groups of its terms only; `then` sorts within a term.
+
+    `found` are postings or rows of `by_bucket`. A bucket is dealt by document, so that
+    a term that all documents have is not for one task.
+    """
+    if "places" in found.columns:
+        dealt = laid_out(found.repartition("bucket", F.pmod(F.xxhash64("link_id"), F.lit(16))))
+    else:
+        dealt = found.repartition(bucket(F.col("term")), F.pmod(F.xxhash64("link_id"), F.lit(16))).withColumn("bucket", bucket(F.col("term")))
+    ordered = dealt.sortWithinPartitions("bucket", "term", *then, "link_id")
+    ordered.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:

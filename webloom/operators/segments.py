@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import index
 from webloom.operators.search import Page, ordered_tokens, phrase_hits
+from webloom.storage import stage
 
 #: Parameters of the relevance score (the usual ones of BM25).
 K1, B = 1.2, 0.75
@@ -30,6 +31,22 @@ K1, B = 1.2, 0.75
 _DOCS = "link_id string, total long, block int, pagerank double, terms array<string>, alive boolean"
 _STATS = "term string, block int, n_docs long, most long, shortest long, bucket int"
 _POSTINGS = "term string, link_id string, field string, positions array<int>, n long, total long, block int, bucket int"
+#: Postings as they are written: ids packed, and in the first row of a term and document how often it has the term in all its fields.
+_STORED = "term string, link_id binary, field string, positions array<int>, n long, total long, block int, of_document long, bucket int"
+
+_UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def _packed(link_id: Column) -> Column:
+    """An id in bytes: a UUID in 16 behind a 1, any other as it is behind a 0."""
+    whole = F.concat(F.unhex(F.lit("01")), F.unhex(F.replace(link_id, F.lit("-"), F.lit(""))))
+    return F.when(link_id.rlike(_UUID), whole).otherwise(F.concat(F.unhex(F.lit("00")), link_id.cast("binary")))
+
+
+def _unpacked(packed: Column) -> Column:
+    digits = F.lower(F.hex(packed))
+    uuid_ = F.concat_ws("-", *(F.substring(digits, a, n) for a, n in ((3, 8), (11, 4), (15, 4), (19, 4), (23, 12))))
+    return F.when(F.startswith(packed, F.unhex(F.lit("01"))), uuid_).otherwise(F.substring(packed, 2, 2**31 - 1).cast("string"))
 
 
 class TextIndex:
@@ -67,9 +84,13 @@ class TextIndex:
 
     def upsert(self, documents: DataFrame) -> None:
         """Add documents (link_id, title, content, pagerank), or put them in the place of those of their ids; of repeated ids the greatest row counts."""
-        row = F.struct(F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"), "title", "content")
-        one = documents.where("link_id is not null").groupBy("link_id").agg(F.max(row).alias("d")).select("link_id", "d.*")
-        self._change(one, None)
+        named = documents.where("link_id is not null").select("link_id", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"), "title", "content")
+        again = stage(named.groupBy("link_id").count().where("count > 1").select("link_id"), "repeated")
+        if not again.isEmpty():
+            # Only documents of repeated ids meet; the texts of the others are not shuffled.
+            greatest = named.join(again, "link_id", "left_semi").groupBy("link_id").agg(F.max(F.struct("pagerank", "title", "content")).alias("d"))
+            named = named.join(again, "link_id", "left_anti").unionByName(greatest.select("link_id", "d.*"))
+        self._change(named, None)
 
     def delete(self, ids: DataFrame) -> None:
         """Remove documents (link_id)."""
@@ -95,23 +116,19 @@ class TextIndex:
             empty = F.array().cast("array<string>")
             docs = docs.unionByName(deleted.select("link_id", F.lit(0).cast("long").alias("total"), F.lit(-1).alias("block"), F.lit(None).cast("double").alias("pagerank"), empty.alias("terms"), F.lit(False).alias("alive")))
         seen = Observation()
-        docs.observe(seen, F.count(F.when(F.col("alive"), 1)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/{name}/docs")
+        docs.observe(seen, F.count(F.when(F.col("alive"), 1)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(f"{self.path}/{name}/docs")
         counted = dict(seen.get)
-        fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in ("title", "content")])).alias("f")
-        places = split.select("link_id", "block", (F.size("title") + F.size("content")).cast("long").alias("total"), fields).select("link_id", "block", "total", "f.field", F.posexplode("f.terms").alias("position", "term"))
-        grouped = places.groupBy("term", "link_id", "field").agg(
-            F.array_sort(F.collect_list("position")).alias("positions"), F.count(F.lit(1)).alias("n"), F.max("total").alias("total"), F.max("block").alias("block")
-        )
-        index.write_postings(grouped, f"{self.path}/{name}/postings", "block")
-        of_term = self._read(name, "postings", _POSTINGS).groupBy("bucket", "term", "block", "link_id").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
-        stats = of_term.groupBy("bucket", "term", "block").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n").alias("most"), F.min("total").alias("shortest"))
+        sized = split.select(_packed(F.col("link_id")).alias("link_id"), "block", (F.size("title") + F.size("content")).cast("long").alias("total"), "title", "content")
+        index.write_postings(index.by_bucket(sized), f"{self.path}/{name}/postings", "block")
+        of_term = self._read(name, "postings", _STORED).where("of_document is not null")
+        stats = of_term.groupBy("bucket", "term", "block").agg(F.count(F.lit(1)).alias("n_docs"), F.max("of_document").alias("most"), F.min("total").alias("shortest"))
         lost = self._alive(older).join(self._read(name, "docs", _DOCS).select("link_id"), "link_id", "left_semi") if older else None
         if lost is not None:
             gone = lost.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
             counted["n"], counted["total"] = counted["n"] - gone["n"], counted["total"] - gone["total"]
             off = lost.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("n_docs"))
             stats = stats.unionByName(off.select(index.bucket(F.col("term")).alias("bucket"), "term", F.lit(-1).alias("block"), "n_docs", F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("shortest")))
-        stats.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{name}/stats")
+        stats.repartition("bucket").sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}/stats")
         top = self._read(name, "docs", _DOCS).where("alive").groupBy("block").agg(F.max("pagerank").alias("rank")).collect()  # one row for each block
         return {"name": name, "n": counted["n"], "total": counted["total"], "rows": counted["rows"], "ranks": {str(r["block"]): r["rank"] for r in top}}
 
@@ -138,12 +155,12 @@ class TextIndex:
         if not first:
             marks = reduce(DataFrame.unionByName, (self._read(s["name"], "docs", _DOCS).where("not alive") for s in segments)).dropDuplicates(["link_id"])
             docs = docs.unionByName(marks.join(last.select("link_id"), "link_id", "left_anti"))
-        docs.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/{name}/docs")
-        index.write_postings(self._live(segments, None).select(*(c for c in _columns(_POSTINGS) if c != "bucket")), f"{self.path}/{name}/postings", "block")
+        docs.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(f"{self.path}/{name}/docs")
+        index.write_postings(self._live(segments, None).select(*(c for c in _columns(_STORED) if c != "bucket")), f"{self.path}/{name}/postings", "block")
         every = reduce(DataFrame.unionByName, (self._read(s["name"], "stats", _STATS) for s in segments))
         # Numbers of documents add up, those taken off included; bounds hold for what is left.
         stats = every.groupBy("bucket", "term", "block").agg(F.sum("n_docs").alias("n_docs"), F.max("most").alias("most"), F.min("shortest").alias("shortest"))
-        stats.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{name}/stats")
+        stats.repartition("bucket").sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}/stats")
         ranks: dict[str, float] = {}
         for s in segments:
             for b, rank in s["ranks"].items():
@@ -160,22 +177,22 @@ class TextIndex:
         return rows.where(F.col("bucket").isin(*(r[0] for r in found)) & F.col("term").isin(*terms))
 
     def _live(self, segments: list[dict], terms: list[str] | None, blocks: dict[int, list[int]] | None = None) -> DataFrame:
-        """Postings of terms, of some blocks by the number of the segment, without those of documents that came again or were deleted."""
+        """Postings of terms as they are written, of some blocks by the number of the segment, without those of documents that came again or were deleted."""
         parts = []
         for i, s in enumerate(segments):
             if blocks is not None and not blocks.get(i):
                 continue
-            own = self._of_terms(s, "postings", _POSTINGS, terms)
+            own = self._of_terms(s, "postings", _STORED, terms)
             if blocks is not None:
                 own = own.where(F.col("block").isin(*blocks[i]))
             if later := segments[i + 1 :]:
-                own = own.join(reduce(DataFrame.unionByName, (self._read(x["name"], "docs", _DOCS).select("link_id") for x in later)), "link_id", "left_anti")
-            parts.append(own.select(*_columns(_POSTINGS)))
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], _POSTINGS)
+                own = own.join(reduce(DataFrame.unionByName, (self._read(x["name"], "docs", _DOCS).select(_packed(F.col("link_id")).alias("link_id")) for x in later)), "link_id", "left_anti")
+            parts.append(own.select(*_columns(_STORED)))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], _STORED)
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """(term, link_id, field, positions, n, total, block, bucket) of some terms, or of all."""
-        return self._live(self._notes()["segments"], terms)
+        return _postings(self._live(self._notes()["segments"], terms))
 
     def set_ranks(self, ranks: DataFrame) -> None:
         """New ranks (link_id, pagerank); documents that are not named keep theirs. Neither postings nor texts are written again."""
@@ -262,7 +279,7 @@ class TextIndex:
         segments, blocks = notes["segments"], {}
         for i, b in keys:
             blocks.setdefault(i, []).append(b)
-        own = self._live(segments, terms, blocks)
+        own = _postings(self._live(segments, terms, blocks))
         each = own.groupBy("link_id", "term").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
         by_term = F.lit(0.0)
         for t in terms:
@@ -276,6 +293,10 @@ class TextIndex:
         return hits.join(self._ranked(notes).select("link_id", "pagerank"), "link_id").select("link_id", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"), "score")
 
 
+def _postings(stored: DataFrame) -> DataFrame:
+    return stored.withColumn("link_id", _unpacked(F.col("link_id"))).select(*_columns(_POSTINGS))
+
+
 def _columns(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
