@@ -803,7 +803,7 @@ def shortest_paths_from_one(spark, sf_dir):
   SELECT (SELECT count(*) FROM ({_IDS})) AS vertices, 0 AS conflicts, true AS few_colors, (SELECT max(n) FROM d) AS most_neighbours""")
 def coloring_stats(spark, sf_dir):
     vertices, lines = _trade(spark, sf_dir)
-    found = coloring.stats(coloring.color(vertices, lines), lines)
+    found = coloring.stats(coloring.color(vertices, lines, hubs_first=True), lines)
     return found.select("vertices", "conflicts", (F.col("colors") <= F.col("most_neighbours") + 1).alias("few_colors"), "most_neighbours")
 
 
