@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from html import entities
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -324,23 +325,39 @@ def resolve_urls(spark, sf_dir):
     return tags.select("url", "place", urls.without_fragment(urls.resolve(F.col("t.href"), F.col("url"))).alias("link"))
 
 
-#: The references that occur in the given pages, and more; the SQL's own list.
-_SQL_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&eacute;": "é", "&euro;": "€", "&amp;": "&"}
+#: What a number from 128 to 159 stands for: code page 1252, where it has a character.
+_OLD_SQL = ", ".join("'" + (bytes([k]).decode("cp1252", "ignore") or chr(k)) + "'" for k in range(128, 160))
+_REFERENCE_SQL = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+
+
+def _names_sql(names) -> str:
+    """A map from names to their characters in the public table."""
+    word = lambda x: "'" + x.replace("'", "''") + "'"
+    return "MAP {" + ", ".join(f"{word(n)}: {word(entities.html5[n])}" for n in names) + "}"
+
+
+_WHOLE_SQL = _names_sql(n for n in entities.html5 if n.endswith(";"))
+#: Names that may stand without a semicolon, the longest first.
+_BARE_NAMES = sorted((n for n in entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
 
 def _unescape_sql(x: str) -> str:
-    for entity, character in _SQL_ENTITIES.items():
-        x = f"replace({x}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
-    return x
+    """All references, with a semicolon or without one where HTML allows that, replaced once: the rule of `html.unescape`."""
+    code = "CASE WHEN r[2:3] IN ('#x', '#X') THEN try_cast('0x' || regexp_replace(r[4:], ';', '') AS BIGINT) ELSE try_cast(regexp_replace(r[3:], ';', '') AS BIGINT) END"
+    number = f"""list_transform([{code}], lambda n: CASE WHEN n IS NULL OR n = 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) WHEN n BETWEEN 128 AND 159 THEN [{_OLD_SQL}][n - 127] ELSE chr(n::INT) END)[1]"""
+    bare = f"list_transform([regexp_extract(r, '^&({'|'.join(_BARE_NAMES)})', 1)], lambda b: CASE WHEN b <> '' THEN {_names_sql(_BARE_NAMES)}[b] || r[length(b) + 2:] END)[1]"
+    decoded = f"CASE WHEN r IS NULL THEN '' WHEN r[2] = '#' THEN {number} ELSE coalesce({_WHOLE_SQL}[r[2:]], {bare}, r) END"
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({x}, '{_REFERENCE_SQL}'), list_transform(regexp_extract_all({x}, '{_REFERENCE_SQL}'), lambda r: {decoded})), lambda p: p[1] || coalesce(p[2], '')), '')"
 
 
 _COLLAPSE = "regexp_replace({}, '[\\t\\n\\f\\r ]+', ' ', 'g')"
-_TITLE_SQL = f"trim({_unescape_sql(_COLLAPSE.format('''regexp_replace(regexp_extract(html, '(?i)<title.*?>(.*?)</title>', 1), '(?s)<[^>]*>', '', 'g')'''))})"
+_SPACES_SQL = "'" + html.SPACES + "'"
+_TITLE_SQL = f"trim({_unescape_sql(_COLLAPSE.format('''regexp_replace(regexp_extract(html, '(?i)<title.*?>(.*?)</title>', 1), '(?s)<[^>]*>', '', 'g')'''))}, {_SPACES_SQL})"
 _BARE_SQL = "html"
 for _tag in ("title", "script", "style"):
     _BARE_SQL = f"regexp_replace({_BARE_SQL}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
 _BARE_SQL = f"regexp_replace(regexp_replace({_BARE_SQL}, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')"
-_TEXT_SQL = f"trim({_unescape_sql(_COLLAPSE.format(_BARE_SQL))})"
+_TEXT_SQL = f"trim({_unescape_sql(_COLLAPSE.format(_BARE_SQL))}, {_SPACES_SQL})"
 
 
 @register(f"SELECT url, {_TITLE_SQL} AS title FROM pages")
