@@ -29,6 +29,9 @@ from webloom.llm import common, pieces, pretokenize
 #: Entries of a worker's piece cache, and the longest piece that it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
 
+#: Characters of a chunk; smaller than elsewhere, as ids and decoded bytes are held beside the texts.
+CHUNK_CHARS = 200_000
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -141,7 +144,7 @@ def encode(docs: DataFrame, path: str, offsets: bool = False, decoded: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path, classes)
-        for rows, texts in common.chunks(batches):
+        for rows, texts in common.chunks(batches, CHUNK_CHARS):
             values, ends = model.encode_long(texts[0]) if len(texts) == 1 else model.encode(texts)
             columns = [rows, pa.array(np.diff(ends)), binaries(values, ends)]
             if offsets or decoded:
