@@ -454,7 +454,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     groups = common.stage(components(edges), "groups")
     confirmed = confirm(docs, edges, groups, width, percent)
     # A doc_id under several sets is one vertex; its row in `sets` repeats, which links them.
-    joined = components(confirmed)
+    # Staged, as two Python functions in one stage take two workers for each task, which stay.
+    joined = components(common.stage(confirmed, "confirmed"))
     named = sets.select("set_key", "rid").join(joined.withColumnRenamed("v", "rid"), "rid", "left")
     named = named.select("set_key", F.coalesce("root", "rid").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
