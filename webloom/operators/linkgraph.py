@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.schema import uuid_of
+from webloom.storage import spread
 
 
 class NotFound(LookupError):
@@ -71,17 +72,21 @@ def unknown_ends(edges: DataFrame, links: DataFrame) -> DataFrame:
 def upsert_edges(edges: DataFrame, new: DataFrame, links: DataFrame, now: datetime | Column) -> DataFrame:
     """One row per (src, dst): the existing id stays, and edges seen again are updated now.
 
-    UnknownEdgeLinks if a new edge has an end that is not a link.
+    UnknownEdgeLinks if a new edge has an end that is not a link. Edges are counted first,
+    as rows of strings are sorted to be merged, in parts of a bounded size.
     """
     if not unknown_ends(new, links).isEmpty():
         raise UnknownEdgeLinks("an edge ends at an unknown link")
-    return merge_edges(edges, new, now)
+    return merge_edges(edges, new, now, edges.count() + new.count())
 
 
-def merge_edges(edges: DataFrame, new: DataFrame, now: datetime | Column) -> DataFrame:
+def merge_edges(edges: DataFrame, new: DataFrame, now: datetime | Column, size: int | None = None) -> DataFrame:
+    """The same without the check; `size`: how many edges there are, old and new ones, if that is known."""
     old = edges.select("src", "dst", "id", "updated_at")
     fresh = new.select("src", "dst", F.lit(None).cast("string").alias("id"), F.lit(now).alias("updated_at"))
-    merged = old.unionByName(fresh).groupBy("src", "dst").agg(F.min("id").alias("id"), F.max("updated_at").alias("updated_at"))
+    both = old.unionByName(fresh)
+    both = both if size is None else spread(both, size, "src", "dst")
+    merged = both.groupBy("src", "dst").agg(F.min("id").alias("id"), F.max("updated_at").alias("updated_at"))
     return merged.select(F.coalesce("id", uuid_of(F.concat_ws(">", "src", "dst"))).alias("id"), "src", "dst", "updated_at")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.schema import uuid_of
+from webloom.storage import spread
 
 #: 2024-01-01 00:00:00 UTC.
 EPOCH = 1_704_067_200
@@ -35,7 +36,8 @@ def trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edge for each supplier and part that were traded, updated on the last day."""
-    pairs = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max(day_seconds(F.col("l_shipdate"))).alias("t"))
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = spread(lines.select("l_suppkey", "l_partkey", "l_shipdate"), lines.count(), "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.max(day_seconds(F.col("l_shipdate"))).alias("t"))
     src, dst = F.concat(F.lit("http://supplier/"), "l_suppkey"), F.concat(F.lit("http://part/"), "l_partkey")
     return pairs.select(uuid_of(F.concat_ws(">", src, dst)).alias("id"), uuid_of(src).alias("src"), uuid_of(dst).alias("dst"), F.timestamp_seconds("t").alias("updated_at"))
 

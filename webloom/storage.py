@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a shuffled part, about.
+PART_ROWS = 500_000
+
+
+def spread(rows: DataFrame, size: int, *by: str) -> DataFrame:
+    """`rows` in parts whose number grows with their `size`, so that no task gets more when there are more of them."""
+    return rows.repartition(max(1, math.ceil(size / PART_ROWS)), *by)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all machines must share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
