@@ -16,3 +16,11 @@ def test_more_edges_are_merged_in_more_parts(spark, monkeypatch):
         assert found.rdd.getNumPartitions() == (n + 100) // 100
         rows = {r["dst"]: (r["id"], r["t"]) for r in found.withColumn("t", F.unix_timestamp("updated_at")).collect()}
         assert len(rows) == n and rows["0"] == ("e0", 5) and rows[str(n - 150)] == (f"e{n - 150}", 1_000)
+
+
+def test_links_are_not_broadcast(spark):
+    """Links that are small on disk are no small table of strings in every task."""
+    links = spark.range(100).select(F.col("id").cast("string").alias("id"))
+    edges = spark.range(120).select(F.col("id").cast("string").alias("src"), (F.col("id") % 10).cast("string").alias("dst"))
+    found = linkgraph.unknown_ends(edges, links)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 20

@@ -64,9 +64,10 @@ def upsert_links(links: DataFrame, new: DataFrame) -> DataFrame:
 
 def unknown_ends(edges: DataFrame, links: DataFrame) -> DataFrame:
     """Edges with an end that is not a link."""
+    # Merge joins, as links are small on disk and become large tables of strings where they are broadcast.
     ids = links.select("id")
-    known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return edges.join(known.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    known = edges.join(ids.withColumnRenamed("id", "src").hint("merge"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst").hint("merge"), "dst", "left_semi")
+    return edges.join(known.select("src", "dst").distinct().hint("merge"), ["src", "dst"], "left_anti")
 
 
 def upsert_edges(edges: DataFrame, new: DataFrame, links: DataFrame, now: datetime | Column) -> DataFrame:
